@@ -222,7 +222,8 @@ def parse_label(col, tag: str = LABEL_TAG, labels: list[str] | None = None) -> C
     by_name = F.get(F.filter(names, lambda l: F.contains(window, l)), 0)
     by_id = F.get(F.filter(F.sequence(F.lit(1), F.lit(len(labels))),
                            lambda i: F.contains(window, F.element_at(ids, i))), 0)
-    return F.coalesce(by_name, F.element_at(names, by_id), F.lit("None"))
+    by_id_name = F.when(by_id.isNotNull(), F.get(names, by_id - 1))
+    return F.coalesce(by_name, by_id_name, F.lit("None"))
 
 
 def parse_epoch(col) -> Column:
