@@ -2,4 +2,5 @@
 
 from maskloom.plans import catalog_text  # noqa: F401
 from maskloom.plans import catalog_masking  # noqa: F401
+from maskloom.plans import catalog_splits  # noqa: F401
 from maskloom.plans.catalog_masking import flagship  # noqa: F401

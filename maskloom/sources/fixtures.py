@@ -124,3 +124,12 @@ def colon_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p2 = t.select("group_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("t2"))
     j = t.join(p1, ["group_id", "turn"], "left").join(p2, ["group_id", "turn"], "left")
     return j.select("idx", F.concat_ws(":", "t2", "t1", "text").alias("text"))
+
+
+def memory0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory flags for turns: about half selected, part of those correct; null when unknown."""
+    t = turns(spark, sf_dir)
+    sel = hunit(F.lit("sel"), F.col("idx")) < 0.5
+    cor = hunit(F.lit("cor"), F.col("idx")) < 0.6
+    return t.select("idx", F.when(sel, F.lit(1)).alias("selected"),
+                    F.when(sel, F.when(cor, F.lit(1)).otherwise(F.lit(0))).alias("correct"))
