@@ -94,7 +94,7 @@ def normalize_text(df: DataFrame, text: str = "text", remove_punct: bool = True,
     cleaned = squeeze_space(body)
     return (df.filter(raw.isNotNull() & (raw != " "))
               .withColumn(out, cleaned)
-              .withColumn("token_num", token_count(F.col(out)))
+              .withColumn("token_num", token_count(F.col(out)).cast("long"))
               .filter(F.col("token_num") > 0))
 
 
@@ -108,7 +108,7 @@ def truncate_tokens(df: DataFrame, n: int, text: str = "text", right: bool = Tru
         cut = F.when(F.size(toks) > n, F.array_join(kept, " ")).otherwise(F.col(text))
     return (df.filter(F.col(text) != "")
               .withColumn(text, cut)
-              .withColumn("token_num", token_count(F.col(text)))
+              .withColumn("token_num", token_count(F.col(text)).cast("long"))
               .filter(F.col("token_num") > 0))
 
 
