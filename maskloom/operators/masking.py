@@ -111,3 +111,46 @@ def add_random_word(df: DataFrame, seed: int, words: str = "mask_words", text: s
 
 def with_masks_text(df: DataFrame, words: str, text: str = "text", out: str = "masked_sent") -> Column:
     return replace_tokens(strip_prefixes(F.col(text)), F.col(words))
+
+
+def masker_train_set(memory: DataFrame, train_ids: DataFrame, seed: int, rate: float = 1.0,
+                     chunk: int = 0) -> DataFrame:
+    """masker training rows for the reflective train split.
+
+    Memory rows of the split keep their mask only when known correct
+    (``correct <=> 1``, NaN counts as not correct); every row gets one new
+    exploratory draw on its current masked text, appended to its words; the
+    rows of cycle chunk ``chunk`` (size ``floor(n * rate)``) are returned in the
+    masker projection.
+    """
+    from maskloom.operators.filters import masker_view
+    from maskloom.operators.splits import cycle_chunk
+    m = memory.join(train_ids.select("idx"), "idx", "left_semi")
+    keep = F.col("correct").eqNullSafe(1)
+    m = m.withColumn("mask_words", F.when(keep, F.col("mask_words")).otherwise(F.array().cast("array<string>")))
+    m = add_random_word(m, seed, words="mask_words", text="masked_sent")
+    m = m.withColumn("masked_word", render_mask("mask_words"))
+    m = cycle_chunk(m, rate, chunk) if rate < 1 else m
+    return masker_view(m)
+
+
+def classifier_sets(memory: DataFrame, val: DataFrame, test: DataFrame, mode: str,
+                    r_train_ids: DataFrame | None = None, r_val_ids: DataFrame | None = None,
+                    mask_test: bool = False) -> DataFrame:
+    """classifier sets with a ``set_name`` column.
+
+    r_train: reflective train / val rows of the memory, both masked. i_train:
+    the whole memory (masked) and the masked validation split. test: train+val
+    (masked) and the test split, masked only when ``mask_test``. Inputs carry
+    idx, group_id, label, text, masked_sent.
+    """
+    def view(df, name, feat="masked_sent"):
+        return df.select("idx", "group_id", F.lit(name).alias("set_name"), task_prefix(F.col(feat)).alias("clsInFeat"),
+                         F.col("label").alias("labels"))
+    if mode == "r_train":
+        return view(memory.join(r_train_ids.select("idx"), "idx", "left_semi"), "masked_r_train") \
+            .unionByName(view(memory.join(r_val_ids.select("idx"), "idx", "left_semi"), "masked_r_val"))
+    if mode == "i_train":
+        return view(memory, "masked_i_train").unionByName(view(val, "masked_i_val"))
+    train_val = view(memory, "masked_i_trainVal").unionByName(view(val, "masked_i_trainVal"))
+    return train_val.unionByName(view(test, "i_test", "masked_sent" if mask_test else "text"))

@@ -66,3 +66,138 @@ def flagship(spark, sf):
 
 
 register("mask_stats", _F9_SQL)(flagship)
+
+
+# --- F1 / F3 / F4 -------------------------------------------------------------------------------
+_NT = f"WITH {S.turns_cte()}, {S.normalized_cte('nt', 'turns')}"
+
+
+@register("mask_one", f"""{_NT}, {S.draw_ctes('dm', 'nt', '1', SEED, salt='one')}
+SELECT idx, coalesce(mask_words[1], '[M]') AS single_masked_word, masked_sent FROM dm""")
+def q_mask_one(spark, sf):
+    return M.mask_one(norm_turns(spark, sf), SEED).select("idx", "single_masked_word", "masked_sent")
+
+
+@register("mask_count", f"""{_NT}, {S.draw_ctes('dm', 'nt', '2', SEED, salt='cnt')}
+SELECT idx, {S.render_mask('mask_words')} AS masked_word, masked_sent, CAST(len(mask_words) AS BIGINT) AS mask_size
+FROM dm""")
+def q_mask_count(spark, sf):
+    return M.mask_count(norm_turns(spark, sf), 2, SEED).select("idx", "masked_word", "masked_sent", "mask_size")
+
+
+_SPLIT3_SQL = (f"CASE WHEN {S.hunit(S.lit('split3'), '7', 'idx')} < 0.2 THEN 'val' "
+               f"WHEN {S.hunit(S.lit('split3'), '7', 'idx')} < 0.4 THEN 'test' ELSE 'train' END")
+
+
+def split3(df):
+    from maskloom.functions.hashing import hunit
+    u = hunit(F.lit("split3"), F.lit(7), F.col("idx"))
+    return df.withColumn("split", F.when(u < 0.2, F.lit("val")).when(u < 0.4, F.lit("test")).otherwise(F.lit("train")))
+
+
+_NT3 = f"{_NT}, nts AS (SELECT *, {_SPLIT3_SQL} AS split FROM nt)"
+
+
+@register("mask_all_splits", f"""{_NT3}, {S.draw_ctes('dm', 'nts', S.budget('token_num', 0.15), 1, salt='pct')}
+SELECT nts.split, count(*) AS rows, avg(len(dm.mask_words)) AS avg_mask_size
+FROM nts JOIN dm ON nts.idx = dm.idx GROUP BY ALL""")
+def q_mask_all_splits(spark, sf):
+    _, stats = M.mask_all_splits(split3(norm_turns(spark, sf)), "percent", epoch=1, pct=0.15, rand_seed=0)
+    return stats
+
+
+@register("random_mask_dataset", f"""{_NT3}, {S.draw_ctes('dm', 'nts', S.budget('token_num', 0.15), SEED, salt='pct')}
+SELECT nts.idx, nts.group_id, nts.split, 'Classify: ' || {S.strip_prefixes(
+    "CASE WHEN nts.split IN ('train', 'val') THEN dm.masked_sent ELSE nts.text END")} AS clsInFeat, nts.label AS labels
+FROM nts JOIN dm ON nts.idx = dm.idx""")
+def q_random_mask_dataset(spark, sf):
+    return M.random_mask_dataset(split3(norm_turns(spark, sf)), 0.15, SEED)
+
+
+@register("unmasked_dataset", f"""{_NT3}
+SELECT idx, group_id, split, 'Classify: ' || {S.strip_prefixes('text')} AS clsInFeat, label AS labels FROM nts""")
+def q_unmasked_dataset(spark, sf):
+    return M.unmasked_dataset(split3(norm_turns(spark, sf)))
+
+
+# --- F7 / F8 / F10 on external mask predictions ---------------------------------------------------
+from maskloom.plans.catalog_text import _ext_sql  # noqa: E402
+
+_EXTV = f"""{_NT}, {_ext_sql()},
+pv AS (SELECT nt.idx, nt.text, nt.token_num, ext.pred_mask, {S.parse_mask('ext.pred_mask')} AS pw FROM nt JOIN ext ON nt.idx = ext.idx),
+pvv AS (SELECT *, (CASE WHEN len({S.toks(S.strip_punct('text'))}) > 2 THEN list_filter(pw, lambda x:
+        list_contains({S.toks(S.strip_punct('text'))}, x)) ELSE []::VARCHAR[] END) AS vw FROM pv)"""
+
+
+def _pred_valid(spark, sf):
+    e = norm_turns(spark, sf).join(FX.ext_masks(spark, sf), "idx")
+    return M.apply_pred_masks(e.drop("pred_mask"), FX.ext_masks(spark, sf))
+
+
+@register("valid_mask", f"""{_EXTV}
+SELECT idx, {S.render_mask('pw')} AS pred_mask, {S.render_mask('vw')} AS valid_mask,
+       CAST(len(pw) AS BIGINT) AS pred_size, CAST(len(vw) AS BIGINT) AS valid_size FROM pvv""")
+def q_valid_mask(spark, sf):
+    p = _pred_valid(spark, sf)
+    return p.select("idx", render_mask("pred_words").alias("pred_mask"), render_mask("valid_words").alias("valid_mask"),
+                    F.size("pred_words").cast("long").alias("pred_size"),
+                    F.size("valid_words").cast("long").alias("valid_size"))
+
+
+@register("invalid_masks", f"""{_EXTV}
+SELECT idx, {S.render_mask('pw')} AS pred_mask, {S.render_mask('vw')} AS valid_mask FROM pvv WHERE len(pw) <> len(vw)""")
+def q_invalid_masks(spark, sf):
+    p = M.invalid_masks(_pred_valid(spark, sf))
+    return p.select("idx", render_mask("pred_words").alias("pred_mask"), render_mask("valid_words").alias("valid_mask"))
+
+
+@register("apply_pred_masks", f"""{_EXTV}
+SELECT idx, {S.render_mask('vw')} AS masked_word, array_to_string(list_transform({S.toks('text')},
+       lambda x: CASE WHEN list_contains(vw, x) THEN '[M]' ELSE x END), ' ') AS masked_sent,
+       CAST(len(vw) AS BIGINT) AS mask_size FROM pvv""")
+def q_apply_pred_masks(spark, sf):
+    return _pred_valid(spark, sf).select("idx", "masked_word", "masked_sent", "mask_size")
+
+
+# --- F11 / F12 ------------------------------------------------------------------------------------
+def _masker_train_sql():
+    from maskloom.plans.catalog_eval import _MEM_SQL
+    mt = (f"mt AS (SELECT mp.idx, mp.group_id, mp.label, mp.text, mp.token_num, "
+          f"CASE WHEN mp.correct = 1 THEN mp.mask_words ELSE []::VARCHAR[] END AS words, "
+          f"{_replace_sql_words('mp.text', 'mp.mask_words')} AS ms FROM mp "
+          f"WHERE {S.hunit(S.lit('split'), '7', 'mp.idx')} >= 0.2), "
+          f"mtx AS (SELECT idx, ms AS text FROM mt)")
+    return (f"{_MEM_SQL}, {mt}, {S.draw_ctes('nw', 'mtx', '1', 3, salt='one')}, "
+            f"mw AS (SELECT mt.*, nw.mask_words[1] AS x FROM mt JOIN nw ON mt.idx = nw.idx)")
+
+
+def _replace_sql_words(text, words):
+    return (f"array_to_string(list_transform({S.toks(text)}, lambda x: CASE WHEN list_contains({words}, x) "
+            f"THEN '[M]' ELSE x END), ' ')")
+
+
+@register("masker_train_set", f"""{_masker_train_sql()}
+SELECT group_id, 'Mask: ' || {S.strip_prefixes('text')} AS text, label AS labels, token_num AS tokenNum,
+       {S.render_mask("CASE WHEN x IS NULL OR x = '[M]' OR list_contains(words, x) THEN words ELSE list_append(words, x) END")}
+       AS masked_word, idx FROM mw""")
+def q_masker_train_set(spark, sf):
+    from maskloom.functions.hashing import hunit
+    from maskloom.plans.catalog_eval import memory_prev
+    mem = memory_prev(spark, sf)
+    train_ids = mem.filter(hunit(F.lit("split"), F.lit(7), F.col("idx")) >= 0.2).select("idx")
+    return M.masker_train_set(mem, train_ids, seed=3)
+
+
+@register("classifier_sets", f"""{_NT3}, {S.draw_ctes('dm', 'nts', S.budget('token_num', 0.15), SEED, salt='pct')},
+m AS (SELECT nts.*, dm.masked_sent FROM nts JOIN dm ON nts.idx = dm.idx)
+SELECT idx, group_id, 'masked_i_train' AS set_name, 'Classify: ' || {S.strip_prefixes('masked_sent')} AS clsInFeat,
+       label AS labels FROM m WHERE split = 'train'
+UNION ALL SELECT idx, group_id, 'masked_i_val', 'Classify: ' || {S.strip_prefixes('masked_sent')}, label FROM m
+  WHERE split = 'val'
+UNION ALL SELECT idx, group_id, 'masked_i_trainVal', 'Classify: ' || {S.strip_prefixes('masked_sent')}, label FROM m
+  WHERE split IN ('train', 'val')
+UNION ALL SELECT idx, group_id, 'i_test', 'Classify: ' || {S.strip_prefixes('text')}, label FROM m WHERE split = 'test'""")
+def q_classifier_sets(spark, sf):
+    m = M.mask_percent(split3(norm_turns(spark, sf)), PCT, SEED).cache()
+    mem, val, test = (m.filter(F.col("split") == s) for s in ("train", "val", "test"))
+    return M.classifier_sets(mem, val, test, "i_train").unionByName(M.classifier_sets(mem, val, test, "test"))
