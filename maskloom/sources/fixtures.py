@@ -133,3 +133,39 @@ def memory0(spark: SparkSession, sf_dir: str) -> DataFrame:
     cor = hunit(F.lit("cor"), F.col("idx")) < 0.6
     return t.select("idx", F.when(sel, F.lit(1)).alias("selected"),
                     F.when(sel, F.when(cor, F.lit(1)).otherwise(F.lit(0))).alias("correct"))
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataset variant rows: base / dp / rm x fold 0-2 x seed 0-1 x epoch 0-2, split by E3 blocks.
+
+    dp and rm rows carry 15% random masks seeded ``seed * 100 + epoch``; base
+    rows are unmasked. Columns: variant, fold, seed, epoch, mask_pct, split, idx,
+    group_id, clsInFeat, labels.
+    """
+    from maskloom.functions.masks import draw_masks
+    from maskloom.functions.text import normalize_text, task_prefix
+    from maskloom.operators.splits import group_kfold
+
+    nt = normalize_text(turns(spark, sf_dir))
+    kf = group_kfold(nt, 3).withColumnRenamed("split", "kf_split")
+    grid = ([("base", f, 0, 0, 0) for f in range(3)]
+            + [("dp", f, s, e, 15) for f in range(3) for s in range(2) for e in range(3)]
+            + [("rm", f, s, 0, 15) for f in range(3) for s in range(2)])
+    grid_col = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(f).alias("fold"), F.lit(s).alias("seed"),
+                                  F.lit(e).alias("epoch"), F.lit(p).alias("mask_pct")) for v, f, s, e, p in grid])
+    # One row per (turn, kfold fold): attach the grid entries of that fold (explode, no join).
+    x = kf.withColumn("g", F.explode(F.filter(grid_col, lambda g: g["fold"] == F.col("fold"))))
+    x = x.select("idx", "group_id", "label", "text", "token_num", "kf_split", "g.*")
+    blk_test = F.col("kf_split") == "test"
+    # validation = the block after the test block (cyclic) inside the training part
+    x = x.withColumn("_blk", F.floor(F.conv(F.substring(hkey(F.lit("vb"), F.col("group_id")), 1, 6), 16, 10)
+                                     .cast("long") % 2))
+    x = x.withColumn("split", F.when(blk_test, F.lit("test")).when(F.col("_blk") == 0, F.lit("val"))
+                     .otherwise(F.lit("train")))
+    k = F.when(F.col("variant") == "base", F.lit(0)).otherwise(
+        F.floor(F.col("token_num") * (F.col("mask_pct") / 100.0)).cast("int"))
+    k = F.when((F.col("variant") != "base") & (F.col("token_num") > 1) & (k == 0), F.lit(1)).otherwise(k)
+    seed = F.col("seed") * 100 + F.col("epoch")
+    m = draw_masks(x.withColumn("_k", k), "text", "idx", F.col("_k"), seed, salt="pct")
+    return m.select("variant", "fold", "seed", "epoch", "mask_pct", "split", "idx", "group_id",
+                    task_prefix(F.col("masked_sent")).alias("clsInFeat"), F.col("label").alias("labels"))
