@@ -70,13 +70,13 @@ def task_prefix(col, task: str = "classify") -> Column:
 
 
 def tokens(col) -> Column:
-    """Whitespace tokens of a squeezed string (empty string -> empty array)."""
-    return F.filter(F.split(_c(col), " "), lambda x: x != "")
+    """Space-separated tokens, empty pieces dropped (array_remove is codegen'd, no lambda)."""
+    return F.array_remove(F.split(_c(col), " "), "")
 
 
 def token_count(col) -> Column:
     """Number of tokens, not counting ``@`` / ``#`` turn markers."""
-    return F.size(F.filter(tokens(col), lambda x: ~x.isin("@", "#")))
+    return F.size(F.array_remove(F.array_remove(tokens(col), "@"), "#"))
 
 
 def normalize_text(df: DataFrame, text: str = "text", remove_punct: bool = True,
@@ -92,10 +92,15 @@ def normalize_text(df: DataFrame, text: str = "text", remove_punct: bool = True,
     body = strip_prefixes(raw)
     body = strip_punct(body, keep) if remove_punct else space_punct(body)
     cleaned = squeeze_space(body)
-    return (df.filter(raw.isNotNull() & (raw != " "))
-              .withColumn(out, cleaned)
-              .withColumn("token_num", token_count(F.col(out)).cast("long"))
-              .filter(F.col("token_num") > 0))
+    others = [c for c in df.columns if c not in (out, "token_num")]
+    # inline() of a one-element array evaluates the regex chain once per row; a plain
+    # withColumn + filter would be inlined by Catalyst into the pushed-down filter and
+    # run the whole chain twice.
+    pinned = df.filter(raw.isNotNull() & (raw != " ")).select(
+        *others, F.inline(F.array(F.struct(cleaned.alias(out)))))
+    res = pinned.withColumn("token_num", token_count(F.col(out)).cast("long")).filter(F.col("token_num") > 0)
+    order = [c for c in df.columns if c != "token_num"] + ([out] if out not in df.columns else []) + ["token_num"]
+    return res.select(*order)
 
 
 def truncate_tokens(df: DataFrame, n: int, text: str = "text", right: bool = True) -> DataFrame:
@@ -129,7 +134,7 @@ def remove_tokens(text, words) -> Column:
 def drop_sentinel(words) -> Column:
     """Remove the sentinel from a list only when it has more than one entry."""
     w = _c(words)
-    return F.when(F.size(w) > 1, F.filter(w, lambda x: x != SENTINEL)).otherwise(w)
+    return F.when(F.size(w) > 1, F.array_remove(w, SENTINEL)).otherwise(w)
 
 
 def dedupe_tokens(words) -> Column:
@@ -141,7 +146,7 @@ def parse_mask(col) -> Column:
     """C12 core: mask string -> array; null / 'nan' / '' / sentinel -> empty array."""
     c = _c(col)
     raw = F.when(c.isNull() | (c == "nan"), F.lit(SENTINEL)).otherwise(c)
-    return F.filter(F.array_distinct(tokens(raw)), lambda x: x != SENTINEL)
+    return F.array_remove(F.array_distinct(tokens(raw)), SENTINEL)
 
 
 def render_mask(words) -> Column:
