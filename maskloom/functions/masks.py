@@ -22,6 +22,19 @@ MIN_REMAINING = 3  # a draw needs more than this many unmasked tokens (fixed val
 _PUNCT = char_class(PUNCTUATION)
 
 
+def pin_columns(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Evaluate ``exprs`` once per row and expose them as plain columns.
+
+    Arrays that later lambdas index into must not be re-derived per element:
+    Catalyst's CollapseProject counts a reference inside a lambda once, so it
+    would inline e.g. a sorted array into ``transform`` and redo the sort for
+    every element. ``inline`` of a one-element array is a Generate, which no
+    projection is collapsed into.
+    """
+    keep = [c for c in df.columns if c not in exprs]
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))))
+
+
 def mask_budget(token_num, pct: float) -> Column:
     """F2 draw count: ``floor(token_num * pct)``, at least 1 when token_num > 1."""
     k = F.floor(F.col(token_num) * F.lit(float(pct))).cast("int")
@@ -45,12 +58,11 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
                                            F.col(idx), i, w).alias("k"), i.alias("p"))
 
     # Sorted by (word, key): each word is one run; its head holds the word's min key.
-    df = df.withColumn("_mk_tok", toks)
-    df = df.withColumn("_mk_s", F.array_sort(F.transform(F.col("_mk_tok"), keyed)))
-    df = df.withColumn("_mk_n", n_all)
+    df = pin_columns(df, _mk_tok=toks)
+    df = pin_columns(df, _mk_s=F.array_sort(F.transform(F.col("_mk_tok"), keyed)), _mk_n=n_all)
     seq = F.when(F.col("_mk_n") > 0, F.sequence(F.lit(1), F.col("_mk_n"))).otherwise(F.array().cast("array<int>"))
     s = F.col("_mk_s")
-    df = df.withColumn("_mk_h", F.filter(seq, lambda i: (i == 1) | (F.element_at(s, i)["w"] != F.get(s, i - 2)["w"])))
+    df = pin_columns(df, _mk_h=F.filter(seq, lambda i: (i == 1) | (F.element_at(s, i)["w"] != F.get(s, i - 2)["w"])))
     h = F.col("_mk_h")
 
     def run_end(j):  # one past the last element of run j (1-based positions)
@@ -59,24 +71,27 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
     runs = F.transform(h, lambda x, j: F.struct(F.element_at(s, x)["k"].alias("k"),
                                                 F.element_at(s, x)["w"].alias("w"),
                                                 (run_end(j) - x).alias("c")))
-    df = df.withColumn("_mk_o", F.array_sort(F.filter(runs, lambda r: is_cand(r["w"]))))
+    df = pin_columns(df, _mk_o=F.array_sort(F.filter(runs, lambda r: is_cand(r["w"]))))
     o = F.col("_mk_o")
     n_cand = F.aggregate(o, F.lit(0), lambda acc, r: acc + r["c"])
     start = F.struct(F.lit(0).alias("j"), n_cand.alias("r"))
     m = F.aggregate(o, start, lambda acc, r: F.when((acc["j"] < kcol) & (acc["r"] > MIN_REMAINING),
                                                     F.struct((acc["j"] + 1).alias("j"), (acc["r"] - r["c"]).alias("r")))
                     .otherwise(acc))["j"]
-    df = df.withColumn("_mk_m", m)
-    df = df.withColumn(words_out, F.transform(F.slice(o, 1, F.col("_mk_m")), lambda r: r["w"]))
+    df = pin_columns(df, _mk_m=m)
+    words = F.transform(F.slice(o, 1, F.col("_mk_m")), lambda r: r["w"])
     # A word is drawn iff its min key is <= the key of the last drawn word.
     thr = F.coalesce(F.get(o, F.col("_mk_m") - 1)["k"], F.lit(""))
+    df = pin_columns(df, _mk_thr=thr)
+    thr = F.col("_mk_thr")
     out = F.flatten(F.transform(h, lambda x, j: F.transform(
         F.sequence(x, run_end(j) - 1),
         lambda i: F.struct(F.element_at(s, i)["p"].alias("p"),
                            F.when(is_cand(F.element_at(s, x)["w"]) & (F.element_at(s, x)["k"] <= thr), F.lit(SENTINEL))
                             .otherwise(F.element_at(s, i)["w"]).alias("t")))))
-    df = df.withColumn(text_out, F.array_join(F.transform(F.array_sort(out), lambda r: r["t"]), " "))
-    return df.drop("_mk_tok", "_mk_s", "_mk_n", "_mk_h", "_mk_o", "_mk_m")
+    df = pin_columns(df, **{words_out: words,
+                            text_out: F.array_join(F.transform(F.array_sort(out), lambda r: r["t"]), " ")})
+    return df.drop("_mk_tok", "_mk_s", "_mk_n", "_mk_h", "_mk_o", "_mk_m", "_mk_thr")
 
 
 def valid_mask(text, words) -> Column:

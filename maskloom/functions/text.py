@@ -118,7 +118,11 @@ def truncate_tokens(df: DataFrame, n: int, text: str = "text", right: bool = Tru
 
 
 def replace_tokens(text, words) -> Column:
-    """Every whole token found in ``words`` becomes the sentinel."""
+    """Every whole token found in ``words`` becomes the sentinel.
+
+    ``words`` is evaluated inside the per-token lambda: pass a plain column
+    (see ``masks.pin_columns``), not an expression, on long texts.
+    """
     w = _c(words)
     return F.array_join(
         F.transform(tokens(text), lambda x: F.when(F.array_contains(w, x), F.lit(SENTINEL)).otherwise(x)),

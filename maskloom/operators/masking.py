@@ -93,13 +93,15 @@ def apply_pred_masks(df: DataFrame, preds: DataFrame, pred_col: str = "pred_mask
     The reference aligns predictions by row position; here it is an equi-join on
     ``idx``. Rows with no prediction get no mask.
     """
+    from maskloom.functions.masks import pin_columns
     j = df.join(preds.select("idx", pred_col), "idx", "left")
     body = strip_prefixes(F.col(text))
-    return (j.withColumn("pred_words", parse_mask(F.col(pred_col)))
-             .withColumn("valid_words", valid_mask(body, F.col("pred_words")))
-             .withColumn("masked_sent", replace_tokens(body, F.col("valid_words")))
+    j = pin_columns(j, pred_words=parse_mask(F.col(pred_col)), _body=body)
+    j = pin_columns(j, valid_words=valid_mask(F.col("_body"), F.col("pred_words")))
+    return (j.withColumn("masked_sent", replace_tokens(F.col("_body"), F.col("valid_words")))
              .withColumn("masked_word", render_mask("valid_words"))
-             .withColumn("mask_size", F.size("valid_words").cast("long")))
+             .withColumn("mask_size", F.size("valid_words").cast("long"))
+             .drop("_body"))
 
 
 def add_random_word(df: DataFrame, seed: int, words: str = "mask_words", text: str = "masked_sent") -> DataFrame:

@@ -166,8 +166,9 @@ SELECT nt.idx, array_to_string(list_transform({S.toks('nt.text')},
        lambda x: CASE WHEN list_contains({S.parse_mask('ext.pred_mask')}, x) THEN '[M]' ELSE x END), ' ') AS masked_sent
 FROM nt JOIN ext ON nt.idx = ext.idx""")
 def q_replace_tokens(spark, sf):
-    e = _ext(spark, sf)
-    return e.select("idx", TX.replace_tokens(F.col("text"), TX.parse_mask("pred_mask")).alias("masked_sent"))
+    from maskloom.functions.masks import pin_columns
+    e = pin_columns(_ext(spark, sf), _w=TX.parse_mask("pred_mask"))
+    return e.select("idx", TX.replace_tokens(F.col("text"), F.col("_w")).alias("masked_sent"))
 
 
 @register("remove_tokens", f"""{_EXT}
@@ -175,8 +176,9 @@ SELECT nt.idx, array_to_string(list_filter({S.toks('nt.text')},
        lambda x: NOT list_contains({S.parse_mask('ext.pred_mask')}, x)), ' ') AS reduced
 FROM nt JOIN ext ON nt.idx = ext.idx""")
 def q_remove_tokens(spark, sf):
-    e = _ext(spark, sf)
-    return e.select("idx", TX.remove_tokens(F.col("text"), TX.parse_mask("pred_mask")).alias("reduced"))
+    from maskloom.functions.masks import pin_columns
+    e = pin_columns(_ext(spark, sf), _w=TX.parse_mask("pred_mask"))
+    return e.select("idx", TX.remove_tokens(F.col("text"), F.col("_w")).alias("reduced"))
 
 
 _RAW = S.toks("coalesce(ext.pred_mask, '[M]')")

@@ -50,11 +50,19 @@ def grid_search(train: DataFrame, val: DataFrame, grid: list[tuple[float, int]])
 
 def _metrics_row(model: L.NaiveBayes, rows: DataFrame, feat: str) -> dict:
     preds = model.predict(rows.select("idx", F.col(feat).alias("text"))).drop("cfg")
-    scored = rows.select("idx", "label").join(preds, "idx").withColumn("_g", F.lit(0))
+    scored = _pin(rows.select("idx", "label").join(preds, "idx").withColumn("_g", F.lit(0)))
     r = _eval_rows(scored, ["_g"]).first()
     return {"acc": float(r["acc"]), "f1": float(r["macro_f1"]), "mcc": float(r["mcc"])}
 
 
+def _log(*msg) -> None:
+    import os
+    import sys
+    import time
+    if os.environ.get("MASKLOOM_VERBOSE"):
+        print(time.strftime("%H:%M:%S"), *msg, file=sys.stderr, flush=True)
+
+
 def _stopped(spark: SparkSession, hist: list[dict], warmup: int, patience: int) -> tuple[bool, int]:
     return W.early_stop_rows([(d["epoch"], d["mcc"]) for d in hist], warmup, patience)
 
@@ -87,11 +95,12 @@ def mask_rate_search(train: DataFrame, test: DataFrame, rates: list[float], epoc
         for j in range(epoch_count):
             m = _pin(M.mask_percent(fit, rate, seed_salt(j, seed_base)).select("idx", "label", "masked_sent"))
             copies = m if copies is None else copies.unionByName(m)
-            model = L.train_classifier(copies.withColumnRenamed("masked_sent", "text"))
+            model = L.train_classifier(copies.withColumnRenamed("masked_sent", "text"), materialize=True)
             models.append(model)
             ev = eval_rows if not mask_val else M.mask_percent(eval_rows, rate, seed_salt(j, seed_base) + 7)
             feat = "masked_sent" if mask_val else "text"
             hist.append(dict(epoch=j, **_metrics_row(model, ev, feat)))
+            _log("rate", rate, "epoch", j, hist[-1])
             if stop_rule and j >= warmup:
                 stopped, es = _stopped(spark, hist, warmup, patience)
                 if stopped:
@@ -141,7 +150,9 @@ def _remask(df: DataFrame, masker: L.TokenMasker, pct: float) -> DataFrame:
     preds = masker.predict(df.select("idx", "text", "token_num"), pct).withColumnRenamed("pred_words", "_pw")
     j = df.join(preds, "idx", "left")
     vw = valid_mask(F.col("text"), F.coalesce(F.col("_pw"), F.array().cast("array<string>")))
-    j = j.withColumn("mask_words", vw).withColumn("masked_sent", replace_tokens(F.col("text"), F.col("mask_words")))
+    from maskloom.functions.masks import pin_columns
+    j = pin_columns(j, mask_words=vw)
+    j = j.withColumn("masked_sent", replace_tokens(F.col("text"), F.col("mask_words")))
     return j.withColumn("mask_size", F.size("mask_words").cast("long")).drop("_pw")
 
 
@@ -186,31 +197,33 @@ def dual_process_loop(spark: SparkSession, train: DataFrame, test: DataFrame,
                 mtrain = mtrain.select("idx", F.regexp_replace("text", "^Mask: ", "").alias("text"),
                                        parse_mask("masked_word").alias("mask_words"))
                 r_masker = L.train_masker(mtrain)
-                memory = _remask(memory, r_masker, cfg.pct)
+                memory = _pin(_remask(memory, r_masker, cfg.pct))
                 cls = L.train_classifier(memory.join(r_train, "idx", "left_semi")
-                                         .select("label", F.col("masked_sent").alias("text")))
+                                         .select("label", F.col("masked_sent").alias("text")), materialize=True)
                 rv = memory.join(r_val, "idx", "left_semi")
                 preds = cls.predict(rv.select("idx", F.col("masked_sent").alias("text"))).drop("cfg")
-                scored = rv.select("idx", "label").join(preds, "idx")
-                judged = MEM.judge_masks(scored, rv)
+                scored = _pin(rv.select("idx", "label").join(preds, "idx"))
+                judged = _pin(MEM.judge_masks(scored, rv))
                 mcc_r = H.mcc(scored).first()["mcc"]
                 memory = _snapshot(spark, MEM.memory_update(memory, judged), root, "smem", epoch * 100 + r + 1)
                 logs.append(dict(epoch=epoch, cycle=r, **MEM.memory_stats(memory, judged).first().asDict()))
                 mccs.append(mcc_r)
+                _log("epoch", epoch, "cycle", r, "mcc", mcc_r, logs[-1])
                 if budget > 1 and r > 0 and mccs[-2] > mccs[-1]:
                     budget -= 1
                     break
             i_masker = L.train_masker(memory)
             memory = _snapshot(spark, _remask(memory, i_masker, cfg.pct), root, "smem", epoch * 100 + 99)
             masked_val = _pin(_remask(masked_val, i_masker, cfg.pct))
-        cls = L.train_classifier(memory.select("label", F.col("masked_sent").alias("text")))
+        cls = L.train_classifier(memory.select("label", F.col("masked_sent").alias("text")), materialize=True)
         ledger.append(dict(epoch=epoch, kind="val", **_metrics_row(cls, masked_val, "masked_sent")))
         hist = [d for d in ledger if d["kind"] == "val"]
+        _log("epoch", epoch, ledger[-1])
         if epoch >= cfg.warmup:
             stopped, es_epoch = _stopped(spark, hist, cfg.warmup, cfg.patience)
             if stopped or epoch == cfg.end_epoch - 1:
                 snap = IO.read_snapshot(spark, root, "smem", es_epoch * 100 + 99 if es_epoch >= 1 else es_epoch)
-                final = L.train_classifier(snap.select("label", F.col("masked_sent").alias("text")))
+                final = L.train_classifier(snap.select("label", F.col("masked_sent").alias("text")), materialize=True)
                 t = M.mask_percent(test, cfg.pct, seed) if cfg.mask_test else test.withColumn("masked_sent", F.col("text"))
                 ledger.append(dict(epoch=es_epoch, kind="test", **_metrics_row(final, t, "masked_sent")))
                 break
