@@ -50,7 +50,6 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
     """
     kcol = k if isinstance(k, Column) else F.lit(int(k))
     toks = tokens(F.col(text))
-    n_all = F.size(F.col("_mk_tok"))
     is_cand = lambda w: (w != SENTINEL) & ~w.rlike(_PUNCT)
 
     def keyed(w, i):
@@ -58,8 +57,7 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
                                            F.col(idx), i, w).alias("k"), i.alias("p"))
 
     # Sorted by (word, key): each word is one run; its head holds the word's min key.
-    df = pin_columns(df, _mk_tok=toks)
-    df = pin_columns(df, _mk_s=F.array_sort(F.transform(F.col("_mk_tok"), keyed)), _mk_n=n_all)
+    df = pin_columns(df, _mk_s=F.array_sort(F.transform(toks, keyed)), _mk_n=F.size(toks))
     seq = F.when(F.col("_mk_n") > 0, F.sequence(F.lit(1), F.col("_mk_n"))).otherwise(F.array().cast("array<int>"))
     s = F.col("_mk_s")
     df = pin_columns(df, _mk_h=F.filter(seq, lambda i: (i == 1) | (F.element_at(s, i)["w"] != F.get(s, i - 2)["w"])))
@@ -78,11 +76,9 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
     m = F.aggregate(o, start, lambda acc, r: F.when((acc["j"] < kcol) & (acc["r"] > MIN_REMAINING),
                                                     F.struct((acc["j"] + 1).alias("j"), (acc["r"] - r["c"]).alias("r")))
                     .otherwise(acc))["j"]
-    df = pin_columns(df, _mk_m=m)
-    words = F.transform(F.slice(o, 1, F.col("_mk_m")), lambda r: r["w"])
     # A word is drawn iff its min key is <= the key of the last drawn word.
-    thr = F.coalesce(F.get(o, F.col("_mk_m") - 1)["k"], F.lit(""))
-    df = pin_columns(df, _mk_thr=thr)
+    df = pin_columns(df, _mk_m=m, _mk_thr=F.coalesce(F.get(o, m - 1)["k"], F.lit("")))
+    words = F.transform(F.slice(o, 1, F.col("_mk_m")), lambda r: r["w"])
     thr = F.col("_mk_thr")
     out = F.flatten(F.transform(h, lambda x, j: F.transform(
         F.sequence(x, run_end(j) - 1),
@@ -91,7 +87,7 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
                             .otherwise(F.element_at(s, i)["w"]).alias("t")))))
     df = pin_columns(df, **{words_out: words,
                             text_out: F.array_join(F.transform(F.array_sort(out), lambda r: r["t"]), " ")})
-    return df.drop("_mk_tok", "_mk_s", "_mk_n", "_mk_h", "_mk_o", "_mk_m", "_mk_thr")
+    return df.drop("_mk_s", "_mk_n", "_mk_h", "_mk_o", "_mk_m", "_mk_thr")
 
 
 def valid_mask(text, words) -> Column:
