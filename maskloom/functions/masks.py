@@ -19,6 +19,7 @@ from maskloom.functions.hashing import hkey
 from maskloom.functions.text import PUNCTUATION, SENTINEL, char_class, tokens
 
 MIN_REMAINING = 3  # a draw needs more than this many unmasked tokens (fixed value)
+NO_DRAW = "z"      # sort key of tokens that can never be drawn
 _PUNCT = char_class(PUNCTUATION)
 
 
@@ -53,8 +54,9 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
     is_cand = lambda w: (w != SENTINEL) & ~w.rlike(_PUNCT)
 
     def keyed(w, i):
-        return F.struct(w.alias("w"), hkey(F.lit(salt), F.lit(str(seed)) if not isinstance(seed, Column) else seed,
-                                           F.col(idx), i, w).alias("k"), i.alias("p"))
+        # Non-candidates get the key 'z', above every hex digest: never drawn, never below a threshold.
+        key = hkey(F.lit(salt), F.lit(str(seed)) if not isinstance(seed, Column) else seed, F.col(idx), i, w)
+        return F.struct(w.alias("w"), F.when(is_cand(w), key).otherwise(F.lit(NO_DRAW)).alias("k"), i.alias("p"))
 
     # Sorted by (word, key): each word is one run; its head holds the word's min key.
     df = pin_columns(df, _mk_s=F.array_sort(F.transform(toks, keyed)), _mk_n=F.size(toks))
@@ -69,7 +71,7 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
     runs = F.transform(h, lambda x, j: F.struct(F.element_at(s, x)["k"].alias("k"),
                                                 F.element_at(s, x)["w"].alias("w"),
                                                 (run_end(j) - x).alias("c")))
-    df = pin_columns(df, _mk_o=F.array_sort(F.filter(runs, lambda r: is_cand(r["w"]))))
+    df = pin_columns(df, _mk_o=F.array_sort(F.filter(runs, lambda r: r["k"] != NO_DRAW)))
     o = F.col("_mk_o")
     n_cand = F.aggregate(o, F.lit(0), lambda acc, r: acc + r["c"])
     start = F.struct(F.lit(0).alias("j"), n_cand.alias("r"))
@@ -83,7 +85,7 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
     out = F.flatten(F.transform(h, lambda x, j: F.transform(
         F.sequence(x, run_end(j) - 1),
         lambda i: F.struct(F.element_at(s, i)["p"].alias("p"),
-                           F.when(is_cand(F.element_at(s, x)["w"]) & (F.element_at(s, x)["k"] <= thr), F.lit(SENTINEL))
+                           F.when(F.element_at(s, x)["k"] <= thr, F.lit(SENTINEL))
                             .otherwise(F.element_at(s, i)["w"]).alias("t")))))
     df = pin_columns(df, **{words_out: words,
                             text_out: F.array_join(F.transform(F.array_sort(out), lambda r: r["t"]), " ")})
