@@ -64,7 +64,27 @@ def q_best_epoch(spark, sf):
     return W.best_epoch(FX.history(spark, sf), "f1_acc")
 
 
-@register("cycle_stop")
+_STOP = "(b > 1 AND least(b, nc) >= 2 AND m0 > m1)"
+_STOP2 = "(b > 1 AND least(b, nc) >= 3 AND m1 > m2)"
+
+
+@register("cycle_stop", f"""WITH RECURSIVE {HIST},
+h AS (SELECT run_id, CAST(floor(epoch / 3) AS BIGINT) AS o, epoch % 3 AS cycle, mcc FROM history),
+p AS (SELECT run_id, o, max(CASE WHEN cycle = 0 THEN mcc END) AS m0, max(CASE WHEN cycle = 1 THEN mcc END) AS m1,
+             max(CASE WHEN cycle = 2 THEN mcc END) AS m2, count(*) AS nc FROM h GROUP BY run_id, o),
+r AS (SELECT run_id, CAST(0 AS BIGINT) AS o, CAST(3 AS BIGINT) AS b FROM p WHERE o = 0
+      UNION ALL
+      SELECT r.run_id, r.o + 1, CASE WHEN ({_STOP.replace('b ', 'r.b ').replace('(b,', '(r.b,')}
+                                         OR {_STOP2.replace('b ', 'r.b ').replace('(b,', '(r.b,')}) THEN r.b - 1 ELSE r.b END
+      FROM r JOIN p ON p.run_id = r.run_id AND p.o = r.o),
+x AS (SELECT p.*, r.b, {_STOP} AS s1, NOT {_STOP} AND {_STOP2} AS s2 FROM p JOIN r ON p.run_id = r.run_id AND p.o = r.o),
+y AS (SELECT *, CASE WHEN s1 THEN 2 WHEN s2 THEN 3 ELSE least(b, nc) END AS ran FROM x)
+SELECT run_id, o AS "outer", CAST(ran AS BIGINT) AS cycles_run,
+       CAST(CASE WHEN s1 THEN 1 WHEN s2 THEN 2 END AS BIGINT) AS stopped_at,
+       CAST(CASE WHEN ran = 1 THEN 0 WHEN ran = 2 THEN (CASE WHEN m1 > m0 THEN 1 ELSE 0 END)
+            WHEN m0 >= m1 AND m0 >= m2 THEN 0 WHEN m1 >= m2 THEN 1 ELSE 2 END AS BIGINT) AS best_cycle,
+       CASE WHEN ran = 1 THEN m0 WHEN ran = 2 THEN greatest(m0, m1) ELSE greatest(m0, m1, m2) END AS best_mcc,
+       CAST(CASE WHEN s1 OR s2 THEN b - 1 ELSE b END AS BIGINT) AS next_budget FROM y""")
 def q_cycle_stop(spark, sf):
     h = FX.history(spark, sf)
     h = h.select("run_id", F.floor(F.col("epoch") / 3).cast("long").alias("outer"),
