@@ -125,3 +125,26 @@ def test_parse_label_and_prompt(spark):
     m, p = TX.split_message(F.lit("Classify: a:b:c"))
     r = spark.range(1).select(m.alias("m"), p.alias("p")).first()
     assert (r["m"], r["p"]) == ("c", "a : b : ")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_context_pair_plan_has_no_dialogue_window(spark):
+    nt = TX.normalize_text(FX.turns(spark, SF))
+    plan = _plan(W.context_pair(nt))
+    assert "Window" not in plan           # previous turn is an equi-join on (group, turn - 1)
+
+
+def test_scan_prunes_columns(spark):
+    import __spark_entry__ as E
+    plan = _plan(E.queries()["scan_columns"](spark, SF))
+    assert "ReadSchema: struct<conv_id:bigint,role:string>" in plan
+
+
+def test_dense_positions_exact(spark):
+    from maskloom.operators.filters import dense_positions
+    df = spark.range(0, 1000).selectExpr("id * 7 % 1000 AS k")
+    got = sorted((r["k"], r["pos"]) for r in dense_positions(df, "k").collect())
+    assert got == [(k, i) for i, k in enumerate(sorted(r["k"] for r in df.collect()))]
