@@ -148,3 +148,18 @@ def test_dense_positions_exact(spark):
     df = spark.range(0, 1000).selectExpr("id * 7 % 1000 AS k")
     got = sorted((r["k"], r["pos"]) for r in dense_positions(df, "k").collect())
     assert got == [(k, i) for i, k in enumerate(sorted(r["k"] for r in df.collect()))]
+
+
+def test_dual_process_loop_beats_majority(spark):
+    from maskloom.plans.catalog_learn import docs_split
+    from maskloom.plans.loops import DualProcessConfig, dual_process_loop
+    tr, te = docs_split(spark, SF)
+    res = dual_process_loop(spark, tr, te, DualProcessConfig(end_epoch=2, repeat_r=1, patience=1, warmup=0))
+    rows = res.ledger.collect()
+    test_rows = [r for r in rows if r["kind"] == "test"]
+    assert test_rows
+    counts = te.groupBy("label").count().collect()
+    majority = max(r["count"] for r in counts) / sum(r["count"] for r in counts)
+    assert test_rows[0]["acc"] > majority
+    mem = spark.read.parquet(res.memory_root)
+    assert mem.count() > 0
