@@ -23,6 +23,9 @@ WHITESPACE_CLASS = (
     r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same set as literal characters (Python's str.split() separators), for translate().
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                    + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 DIALOGUE_LABELS = ["Regulating", "Negotiating", "Maintaining", "Sharing", "Other", "Off-task"]
 LABEL_TAG = "### Label:"
 SYSTEM_PROMPT = (
@@ -48,14 +51,20 @@ def space_punct(col) -> Column:
 
 
 def strip_punct(col, keep: str = "") -> Column:
-    """Delete punctuation chars, except those in ``keep``."""
+    """Delete punctuation chars, except those in ``keep`` (translate: a char map, no regex)."""
     chars = "".join(c for c in PUNCTUATION if c not in keep)
-    return F.regexp_replace(_c(col), char_class(chars), "")
+    return F.translate(_c(col), chars, "")
+
+
+def squeeze_tokens(col) -> Column:
+    """Whitespace-separated tokens, Python ``str.split()`` semantics, without a regex."""
+    spaced = F.translate(_c(col), WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def squeeze_space(col) -> Column:
     """Collapse whitespace runs to one space and trim (Python split/join)."""
-    return F.trim(F.regexp_replace(_c(col), WHITESPACE_CLASS + "+", " "))
+    return F.array_join(squeeze_tokens(col), " ")
 
 
 def strip_prefixes(col) -> Column:
