@@ -19,6 +19,22 @@ def drop_blank(df: DataFrame, col: str = "text") -> DataFrame:
     return df.filter(c.isNotNull() & (c != " ") & (c != "") & (token_count(c) > 0))
 
 
+def rank_within(df: DataFrame, key: str, order: list[str], out: str = "rank") -> DataFrame:
+    """0-based rank of each row inside its ``key`` group, ordered by ``order`` (unique per key).
+
+    A global dense position over (key, order) minus the key's first position:
+    skew-safe (a key holding a third of all rows is spread over the range
+    partitions), unlike ``row_number`` over a window partitioned by the key.
+    The per-key first positions (one row per key) are broadcast below a counted bound.
+    """
+    from maskloom.operators.splits import join_keys
+    sort_key = F.struct(F.col(key), *[F.col(c) for c in order])
+    pos = dense_positions(df.withColumn("_rk", sort_key), "_rk", out="_gp").drop("_rk")
+    first = pos.groupBy(key).agg(F.min("_gp").alias("_first"))
+    res = join_keys(pos, first, key, "inner")
+    return res.withColumn(out, (F.col("_gp") - F.col("_first")).cast("long")).drop("_gp", "_first")
+
+
 def dense_positions(df: DataFrame, order: str, out: str = "pos", partitions: int | None = None) -> DataFrame:
     """Attach ``out`` = 0-based rank of ``order`` (unique key) across the whole frame.
 

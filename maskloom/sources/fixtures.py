@@ -53,13 +53,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-run epoch metrics derived from ``events`` (one run per user)."""
-    from pyspark.sql import Window
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """Per-run epoch metrics derived from ``events`` (one run per user).
+
+    epoch = rank of the event inside its user by (ts, event_id), computed with
+    ``rank_within`` so one very active user does not land in a single task.
+    """
+    from maskloom.operators.filters import rank_within
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "event_type")
+    e = rank_within(e, "user_id", ["ts", "event_id"], out="_epoch")
     return e.select(
         F.col("user_id").cast("long").alias("run_id"),
-        (F.row_number().over(w) - 1).cast("long").alias("epoch"),
+        F.col("_epoch").alias("epoch"),
         (F.col("value") / 100.0).alias("acc"),
         hunit(F.lit("f1"), F.col("event_id")).alias("f1"),
         (hunit(F.lit("mcc"), F.col("event_id")) * 2.0 - 1.0).alias("mcc"),
