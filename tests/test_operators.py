@@ -163,3 +163,18 @@ def test_dual_process_loop_beats_majority(spark):
     assert test_rows[0]["acc"] > majority
     mem = spark.read.parquet(res.memory_root)
     assert mem.count() > 0
+
+
+def test_mask_rate_search_rows(spark):
+    from maskloom.plans.catalog_learn import docs_split
+    from maskloom.plans.loops import mask_rate_search
+    tr, te = docs_split(spark, SF)
+    rows = mask_rate_search(tr, te, rates=[0.05, 0.2], epochs=2, patience=1, warmup=0).collect()
+    search = [r for r in rows if r["phase"] == "search"]
+    final = [r for r in rows if r["phase"] == "final"]
+    assert {r["rate"] for r in search} == {0.05, 0.2}
+    assert len(final) == 1 and final[0]["rate"] in (0.05, 0.2)
+    best = max(search, key=lambda r: r["mcc"])
+    assert final[0]["rate"] == best["rate"] or any(r["mcc"] == best["mcc"] and r["rate"] == final[0]["rate"]
+                                                   for r in search)
+    assert all(0.0 <= r["acc"] <= 1.0 for r in rows)
