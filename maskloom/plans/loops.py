@@ -36,7 +36,8 @@ def _eval_rows(scored: DataFrame, by: list[str]) -> DataFrame:
 def grid_search(train: DataFrame, val: DataFrame, grid: list[tuple[float, int]]) -> DataFrame:
     """Every config of the grid trained in one job; best MCC wins (first config on ties)."""
     model = L.train_classifier(train, grid)
-    scored = val.select("idx", "label").join(model.predict(val), "idx")
+    # scored rows feed two aggregates (accuracy, MCC): materialize the predictions once
+    scored = _pin(val.select("idx", "label").join(model.predict(val), "idx"))
     acc = H.accuracy(scored, ["cfg"]).drop("n")
     mc = H.mcc(scored, by=["cfg"])
     g = L.grid_frame_col(grid)
