@@ -265,8 +265,9 @@ def q_render_prompt(spark, sf):
     li = TX.label_index(FX.turns(spark, sf))
     msg, prior = TX.split_message("text")
     c = c.select("idx", F.trim("label").alias("label"), msg.alias("message"), prior.alias("prior_context"))
-    # The label index is bounded by the label cardinality: broadcast is safe.
-    c = c.join(F.broadcast(li), "label")
+    # The label index is bounded by the label cardinality; join_keys still counts it before broadcasting.
+    from maskloom.operators.splits import join_keys
+    c = join_keys(c, li, "label", "inner")
     test = TX.render_prompt("prior_context", "message")
     train = F.concat(test, F.col("label_id").cast("string"), F.lit(". "), F.col("label"))
     return c.select("idx", train.alias("train_prompt"), test.alias("test_prompt"))
