@@ -70,9 +70,8 @@ def _stopped(spark: SparkSession, hist: list[dict], warmup: int, patience: int)
 
 def _pin(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's checkpoint folder."""
-    from maskloom.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from maskloom.session import materialize
+    return materialize(df)
 
 
 def mask_rate_search(train: DataFrame, test: DataFrame, rates: list[float], epochs: int = 3,

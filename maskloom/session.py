@@ -55,3 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="maskloom-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder (never localCheckpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
