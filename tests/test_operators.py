@@ -178,3 +178,22 @@ def test_mask_rate_search_rows(spark):
     assert final[0]["rate"] == best["rate"] or any(r["mcc"] == best["mcc"] and r["rate"] == final[0]["rate"]
                                                    for r in search)
     assert all(0.0 <= r["acc"] <= 1.0 for r in rows)
+
+
+def test_load_utterances_csv_roundtrip(spark):
+    from pyspark.sql import types as T
+    from maskloom.sources import io as IO
+    t = FX.turns(spark, SF)
+    path = IO.scratch_path(spark, "csv")
+    t.select(F.col("group_id").alias("classID"), "turn", F.col("label").alias("labels"),
+             F.col("speaker").alias("Speaker"), F.col("text").alias("context")) \
+        .write.option("header", True).option("escape", '"').csv(path)
+    schema = T.StructType([T.StructField("classID", T.LongType()), T.StructField("turn", T.LongType()),
+                           T.StructField("labels", T.StringType()), T.StructField("Speaker", T.StringType()),
+                           T.StructField("context", T.StringType())])
+    cols = {"group": "classID", "turn": "turn", "text": "context", "label": "labels", "speaker": "Speaker"}
+    got = IO.load_utterances(spark, path, "csv", cols, schema=schema)
+    assert sorted(got.select("idx", "text").collect()) == sorted(t.select("idx", "text").collect())
+    no_key = IO.load_utterances(spark, path, "csv", {k: v for k, v in cols.items() if k != "turn"}, schema=schema)
+    ids = [r["idx"] for r in no_key.collect()]
+    assert sorted(ids) == list(range(t.count()))      # zipWithIndex fallback: dense, unique
