@@ -87,10 +87,9 @@ def select_variant(df: DataFrame, variant: str, fold: int, seed: int = 0, epoch:
 
 def write_snapshot(df: DataFrame, root: str, name: str, epoch: int) -> str:
     """A4: write dataset ``name`` for ``epoch``, replacing only that partition."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (df.withColumn("name", F.lit(name)).withColumn("epoch", F.lit(int(epoch)))
-       .write.mode("overwrite").partitionBy("name", "epoch").parquet(root))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("name", "epoch").parquet(root))
     return root
 
 
