@@ -68,8 +68,10 @@ def squeeze_space(col) -> Column:
 
 
 def strip_prefixes(col) -> Column:
-    """Remove every ``Classify: `` / ``Mask: `` occurrence."""
-    return F.regexp_replace(_c(col), "Classify: |Mask: ", "")
+    """Remove every ``Classify: `` / ``Mask: `` occurrence (regex only on rows that hold one)."""
+    c = _c(col)
+    has = c.contains(CLASSIFY_PREFIX) | c.contains(MASK_PREFIX)
+    return F.when(has, F.regexp_replace(c, "Classify: |Mask: ", "")).otherwise(c)
 
 
 def task_prefix(col, task: str = "classify") -> Column:
