@@ -197,3 +197,15 @@ def test_load_utterances_csv_roundtrip(spark):
     no_key = IO.load_utterances(spark, path, "csv", {k: v for k, v in cols.items() if k != "turn"}, schema=schema)
     ids = [r["idx"] for r in no_key.collect()]
     assert sorted(ids) == list(range(t.count()))      # zipWithIndex fallback: dense, unique
+
+
+def test_rank_within_hot_key(spark):
+    from pyspark.sql import Window
+    from maskloom.operators.filters import rank_within
+    # key 0 holds a third of all rows
+    df = spark.range(0, 3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id % 97 + 1 END AS k",
+                                         "(id * 7919) % 3001 AS t", "id")
+    got = {r["id"]: r["rank"] for r in rank_within(df, "k", ["t", "id"]).collect()}
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = {r["id"]: r["rn"] - 1 for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == want
