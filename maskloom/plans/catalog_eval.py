@@ -27,9 +27,7 @@ def memory_prev(spark, sf):
     mem = mem.withColumn("pred_words", F.when(F.col("correct") == 1, F.col("mask_words"))
                          .otherwise(F.array().cast("array<string>")))
     mem = mem.withColumn("valid_correct", F.when((F.col("correct") == 1) & (F.size("mask_words") > 0), F.lit(1)))
-    # read by the judged split, the update and the stats: draw the masks once
-    from maskloom.plans.loops import _pin
-    return _pin(mem)
+    return mem
 
 
 def judged(spark, sf, mem):
