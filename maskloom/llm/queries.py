@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import decontaminate, packing, quality_rules, secret_scan, tokens
+from maskloom.llm import decontaminate, jaccard_join, packing, quality_rules, secret_scan, tokens
 from maskloom.llm.common import table
 from maskloom.llm.registry import query
 
@@ -42,3 +42,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", size("assign"), size("access"), size("hex"), size("markov"),
         F.sha2(secret_scan.joined("assign", "access", "hex").cast("binary"), 256).alias("base_sha256"),
         secret_scan.joined(*secret_scan.KINDS).alias("spans"))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
