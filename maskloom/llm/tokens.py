@@ -36,15 +36,23 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 #: How a tokenizer treats the space before a word: dropped, or kept as the word's first byte.
 BOUNDARY = {WORD_BPE: "dropped", BYTE_BPE: "leading"}
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 CACHE_LENGTH = 48
-#: White space beside a space: only then can a token reach across a space before a word.
-_UNSAFE = re.compile(r"\s |[ ]\s|^ | $")
+#: Stands alone between new words that are encoded as one text; words that hold it are encoded alone.
+_MARK = "\x01"
+_MARKED_WORDS = 2_000
+#: ASCII marks that end a word: after a letter they are tokens of their own.
+_TAIL = ".,;:!?%$&*#|)"
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A public tokenizer with a bounded cache of words, for texts cut where no token can reach across."""
+    """A public tokenizer with a bounded cache of words, for texts cut where no token can reach across.
+
+    A text is cut at its spaces. Where the tokenizer drops white space that is
+    always safe. Where the space is the next word's first byte it is safe
+    unless other white space stands beside it; such texts are encoded whole.
+    """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,50 +62,100 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.boundary = BOUNDARY.get(name)
-        self.known: dict[str, bytes] = {"": b""} if self.boundary == "dropped" else {}
+        self.known: dict[str, bytes | None] = {}
+        self.plain: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in
                 self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _marked(self, words: list[str], before: str, mark: str) -> list[bytes]:
+        """Ids of each word as it stands after ``before``, many words to a text with ``mark`` between them."""
+        ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        middle = self.tokenizer.encode(_MARK, add_special_tokens=False).ids[-1]
+        left, right = ids.index(middle), len(ids) - ids.index(middle)
+        groups = [words[a:a + _MARKED_WORDS] for a in range(0, len(words), _MARKED_WORDS)]
+        texts = [before + (mark + before).join(g) for g in groups]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            at = np.array(e.ids, "<u4")
+            raw = at.tobytes()
+            marks = np.flatnonzero(at == middle)
+            if len(marks) != len(group) - 1:
+                raise ValueError("the mark between words is not a token of its own")
+            starts, ends = [0, *(4 * (marks + right)).tolist()], [*(4 * (marks - left)).tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip(starts, ends)]
+        return out
+
+    def _learn(self, words: set[str], known: dict[str, bytes | None], before: str, mark: str) -> None:
+        """Add words to ``known``; None marks a word whose text must be encoded whole.
+
+        A word's stem is looked up without the marks that end it, and without
+        case where the tokenizer folds it (ASCII only: beyond, folding and
+        composition may not commute).
+        """
+        fold = self.boundary == "dropped"
+        split, odd = [], []
+        for w in words:
+            if _MARK in w or not w or w.strip() != w:
+                odd.append(w)
+                continue
+            stem = w.rstrip(_TAIL)
+            if not stem or not stem[-1].lower().isalpha():
+                stem = w
+            split.append((w, stem.lower() if fold and stem.isascii() else stem, w[len(stem):]))
+        fresh = list({stem for _, stem, _ in split if stem not in known})
+        known.update(zip(fresh, self._marked(fresh, before, mark)))
+        tails = list({t for _, _, t in split if t not in self.tails})
+        self.tails.update(zip(tails, self._encode(tails)))
+        for w, stem, tail in split:
+            known[w] = known[stem] + self.tails[tail]
+        known.update(dict.fromkeys(odd) if not fold else zip(odd, self._encode(odd)))
+
+    def _resolve(self, new: set[str]) -> None:
+        if self.boundary == "dropped":
+            self._learn(new, self.known, "", f" {_MARK} ")
+            return
+        # a line end between two words is a token of its own, and the next word has no space before it
+        lines = {w: w.split("\n") for w in new if "\n" in w}
+        single = {w for w in new if w not in lines}
+        single.update(x[0] for x in lines.values() if x[0] not in self.known)
+        self._learn(single, self.known, " ", f" {_MARK}")
+        rest = {y for x in lines.values() for y in x[1:]}
+        rest.difference_update(self.plain)
+        self._learn(rest, self.plain, "", f"\n{_MARK}\n")
+        end = self._encode(["\n"])[0]
+        for w, x in lines.items():
+            parts = [self.known[x[0]], *(self.plain[y] for y in x[1:])]
+            self.known[w] = None if None in parts else end.join(parts)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self.boundary is None:
             return self._encode(texts)
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""} if self.boundary == "dropped" else {}
-        known = self.known
-        leading = self.boundary == "leading"
-        words: list[list[str] | None] = []
-        heads: list[str] = []
-        new: set[str] = set()
-        for t in texts:
-            if not leading:
-                parts = t.replace("\n", " ").split(" ")
-            elif _UNSAFE.search(t):
-                words.append(None)
-                heads.append(t)
-                continue
-            else:
-                parts = t.split(" ")
-                heads.append(parts[0])
-                del parts[0]
-            words.append(parts)
-            new.update(parts)
+        if len(self.known) + len(self.plain) > CACHE_WORDS:
+            self.known, self.plain, self.tails = {}, {}, {"": b""}
+        known, leading = self.known, self.boundary == "leading"
+        words = [t.split(" ") if leading else t.replace("\n", " ").split(" ") for t in texts]
+        heads = [x.pop(0) for x in words] if leading else []
+        new = set().union(*words)
         new.difference_update(known)
-        fresh = list(new)
-        got = dict(zip(fresh, self._encode([" " + w for w in fresh] if leading else fresh)))
-        first = iter(self._encode(heads)) if leading else None
-        known_now = known.copy() if len(got) > CACHE_WORDS else known
-        known_now.update(got)
+        self._resolve(new)
+        first = self._encode(heads) if leading else None
         out = []
-        for parts in words:
-            head = next(first) if leading else b""
-            out.append(head if parts is None else head + b"".join(map(known_now.__getitem__, parts)))
-        if known_now is known:
-            for w in fresh:
-                if len(w) > CACHE_LENGTH:
-                    del known[w]
+        for k, (t, parts) in enumerate(zip(texts, words)):
+            try:
+                if not leading:
+                    out.append(b"".join(map(known.__getitem__, parts)))
+                elif parts and heads[k].strip() != heads[k]:
+                    out.append(self._encode([t])[0])
+                else:
+                    out.append(first[k] + b"".join(map(known.__getitem__, parts)))
+            except TypeError:  # an odd word
+                out.append(self._encode([t])[0])
+        for w in [w for w in new if len(w) > CACHE_LENGTH]:
+            known.pop(w, None)
         return out
 
 
