@@ -7,6 +7,7 @@ A null text counts as the empty text everywhere.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -54,6 +55,12 @@ def drop_saved(df: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, on which Spark's cleaner deletes the shuffle files of finished plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,7 +191,7 @@ def _attach_sets(words: int):
                 h, first = shingle_hashes(*word_hashes(data, offsets), words)
                 sets = [np.unique(h[a:b]) for a, b in zip(first, first[1:])]
                 part = tasks.slice(row, n)
-                counts = np.array([len(x) for x in part], np.int64)
+                counts = pc.list_value_length(part).to_numpy(zero_copy_only=False)
                 where = np.repeat(np.arange(n), counts)
                 flat = part.flatten()
                 step = max(1, (4 << 20) // max(1, max(map(len, sets), default=1) * 8))

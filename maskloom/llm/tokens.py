@@ -36,7 +36,7 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 #: How a tokenizer treats the space before a word: dropped, or kept as the word's first byte.
 BOUNDARY = {WORD_BPE: "dropped", BYTE_BPE: "leading"}
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 CACHE_LENGTH = 48
 #: Stands alone between new words that are encoded as one text; words that hold it are encoded alone.
 _MARK = "\x01"
