@@ -23,17 +23,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.common import (U64, binary_rows, column, drop_saved, mix, partitions, prefix_hash, range_hash, release, save,
                                  sorted_groups, text_slices)
 from maskloom.llm.jaccard_join import text_node
 
-GRAM = 32
+GRAM = 104
 SHALLOW = 2
 #: Different surroundings of one gram that are sorted together; larger groups are split by content.
 GROUP = 8192
+#: Base of a packed position: position, bytes before, bytes after.
+PACK = 4096
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -70,16 +72,45 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _find(length: int):
+    """Rows (key, around, id, place): the anchors of every text; ``place`` packs position and extents."""
     def run(batches):
         for batch in batches:
             for row, n, data, offsets in text_slices(batch, "_text"):
                 at, key, around, doc, left, right = _anchors(data, offsets, length)
                 if len(at):
+                    place = ((at - offsets[doc]) * PACK + left) * PACK + right
                     yield pa.RecordBatch.from_arrays([
                         pa.array(key.view(np.int64)), pa.array(around.view(np.int64)),
-                        column(batch, "_node").take(pa.array(row + doc)), pa.array((at - offsets[doc]).astype(np.int32)),
-                        pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))],
-                        names=["key", "around", "node", "at", "before", "after"])
+                        column(batch, "_id").take(pa.array(row + doc)), pa.array(place)], names=["key", "around", "id", "place"])
+    return run
+
+
+def _combine(limit: int = 1 << 20):
+    """Anchors of equal surroundings within a task, counted before they are shuffled."""
+    def flush(held):
+        table = pa.Table.from_batches(held)
+        key, around = (table.column(c).to_numpy() for c in ("key", "around"))
+        order = np.lexsort((around, key))
+        new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(around[order]) != 0))
+        first = np.flatnonzero(new)
+        pick = order[first]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[pick]), pa.array(around[pick]), pa.array(np.diff(np.append(first, len(order)))),
+             *(pa.array(table.column(c).to_numpy()[pick]) for c in ("id", "place"))],
+            names=["key", "around", "n", "id", "place"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= limit:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
     return run
 
 
@@ -96,15 +127,15 @@ def _surroundings(length: int):
                 flat = part.flatten()
                 if not len(flat):
                     continue
-                at = flat.field(2).to_numpy() + offsets[doc]
-                before, after = flat.field(3).to_numpy().astype(np.int64), flat.field(4).to_numpy().astype(np.int64)
+                place = flat.field(2).to_numpy()
+                at, before, after = place // PACK // PACK + offsets[doc], place // PACK % PACK, place % PACK
                 where = np.arange(-room, length)
                 index = np.clip(at[:, None] + where[None, :], 0, len(data) - 1)
                 inside = (where[None, :] >= -before[:, None]) & (where[None, :] < after[:, None])
                 body = np.where(inside, data[index], 0).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field(0), flat.field(1), flat.field(5), flat.field(3), flat.field(4),
-                     binary_rows(body.reshape(-1), np.arange(len(at) + 1) * (room + length))],
+                    [flat.field(0), flat.field(1), flat.field(3), pa.array(before.astype(np.int16)),
+                     pa.array(after.astype(np.int16)), binary_rows(body.reshape(-1), np.arange(len(at) + 1) * (room + length))],
                     names=["key", "around", "split", "before", "after", "bytes"])
     return run
 
@@ -257,53 +288,66 @@ def _sort(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = 200) -> DataFrame:
-    """``(node, spans)``: for each text with repeats, the byte intervals around anchors that repeats cover.
+def text_ids(docs: DataFrame, text: str) -> Column:
+    """A 64-bit id for each different text: a salted hash, salted anew if two texts of this table ever share one."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    salt = 0
+    while True:
+        name = F.xxhash64(F.lit(salt), body)
+        seen = docs.select(name.alias("id"), text_node(text).alias("node")).groupBy("id").agg(
+            F.min("node").alias("a"), F.max("node").alias("b"))
+        if seen.where("a != b").isEmpty():
+            return name
+        salt += 1
 
-    ``node`` names a text (16 bytes); rows of equal text have equal spans. A text
-    of several rows has one span over all its bytes.
+
+def repeated_spans(docs: DataFrame, name: Column, *, text: str = "text", length: int = 200) -> DataFrame:
+    """``(id, spans)``: for each text with repeats, the byte intervals around anchors that repeats cover.
+
+    ``name`` is the id of a row's text; rows of equal text have equal spans.
     """
-    if length % 8 or length < GRAM + 8:
-        raise ValueError("length must be a multiple of 8, at least 40")
+    if length % 8 or not GRAM + 8 <= length < PACK:
+        raise ValueError(f"length must be a multiple of 8 from {GRAM + 8} to {PACK - 1}")
     spark = docs.sparkSession
-    source = docs.select(F.col(text).alias("_text"), text_node(text).alias("_node"))
-    anchors = save(source.mapInArrow(_find(length), "key long, around long, node binary, at int, before short, after short"),
-                   "anchors")
-    place = F.struct("node", "at", "before", "after")
-    around = save(anchors.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("r"))
-                  .select("key", "around", "n", "r.*"), "surroundings")
+    source = docs.select(F.col(text).alias("_text"), name.alias("_id"))
+    anchors = save(source.mapInArrow(_find(length), "key long, around long, id long, place long"), "anchors")
+    # one exchange by gram serves the counts of surroundings and the number of them a gram has
+    around = anchors.mapInArrow(_combine(), "key long, around long, n long, id long, place long").repartition("key")
+    around = around.groupBy("key", "around").agg(F.sum("n").alias("n"), F.first("id").alias("id"), F.first("place").alias("place"))
+    around = around.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    around = save(around.where("n > 1 or m > 1"), "surroundings")
     release(spark)
     # grams with several different surroundings are sorted
-    several = around.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    wanted = around.join(several, "key").groupBy("node").agg(F.collect_list(F.struct(
-        "key", "around", "at", "before", "after", (F.col("m") > GROUP).alias("split"))).alias("wanted"))
-    body = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text"), text_node(text).alias("_node"))
-    once = body.groupBy("_node").agg(F.min("_id").alias("_least"))
-    wanted = wanted.join(once, F.col("node") == F.col("_node")).drop("_node")
-    text_rows = body.join(wanted, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("_least"))) \
-        .select("_text", "wanted")
-    bodies = text_rows.mapInArrow(_surroundings(length), "key long, around long, split boolean, before short, after short, "
-                                                         "bytes binary")
+    wanted = around.where("m > 1").groupBy("id").agg(F.collect_list(F.struct(
+        "key", "around", "place", (F.col("m") > GROUP).alias("split"))).alias("wanted"))
+    bodies = source.withColumnRenamed("_id", "id").join(wanted, "id").select("_text", "wanted").mapInArrow(
+        _surroundings(length), "key long, around long, split boolean, before short, after short, bytes binary")
     bodies = bodies.mapInArrow(_split_large(length), "group long, low short, key long, around long, before short, "
                                                      "after short, bytes binary")
     sorted_ = save(bodies.repartition(partitions(spark), "group").sortWithinPartitions("group").mapInArrow(
         _sort(length), "key long, around long, high int, least int"), "repeats")
     release(spark)
     # surroundings that stand in several places repeat as a whole
-    whole = around.where("n > 1 and before + after >= " + str(length)).select(
-        "key", "around", F.col("before").cast("int").alias("high"), F.greatest(F.lit(0), length - F.col("after")).cast(
-            "int").alias("least"))
+    before, after = F.expr(f"cast(place div {PACK} % {PACK} as int)"), F.expr(f"cast(place % {PACK} as int)")
+    whole = around.where("n > 1").where(before + after >= length).select(
+        "key", "around", before.alias("high"), F.greatest(F.lit(0), length - after).alias("least"))
     covered = whole.unionByName(sorted_).groupBy("key", "around").agg(F.max("high").alias("high"), F.min("least").alias("least"))
+    at = F.expr(f"place div {PACK * PACK}")
     spans = anchors.join(covered, ["key", "around"]).select(
-        "node", F.struct((F.col("at") - F.col("high")).alias("a"), (F.col("at") - F.col("least") + length).alias("b")).alias("s"))
-    return spans.groupBy("node").agg(F.collect_set("s").alias("spans"))
+        "id", F.struct((at - F.col("high")).alias("a"), (at - F.col("least") + length).alias("b")).alias("s"))
+    spans = save(spans.groupBy("id").agg(F.collect_set("s").alias("spans")), "spans")
+    for done in (anchors, around, sorted_):
+        drop_saved(done)
+    release(spark)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], *, text: str = "text", length: int = 200) -> DataFrame:
     """``keep`` columns, ``kept`` (remaining bytes), ``n_bytes``, ``n_removed`` and ``removed`` (maximal runs) for each row."""
-    spans = save(repeated_spans(docs, text=text, length=length), "spans")
-    source = docs.select(*keep, F.col(text).alias("_text"), text_node(text).alias("_node"))
-    source = source.join(spans, F.col("_node") == F.col("node"), "left").select(*keep, "_text", "spans")
+    name = text_ids(docs, text)
+    spans = repeated_spans(docs, name, text=text, length=length).withColumnRenamed("id", "_sid")
+    source = docs.select(*keep, F.col(text).alias("_text"), name.alias("_id"))
+    source = source.join(spans, F.col("_id") == F.col("_sid"), "left").select(*keep, "_text", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
 
     def run(batches):
