@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import decontaminate, jaccard_join, packing, quality_rules, secret_scan, suffix_dedup, tokens
+from maskloom.llm import context_mixing, decontaminate, jaccard_join, packing, qda, quality_rules, secret_scan, suffix_dedup, tokens
 from maskloom.llm.common import table
 from maskloom.llm.registry import query
 
@@ -54,3 +54,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_context_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
