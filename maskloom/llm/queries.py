@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import context_mixing, decontaminate, jaccard_join, packing, qda, quality_rules, secret_scan, suffix_dedup, tokens
+from maskloom.llm import (compact_windows, context_mixing, decontaminate, jaccard_join, packing, qda, quality_rules,
+                          secret_scan, suffix_dedup, tokens)
 from maskloom.llm.common import table
 from maskloom.llm.registry import query
 
@@ -56,6 +57,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op2_compact_windows")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
 @query("op3_context_mixing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score(table(spark, sf_dir, "documents"))
