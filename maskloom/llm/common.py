@@ -8,6 +8,7 @@ A null text counts as the empty text everywhere.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -57,8 +58,10 @@ def drop_saved(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Have the driver collect its garbage, on which Spark's cleaner deletes the shuffle files of finished plans."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # Python's references first, then what the JVM held for them; the cleaner works beside us
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:
