@@ -25,12 +25,12 @@ def rank_within(df: DataFrame, key: str, order: list[str], out: str = "rank") ->
     A global dense position over (key, order) minus the key's first position:
     skew-safe (a key holding a third of all rows is spread over the range
     partitions), unlike ``row_number`` over a window partitioned by the key.
-    The per-key first positions (one row per key) are broadcast below a counted bound.
+    The per-key first positions (one row per key) are joined back null-safe.
     """
     from maskloom.operators.splits import join_keys
     sort_key = F.struct(F.col(key), *[F.col(c) for c in order])
     pos = dense_positions(df.withColumn("_rk", sort_key), "_rk", out="_gp").drop("_rk")
-    first = pos.groupBy(key).agg(F.min("_gp").alias("_first"))
+    first = pos.groupBy(key).agg(F.min("_gp").alias("_first"))  # null keys form a group of their own
     res = join_keys(pos, first, key, "inner")
     return res.withColumn(out, (F.col("_gp") - F.col("_first")).cast("long")).drop("_gp", "_first")
 

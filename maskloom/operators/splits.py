@@ -16,18 +16,15 @@ from pyspark.sql import functions as F
 from maskloom.functions.hashing import hkey, hunit
 from maskloom.operators.filters import dense_positions
 
-BROADCAST_MAX_ROWS = 2_000_000  # largest key table we broadcast (checked by count)
-
 
 def join_keys(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi / anti / left join with a key table: broadcast only below a counted bound.
+    """Null-safe join with a key table (one row per key); a null key is a key like any other.
 
-    Above the bound the join shuffles and AQE's skew-join handling splits a hot
-    key's partition.
+    Spark picks the join: it broadcasts below its own size limit, and beyond it
+    shuffles, where AQE's skew-join handling splits a hot key's partition.
     """
-    n = keys.count()
-    side = F.broadcast(keys) if n <= BROADCAST_MAX_ROWS else keys
-    return df.join(side, on, how)
+    side = keys.withColumnRenamed(on, "_on")
+    return df.join(side, F.col(on).eqNullSafe(F.col("_on")), how).drop("_on")
 
 
 def random_split(df: DataFrame, val_size: float, seed: int, exact: bool = False, key: str = "idx") -> DataFrame:

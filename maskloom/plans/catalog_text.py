@@ -22,7 +22,7 @@ def _norm(spark, sf, keep=""):
 
 # --- A1 / A2 --------------------------------------------------------------------------------
 @register("load_utterances", f"""
-SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS idx, CAST(conv_id AS BIGINT) AS group_id,
+SELECT CAST(conv_id * 4294967296 + turn AS BIGINT) AS idx, CAST(conv_id AS BIGINT) AS group_id,
        CAST(turn AS BIGINT) AS turn, role AS speaker, role AS label, text FROM conversations""")
 def q_load_utterances(spark, sf):
     return IO.load_utterances(spark, f"{sf}/conversations.parquet", "parquet",
@@ -276,7 +276,7 @@ def q_render_prompt(spark, sf):
 def _gen_sql():
     pick = f"CAST(('0x' || substr({S.hkey(S.lit('gen'), 'idx')}, 1, 4)) AS BIGINT)"
     labels = "[" + ", ".join(S.lit(x) for x in TX.DIALOGUE_LABELS) + "]"
-    head = "substr(text, 1, 40)"
+    head = "text"
     tag = S.lit(" " + TX.LABEL_TAG + " ")
     return (f"g0 AS (SELECT idx, label, text, {pick} AS pick FROM turns), "
             f"gen AS (SELECT idx, label, CASE floor(pick / 36) % 4 "

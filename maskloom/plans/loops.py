@@ -107,14 +107,14 @@ def mask_rate_search(train: DataFrame, test: DataFrame, rates: list[float], epoc
                     return hist, es
         return hist, hist[-1]["epoch"]
 
-    for i, rate in enumerate(rates):
-        hist, es = run(rate, epochs, rand_seed * 100 + i, val)
+    for rate in rates:
+        hist, es = run(rate, epochs, rand_seed, val)
         rows += [("search", float(rate), d["epoch"], rand_seed, d["acc"], d["f1"], d["mcc"]) for d in hist]
     search = [r for r in rows if r[0] == "search"]
     best = max(range(len(search)), key=lambda k: (search[k][6], -k))
     best_rate = search[best][1]
     for seed in seeds:
-        hist, es = run(best_rate, epochs, seed * 100, val)
+        hist, es = run(best_rate, epochs, seed, val)
         # final: the model of the early-stop epoch, evaluated on the (unmasked) test split
         r = _metrics_row(models[es], test, "text")
         rows.append(("final", float(best_rate), es, seed, r["acc"], r["f1"], r["mcc"]))

@@ -66,13 +66,12 @@ def parse_mask(e: str) -> str:
 
 
 def turns_cte() -> str:
-    return ("turns AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS idx, CAST(conv_id AS BIGINT) AS group_id, "
+    return ("turns AS (SELECT CAST(conv_id * 4294967296 + turn AS BIGINT) AS idx, CAST(conv_id AS BIGINT) AS group_id, "
             "CAST(turn AS BIGINT) AS turn, role AS speaker, role AS label, text FROM conversations)")
 
 
 def docs_cte() -> str:
-    return ("docs AS (SELECT CAST(d.doc_id AS BIGINT) AS idx, d.source AS group_id, d.text, d.lang AS label, "
-            "l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
+    return ("docs AS (SELECT CAST(doc_id AS BIGINT) AS idx, source AS group_id, text, lang AS label FROM documents)")
 
 
 def normalized_cte(name: str, src: str, remove_punct: bool = True, keep: str = "",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from maskloom.functions.hashing import hkey, hunit
 from maskloom.functions.text import DIALOGUE_LABELS, LABEL_TAG, squeeze_space, tokens
 
-TURN_SPAN = 1000  # idx = conv_id * TURN_SPAN + turn; turns stay below it
+TURN_SPAN = 1 << 32  # idx = conv_id * TURN_SPAN + turn: no dialogue has so many turns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a learnable label (language) and optional quality flags."""
+    """Documents with a learnable label (language)."""
     d = table(spark, sf_dir, "documents")
-    lab = table(spark, sf_dir, "labels")
-    return (d.join(lab, "doc_id", "left")
-             .select(F.col("doc_id").cast("long").alias("idx"), F.col("source").alias("group_id"),
-                     "text", F.col("lang").alias("label"), "quality", "toxic"))
+    return d.select(F.col("doc_id").cast("long").alias("idx"), F.col("source").alias("group_id"),
+                    "text", F.col("lang").alias("label"))
 
 
 def rule_pred(text) -> F.Column:
@@ -95,7 +93,7 @@ def gen_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = F.conv(F.substring(hkey(F.lit("gen"), F.col("idx")), 1, 4), 16, 10).cast("long")
     lab = F.element_at(F.array(*[F.lit(x) for x in DIALOGUE_LABELS]), (pick % 6 + 1).cast("int"))
     digit = (F.floor(pick / 6) % 6 + 1).cast("string")
-    head = F.substring(F.col("text"), 1, 40)
+    head = F.col("text")
     kind = F.floor(pick / 36) % 4
     out = (F.when(kind == 0, F.concat(head, F.lit(" " + LABEL_TAG + " "), lab, F.lit(" it is")))
             .when(kind == 1, F.concat(head, F.lit(" " + LABEL_TAG + " "), digit, F.lit(".")))

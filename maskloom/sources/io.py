@@ -19,7 +19,7 @@ UTTERANCE_SCHEMA = T.StructType([
 
 
 def load_utterances(spark: SparkSession, path: str, fmt: str = "parquet", cols: dict | None = None,
-                    schema: T.StructType | None = None, turn_span: int = 1000) -> DataFrame:
+                    schema: T.StructType | None = None, turn_span: int = 1 << 32) -> DataFrame:
     """A1: read one split and bind group / turn / text / label / speaker columns.
 
     ``cols`` maps logical names to source columns (``group``, ``turn``, ``text``,
@@ -45,7 +45,9 @@ def load_utterances(spark: SparkSession, path: str, fmt: str = "parquet", cols:
                     pick("speaker").cast("string").alias("speaker"), pick("label").cast("string").alias("label"),
                     pick("text").cast("string").alias("text"))
     if cols.get("group") and cols.get("turn"):
-        return out.select((F.col("group_id") * turn_span + F.col("turn")).cast("long").alias("idx"), *out.columns)
+        turn = F.when(F.col("turn").between(0, turn_span - 1), F.col("turn")).otherwise(
+            F.raise_error(F.concat(F.lit("turn outside its span: "), F.coalesce(F.col("turn").cast("string"), F.lit("null")))))
+        return out.select((F.col("group_id") * turn_span + turn).cast("long").alias("idx"), *out.columns)
     indexed = out.rdd.zipWithIndex().map(lambda r: (r[1],) + tuple(r[0]))
     return spark.createDataFrame(indexed, UTTERANCE_SCHEMA)
 

@@ -20,13 +20,17 @@ from maskloom.operators.scoring import score_batches
 
 def stream_score(spark: SparkSession, source_dir: str, schema: T.StructType, sink: str, checkpoint: str,
                  load_model: Callable[[], object], prepare: Callable[[DataFrame], DataFrame] | None = None,
-                 glob: str | None = None, batch_size: int = 64, available_now: bool = True):
+                 glob: str | None = None, batch_size: int = 64, available_now: bool = True,
+                 max_files: int | None = None):
     """Start the scoring stream; returns the ``StreamingQuery``.
 
     ``prepare`` maps raw source rows to (idx, group_id, label, text).
     ``available_now`` processes everything present, then stops (batch-like run).
+    ``max_files`` throttles a micro-batch; by default a batch takes all new files.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     src = reader.parquet(source_dir)

@@ -52,7 +52,7 @@ def test_kernel_matches_brute_force(spark, k):
 
 def test_kernel_partition_independent(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet") \
-        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), "text")
+        .select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("idx"), "text")
     df = normalize_text(df)
     a = draw_masks(df.coalesce(1), "text", "idx", 3, 1).select("idx", "masked_sent")
     b = draw_masks(df.repartition(8), "text", "idx", 3, 1).select("idx", "masked_sent")

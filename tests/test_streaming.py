@@ -15,7 +15,7 @@ def test_stream_resume_is_idempotent(spark):
     sink, ckpt = IO.scratch_path(spark, "sink"), IO.scratch_path(spark, "ckpt")
 
     def prepare(b):
-        return b.select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("idx"),
+        return b.select((F.col("conv_id") * (1 << 32) + F.col("turn")).cast("long").alias("idx"),
                         F.col("conv_id").cast("long").alias("group_id"), F.col("role").alias("label"), "text")
 
     for _ in range(2):
