@@ -224,6 +224,8 @@ class _ShardWriter:
             ids = np.concatenate([ids, np.zeros(pad, self.type)])
             whole += 1
         else:
+            if not last:  # only full batches before the last, so that a sequence's batch is known
+                whole -= whole % self.rows
             mask = np.ones(whole * self.length, bool)
         for a in range(0, whole, self.rows):
             cut = slice(a * self.length, min(whole, a + self.rows) * self.length)
