@@ -27,11 +27,10 @@ from maskloom.functions.masks import pin_columns
 
 # Fixed patterns.
 ASSIGN = (r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
-          r"|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+")
+          r"|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
-VALUE = r"[A-Za-z0-9+/_.=-]+$"
 #: Strings that the models judge: 16 or more key characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: What a candidate holds besides letters of one case.
@@ -62,7 +61,7 @@ def spans_of(text: Column, pattern: str, kind: str) -> Column:
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with array columns ``assign``, ``access`` and ``hex`` of base spans (failing matches dropped)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    long_value = lambda s: F.length(F.regexp_extract(s["value"], VALUE, 0)) >= 12
+    long_value = lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= 12
     return pin_columns(docs, assign=F.filter(spans_of(body, ASSIGN, "assign"), long_value),
                        access=spans_of(body, ACCESS, "access"), hex=spans_of(body, HEX, "hex"))
 
@@ -79,8 +78,9 @@ def train(docs: DataFrame, text: str = "text") -> dict[str, float] | None:
     """Log ratio (random against ordinary) of each transition, from labelled strings of all documents."""
     body = F.coalesce(F.col(text), F.lit(""))
     found = base_spans(docs.select(text), text)
-    values = found.select(F.explode(F.transform(F.concat("assign", "access", "hex"), lambda s: F.regexp_extract(
-        s["value"], VALUE, 0))).alias("value"), F.lit(1).alias("n"))
+    values = found.select(F.explode(F.concat(
+        F.transform("assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 1)),
+        F.transform(F.concat("access", "hex"), lambda s: s["value"]))).alias("value"), F.lit(1).alias("n"))
     words = docs.select(F.explode(F.regexp_extract_all(body, F.lit(ORDINARY), F.lit(0))).alias("value"))
     # each distinct word is one sample, so that one very common word cannot make the model
     words = words.groupBy("value").agg(F.lit(1).alias("n"))
