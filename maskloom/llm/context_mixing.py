@@ -1,15 +1,16 @@
 """Operator 3: language-model scores by logistic context mixing.
 
 A text is its words, A-Z lower-cased, joined by single spaces and ended by one
-end symbol, predicted bit by bit. Bit predictors of orders 1 to 5 read hashed
-contexts (the bytes before, and the bits of the byte so far) in tables of
-2**TABLE_BITS slots of zeros and ones counted over all training texts. Their
-stretched probabilities are mixed by weights gated on bit place and on the highest
-order with evidence, learnt online by logistic gradient steps, with each
-window's own occurrence left out of the counts; an adaptive probability map then
-refines the mix. A bit's context lies in a window of six bytes, so the
-corpus is gathered as counts of its different windows (a table that grows with
-the input), and a worker evaluates each different window once.
+end symbol, predicted bit by bit. Bit predictors of orders 1 to 4 and of the word so
+far read hashed contexts (the bytes before, or those since the last space, and the
+bits of the byte so far) in tables of 2**TABLE_BITS slots of zeros and ones counted
+over all training texts. Their stretched probabilities are mixed by weights gated on
+bit place and on the evidence behind the word so far, learnt online by logistic
+Newton steps, with each window's own occurrence left out of the counts; an
+adaptive probability map then refines the mix. A bit's context lies in a window of
+five bytes and a 24-bit hash of the word so far, so the corpus is gathered as counts
+of its different windows (a table that grows with the input), and a worker evaluates
+each different window once.
 
 The unigram base needs the training count of every word of a text: documents are
 dealt into blocks, words counted by block and summed over all, and the counts
@@ -35,11 +36,15 @@ from pyspark.sql import functions as F
 from maskloom.llm.common import (LOWER, U64, column, drop_saved, held_out, mix, partitions, prefix_hash, range_hash, release,
                                  save, text_slices, word_spans)
 
-ORDERS = (1, 2, 3, 4, 5)
-TABLE_BITS = 20
-GATES = 8 * (len(ORDERS) + 1)
-INPUTS = len(ORDERS) + 1
+ORDERS = (1, 2, 3, 4)
+PREDICTORS = len(ORDERS) + 1  # the orders, then the word so far
+TABLE_BITS = 22
+EVIDENCE = np.array([0.5, 1.5, 3.5, 15.5, 255.5], np.float32)
+GATES = 8 * (len(EVIDENCE) + 1)
+INPUTS = PREDICTORS + 1
 APM_STEPS = 33
+#: Curvature that a gate starts with: evidence for its first weights.
+RIDGE = 50.0
 #: Windows of one training task; more windows make more tasks.
 TASK_WINDOWS = 1_000_000
 SPACE, END = 32, 10
@@ -68,9 +73,13 @@ def _streams(data: np.ndarray, offsets: np.ndarray):
 
 
 def _windows(body: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Each byte with the five before it in its text (the end symbol before the text), packed into 48 bits."""
-    local = np.arange(len(body)) - np.repeat(first[:-1], np.diff(first))
-    out = body.astype(U64)
+    """Each byte, the four before it in its text (the end symbol before the text) and a hash of its word so far, packed."""
+    index = np.arange(len(body))
+    local = index - np.repeat(first[:-1], np.diff(first))
+    fresh = np.ones(len(body), bool)  # every text's last byte is the end symbol
+    fresh[1:] = (body[:-1] == SPACE) | (body[:-1] == END)
+    word = np.maximum.accumulate(np.where(fresh, index, 0))
+    out = body.astype(U64) | ((range_hash(prefix_hash(body), word, index) >> U64(40)) << U64(40))
     for lag in range(1, ORDERS[-1] + 1):
         before = np.empty(len(body), U64)
         before[lag:] = body[:-lag] if lag < len(body) else 0
@@ -139,7 +148,8 @@ class Model:
     @staticmethod
     def contexts(windows: np.ndarray) -> list[np.ndarray]:
         past = windows >> U64(8)
-        return [mix((past & U64((1 << 8 * k) - 1)) * U64(8) + U64(k)) for k in ORDERS]
+        orders = [mix((past & U64((1 << 8 * k) - 1)) * U64(8) + U64(k)) for k in ORDERS]
+        return [*orders, mix((windows >> U64(40)) * U64(8))]
 
     @staticmethod
     def slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
@@ -148,18 +158,16 @@ class Model:
                 for i, c in enumerate(contexts)]
 
     def inputs(self, slots: list[np.ndarray], bit: np.ndarray, leave: float) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions (and a bias), and the number of lowest orders with evidence."""
+        """Stretched predictions (and a bias), and the amount of evidence behind the word so far (a place in EVIDENCE)."""
         x = np.empty((INPUTS, len(bit)), np.float32)
         x[-1] = 0.3
-        depth = np.zeros(len(bit), np.int64)
         for i, s in enumerate(slots):
             n0, n1 = self.zeros[s], self.ones[s]
             if leave:
                 n0, n1 = n0 - leave * (1 - bit), n1 - leave * bit
             n0, n1 = np.maximum(n0, 0), np.maximum(n1, 0)
             np.log((n1 + np.float32(0.05)) / (n0 + np.float32(0.05)), out=x[i])
-            depth[n0 + n1 > 0] = i + 1
-        return np.clip(x, -12, 12), depth
+        return np.clip(x, -12, 12), np.searchsorted(EVIDENCE, n0 + n1)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("kn,nk->n", x, self.weights[gate]), -12, 12)
@@ -178,8 +186,8 @@ class Model:
         out = np.zeros(len(windows))
         for b in range(8):
             node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-            x, depth = self.inputs(self.slots(contexts, node.astype(U64)), bit, 0)
-            p = self.refined(self.mixed(x, b * (len(ORDERS) + 1) + depth), node)
+            x, evidence = self.inputs(self.slots(contexts, node.astype(U64)), bit, 0)
+            p = self.refined(self.mixed(x, b * (len(EVIDENCE) + 1) + evidence), node)
             out += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
@@ -191,7 +199,7 @@ def apm_place(stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_slots(batches):
-    zeros, ones = np.zeros(len(ORDERS) << TABLE_BITS), np.zeros(len(ORDERS) << TABLE_BITS)
+    zeros, ones = np.zeros(PREDICTORS << TABLE_BITS), np.zeros(PREDICTORS << TABLE_BITS)
     for batch in batches:
         windows, n = column(batch, "key").to_numpy().view(U64), column(batch, "n").to_numpy()
         contexts, byte = Model.contexts(windows), (windows & U64(255)).astype(np.int64)
@@ -207,32 +215,38 @@ def _count_slots(batches):
                                          names=["slot", "zeros", "ones"])
 
 
-def _learn(shared, rate: float):
-    """One online pass over a task's windows: its weights and the evidence behind each gate."""
+def _learn(shared):
+    """One online pass over a task's windows: Newton steps per gate, each on the curvature met so far.
+
+    Yields the curvature (input, other) and its product with the weights (other null) of every gate, so that
+    the tasks' weights can be averaged by the evidence behind them.
+    """
     def run(batches):
         model = Model(*shared.value)
-        model.weights = model.weights.copy()
-        mass = np.zeros(GATES)
+        weights = model.weights.astype(np.float64)
+        curve = np.tile(np.eye(INPUTS) * RIDGE, (GATES, 1, 1))
         for batch in batches:
             windows, n = column(batch, "key").to_numpy().view(U64), column(batch, "n").to_numpy().astype(np.float64)
-            for a in range(0, len(windows), 2048):
-                w, c = windows[a:a + 2048], n[a:a + 2048]
+            for a in range(0, len(windows), 8192):
+                w, c = windows[a:a + 8192], n[a:a + 8192]
                 contexts, byte = model.contexts(w), (w & U64(255)).astype(np.int64)
                 for b in range(8):
                     node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-                    x, depth = model.inputs(model.slots(contexts, node.astype(U64)), bit, 1)
-                    gate = b * (len(ORDERS) + 1) + depth
-                    error = c * (bit - 1 / (1 + np.exp(-model.mixed(x, gate))))
-                    total = np.bincount(gate, c, GATES)
-                    for k in range(INPUTS):
-                        model.weights[:, k] += rate * np.bincount(gate, error * x[k], GATES) / np.maximum(total, 1)
-                    mass += total
-        if mass.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.arange(GATES, dtype=np.int32), INPUTS)),
-                 pa.array(np.tile(np.arange(INPUTS, dtype=np.int32), GATES)),
-                 pa.array((model.weights * mass[:, None]).reshape(-1).astype(np.float64)), pa.array(np.repeat(mass, INPUTS))],
-                names=["gate", "input", "weight", "mass"])
+                    x, evidence = model.inputs(model.slots(contexts, node.astype(U64)), bit, 1)
+                    for e in np.unique(evidence):
+                        mine = evidence == e
+                        gate, xs, cs = b * (len(EVIDENCE) + 1) + e, x[:, mine].astype(np.float64), c[mine]
+                        p = 1 / (1 + np.exp(-np.clip(weights[gate] @ xs, -12, 12)))
+                        curve[gate] += (xs * (cs * np.maximum(p * (1 - p), 0.01))) @ xs.T
+                        step = np.linalg.solve(curve[gate], xs @ (cs * (bit[mine] - p)))
+                        weights[gate] += step / max(1.0, 4 * np.abs(step).max())
+        product = np.einsum("gij,gj->gi", curve, weights)
+        gate, i, j = np.indices(curve.shape, np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([gate.ravel(), gate[:, :, 0].ravel()])),
+             pa.array(np.concatenate([i.ravel(), i[:, :, 0].ravel()])),
+             pa.array(np.concatenate([j.ravel(), np.full(product.size, INPUTS, np.int32)])),
+             pa.array(np.concatenate([curve.ravel(), product.ravel()]))], names=["gate", "input", "other", "value"])
     return run
 
 
@@ -246,8 +260,8 @@ def _map_counts(shared):
             contexts, byte = model.contexts(windows), (windows & U64(255)).astype(np.int64)
             for b in range(8):
                 node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-                x, depth = model.inputs(model.slots(contexts, node.astype(U64)), bit, 1)
-                at, part = apm_place(model.mixed(x, b * (len(ORDERS) + 1) + depth))
+                x, evidence = model.inputs(model.slots(contexts, node.astype(U64)), bit, 1)
+                at, part = apm_place(model.mixed(x, b * (len(EVIDENCE) + 1) + evidence))
                 row = node * APM_STEPS + at
                 for value in (0, 1):
                     mine = bit == value
@@ -259,23 +273,26 @@ def _map_counts(shared):
     return run
 
 
-def train(windows: DataFrame, *, rounds: int = 3, rate: float = 0.02) -> Model:
+def train(windows: DataFrame, *, rounds: int = 2) -> Model:
     """The model of a table of windows (key, n). Only tables of fixed size reach the driver."""
     spark = windows.sparkSession
     tasks = 1 + windows.count() // TASK_WINDOWS
-    windows = save(windows.repartition(tasks, "key"), "windows")
+    word = F.shiftrightunsigned("key", 40)  # a word so far counts its slots in one task; the empty one, 0, in all
+    windows = save(windows.repartition(tasks, F.when(word == 0, F.col("key")).otherwise(word)), "windows")
     got = windows.mapInArrow(_count_slots, "slot int, zeros double, ones double").groupBy("slot").agg(
         F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
-    zeros, ones = np.zeros(len(ORDERS) << TABLE_BITS, np.float32), np.zeros(len(ORDERS) << TABLE_BITS, np.float32)
+    zeros, ones = np.zeros(PREDICTORS << TABLE_BITS, np.float32), np.zeros(PREDICTORS << TABLE_BITS, np.float32)
     slot = got.column("slot").to_numpy()
     zeros[slot], ones[slot] = got.column("zeros").to_numpy(), got.column("ones").to_numpy()
     model = Model(zeros, ones, np.full((GATES, INPUTS), 0.3, np.float32), None)
-    for k in range(rounds):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast((model.zeros, model.ones, model.weights, None))
-        rows = windows.mapInArrow(_learn(shared, rate / (k + 1)), "gate int, input int, weight double, mass double")
-        for r in rows.groupBy("gate", "input").agg((F.sum("weight") / F.greatest(F.sum("mass"), F.lit(1.0))).alias("w"),
-                                                   F.sum("mass").alias("m")).where("m > 0").collect():
-            model.weights[r["gate"], r["input"]] = r["w"]
+        both = np.zeros((GATES, INPUTS, INPUTS + 1))
+        for r in windows.mapInArrow(_learn(shared), "gate int, input int, other int, value double").groupBy(
+                "gate", "input", "other").agg(F.sum("value").alias("value")).collect():
+            both[r["gate"], r["input"], r["other"]] = r["value"]
+        if both.any():
+            model.weights = np.linalg.solve(both[:, :, :-1], both[:, :, -1:])[:, :, 0].astype(np.float32)
         shared.destroy()
     shared = spark.sparkContext.broadcast((model.zeros, model.ones, model.weights, None))
     apm = np.tile(np.linspace(-12, 12, APM_STEPS), 256)
