@@ -4,7 +4,7 @@ A text is its words, A-Z lower-cased, joined by single spaces and ended by one
 end symbol, predicted bit by bit. Bit predictors of orders 1 to 4 and of the word so
 far read hashed contexts (the bytes before, or those since the last space, and the
 bits of the byte so far) in tables of 2**TABLE_BITS slots of zeros and ones counted
-over all training texts. Their stretched probabilities are mixed by weights gated on
+over all training texts, kept in two bytes a slot. Their stretched probabilities are mixed by weights gated on
 bit place and on the evidence behind the word so far, learnt online by logistic
 Newton steps, with each window's own occurrence left out of the counts; an
 adaptive probability map then refines the mix. A bit's context lies in a window of
@@ -139,11 +139,34 @@ def _gather(batches):
     yield from flush()
 
 
+def _levels() -> np.ndarray:
+    """The 256 counts that a slot can tell apart: 0 to 32, then steps of 14 % up to 10**14."""
+    return np.concatenate([np.arange(33), np.geomspace(32, 1e14, 224)[1:]])
+
+
+def _answers() -> tuple[np.ndarray, np.ndarray]:
+    """Stretched prediction and evidence of every slot code, as it is, and with one zero or one one left out."""
+    zeros, ones = np.repeat(_levels(), 256), np.tile(_levels(), 256)
+    cases = [(zeros, ones), (np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0))]
+    stretch = np.concatenate([np.clip(np.log((b + 0.05) / (a + 0.05)), -12, 12) for a, b in cases])
+    return stretch.astype(np.float32), np.concatenate([np.searchsorted(EVIDENCE, a + b) for a, b in cases])
+
+
+STRETCH, BACKING = _answers()
+
+
+def slot_codes(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Counts of slots as codes: the level of the zeros in the high byte, of the ones in the low byte."""
+    levels = _levels()
+    middle = (levels[1:] + levels[:-1]) / 2
+    return (np.searchsorted(middle, zeros) << 8 | np.searchsorted(middle, ones)).astype(np.uint16)
+
+
 class Model:
-    """Counts of all predictors, mixing weights and the probability map."""
+    """Slot codes of all predictors, mixing weights and the probability map."""
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray, apm: np.ndarray | None):
-        self.zeros, self.ones, self.weights, self.apm = zeros, ones, weights, apm
+    def __init__(self, codes: np.ndarray, weights: np.ndarray, apm: np.ndarray | None):
+        self.codes, self.weights, self.apm = codes, weights, apm
 
     @staticmethod
     def contexts(windows: np.ndarray) -> list[np.ndarray]:
@@ -157,17 +180,18 @@ class Model:
         return [(((c ^ node) * U64(0xD6E8FEB86659FD93)) >> U64(64 - TABLE_BITS)).astype(np.int64) + (i << TABLE_BITS)
                 for i, c in enumerate(contexts)]
 
-    def inputs(self, slots: list[np.ndarray], bit: np.ndarray, leave: float) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions (and a bias), and the amount of evidence behind the word so far (a place in EVIDENCE)."""
+    def inputs(self, slots: list[np.ndarray], bit: np.ndarray, leave: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions (and a bias), and the amount of evidence behind the word so far (a place in EVIDENCE).
+
+        ``leave`` leaves one occurrence of the bit itself out of the counts.
+        """
         x = np.empty((INPUTS, len(bit)), np.float32)
         x[-1] = 0.3
+        case = (1 + bit) << 16 if leave else 0
         for i, s in enumerate(slots):
-            n0, n1 = self.zeros[s], self.ones[s]
-            if leave:
-                n0, n1 = n0 - leave * (1 - bit), n1 - leave * bit
-            n0, n1 = np.maximum(n0, 0), np.maximum(n1, 0)
-            np.log((n1 + np.float32(0.05)) / (n0 + np.float32(0.05)), out=x[i])
-        return np.clip(x, -12, 12), np.searchsorted(EVIDENCE, n0 + n1)
+            at = self.codes[s] + case
+            x[i] = STRETCH[at]
+        return x, BACKING[at]
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("kn,nk->n", x, self.weights[gate]), -12, 12)
@@ -186,7 +210,7 @@ class Model:
         out = np.zeros(len(windows))
         for b in range(8):
             node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-            x, evidence = self.inputs(self.slots(contexts, node.astype(U64)), bit, 0)
+            x, evidence = self.inputs(self.slots(contexts, node.astype(U64)), bit, False)
             p = self.refined(self.mixed(x, b * (len(EVIDENCE) + 1) + evidence), node)
             out += np.log10(np.where(bit == 1, p, 1 - p))
         return out
@@ -211,8 +235,14 @@ def _count_slots(batches):
     some = np.flatnonzero(zeros + ones)
     for a in range(0, len(some), 1 << 18):
         s = some[a:a + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(zeros[s]), pa.array(ones[s])],
-                                         names=["slot", "zeros", "ones"])
+        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(zeros[s].astype(np.float32)),
+                                          pa.array(ones[s].astype(np.float32))], names=["slot", "zeros", "ones"])
+
+
+def _coded(batches):
+    for batch in batches:
+        codes = slot_codes(column(batch, "zeros").to_numpy(), column(batch, "ones").to_numpy())
+        yield pa.RecordBatch.from_arrays([column(batch, "slot"), pa.array(codes.view(np.int16))], names=["slot", "code"])
 
 
 def _learn(shared):
@@ -232,7 +262,7 @@ def _learn(shared):
                 contexts, byte = model.contexts(w), (w & U64(255)).astype(np.int64)
                 for b in range(8):
                     node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-                    x, evidence = model.inputs(model.slots(contexts, node.astype(U64)), bit, 1)
+                    x, evidence = model.inputs(model.slots(contexts, node.astype(U64)), bit, True)
                     for e in np.unique(evidence):
                         mine = evidence == e
                         gate, xs, cs = b * (len(EVIDENCE) + 1) + e, x[:, mine].astype(np.float64), c[mine]
@@ -260,7 +290,7 @@ def _map_counts(shared):
             contexts, byte = model.contexts(windows), (windows & U64(255)).astype(np.int64)
             for b in range(8):
                 node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-                x, evidence = model.inputs(model.slots(contexts, node.astype(U64)), bit, 1)
+                x, evidence = model.inputs(model.slots(contexts, node.astype(U64)), bit, True)
                 at, part = apm_place(model.mixed(x, b * (len(EVIDENCE) + 1) + evidence))
                 row = node * APM_STEPS + at
                 for value in (0, 1):
@@ -279,14 +309,14 @@ def train(windows: DataFrame, *, rounds: int = 2) -> Model:
     tasks = 1 + windows.count() // TASK_WINDOWS
     word = F.shiftrightunsigned("key", 40)  # a word so far counts its slots in one task; the empty one, 0, in all
     windows = save(windows.repartition(tasks, F.when(word == 0, F.col("key")).otherwise(word)), "windows")
-    got = windows.mapInArrow(_count_slots, "slot int, zeros double, ones double").groupBy("slot").agg(
-        F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
-    zeros, ones = np.zeros(PREDICTORS << TABLE_BITS, np.float32), np.zeros(PREDICTORS << TABLE_BITS, np.float32)
-    slot = got.column("slot").to_numpy()
-    zeros[slot], ones[slot] = got.column("zeros").to_numpy(), got.column("ones").to_numpy()
-    model = Model(zeros, ones, np.full((GATES, INPUTS), 0.3, np.float32), None)
+    got = windows.mapInArrow(_count_slots, "slot int, zeros float, ones float").groupBy("slot").agg(
+        F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).mapInArrow(_coded, "slot int, code short").toArrow()
+    codes = np.zeros(PREDICTORS << TABLE_BITS, np.uint16)
+    codes[got.column("slot").to_numpy()] = got.column("code").to_numpy().view(np.uint16)
+    del got
+    model = Model(codes, np.full((GATES, INPUTS), 0.3, np.float32), None)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((model.zeros, model.ones, model.weights, None))
+        shared = spark.sparkContext.broadcast((model.codes, model.weights, None))
         both = np.zeros((GATES, INPUTS, INPUTS + 1))
         for r in windows.mapInArrow(_learn(shared), "gate int, input int, other int, value double").groupBy(
                 "gate", "input", "other").agg(F.sum("value").alias("value")).collect():
@@ -294,7 +324,7 @@ def train(windows: DataFrame, *, rounds: int = 2) -> Model:
         if both.any():
             model.weights = np.linalg.solve(both[:, :, :-1], both[:, :, -1:])[:, :, 0].astype(np.float32)
         shared.destroy()
-    shared = spark.sparkContext.broadcast((model.zeros, model.ones, model.weights, None))
+    shared = spark.sparkContext.broadcast((model.codes, model.weights, None))
     apm = np.tile(np.linspace(-12, 12, APM_STEPS), 256)
     apm = np.append(apm, apm[-1])
     for r in windows.mapInArrow(_map_counts(shared), "place int, zeros double, ones double").groupBy("place").agg(
@@ -398,7 +428,7 @@ def score(docs: DataFrame, *, text: str = "text", mod: int = 10) -> DataFrame:
         F.col("r") == 1), 1)).alias("v")).first()
     drop_saved(gathered)
     release(spark)
-    shared = spark.sparkContext.broadcast((model.zeros, model.ones, model.weights, model.apm))
+    shared = spark.sparkContext.broadcast((model.codes, model.weights, model.apm))
     fields = {f.name: f.dataType.simpleString() for f in source.schema}
     words = counts.where("r = 1").select(
         F.lit(0).alias("kind"), "block", "key", "c", F.lit(None).cast(fields["doc_id"]).alias("doc_id"),
