@@ -38,7 +38,7 @@ from maskloom.llm.common import (LOWER, U64, column, drop_saved, held_out, mix,
 
 ORDERS = (1, 2, 3, 4)
 PREDICTORS = len(ORDERS) + 1  # the orders, then the word so far
-TABLE_BITS = 22
+TABLE_BITS = 21
 EVIDENCE = np.array([0.5, 1.5, 3.5, 15.5, 255.5], np.float32)
 GATES = 8 * (len(EVIDENCE) + 1)
 INPUTS = PREDICTORS + 1
@@ -46,7 +46,7 @@ APM_STEPS = 33
 #: Curvature that a gate starts with: evidence for its first weights.
 RIDGE = 50.0
 #: Windows of one training task; more windows make more tasks.
-TASK_WINDOWS = 1_000_000
+TASK_WINDOWS = 2_000_000
 SPACE, END = 32, 10
 END_WORD = np.array([0x7E57ED], U64)
 STEP = 4 << 20
@@ -168,17 +168,25 @@ class Model:
     def __init__(self, codes: np.ndarray, weights: np.ndarray, apm: np.ndarray | None):
         self.codes, self.weights, self.apm = codes, weights, apm
 
+    @staticmethod
+    def context(windows: np.ndarray, i: int) -> np.ndarray:
+        if i == len(ORDERS):
+            return mix((windows >> U64(40)) * U64(8))
+        k = ORDERS[i]
+        return mix(((windows >> U64(8)) & U64((1 << 8 * k) - 1)) * U64(8) + U64(k))
+
     @staticmethod
     def contexts(windows: np.ndarray) -> list[np.ndarray]:
-        past = windows >> U64(8)
-        orders = [mix((past & U64((1 << 8 * k) - 1)) * U64(8) + U64(k)) for k in ORDERS]
-        return [*orders, mix((windows >> U64(40)) * U64(8))]
+        return [Model.context(windows, i) for i in range(PREDICTORS)]
 
     @staticmethod
-    def slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+    def slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
         node = node * U64(0x9E3779B97F4A7C15)
-        return [(((c ^ node) * U64(0xD6E8FEB86659FD93)) >> U64(64 - TABLE_BITS)).astype(np.int64) + (i << TABLE_BITS)
-                for i, c in enumerate(contexts)]
+        return (((context ^ node) * U64(0xD6E8FEB86659FD93)) >> U64(64 - TABLE_BITS)).astype(np.int64)
+
+    @staticmethod
+    def slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+        return [Model.slot(c, node) + (i << TABLE_BITS) for i, c in enumerate(contexts)]
 
     def inputs(self, slots: list[np.ndarray], bit: np.ndarray, leave: bool) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (and a bias), and the amount of evidence behind the word so far (a place in EVIDENCE).
@@ -223,20 +231,23 @@ def apm_place(stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_slots(batches):
-    zeros, ones = np.zeros(PREDICTORS << TABLE_BITS), np.zeros(PREDICTORS << TABLE_BITS)
-    for batch in batches:
-        windows, n = column(batch, "key").to_numpy().view(U64), column(batch, "n").to_numpy()
-        contexts, byte = Model.contexts(windows), (windows & U64(255)).astype(np.int64)
-        for b in range(8):
-            node, bit = ((1 << b) | (byte >> (8 - b))).astype(U64), ((byte >> (7 - b)) & 1).astype(bool)
-            for s in Model.slots(contexts, node):
+    """Zeros and ones of the slots that a task's windows touch, one predictor after the other."""
+    held = [(column(batch, "key").to_numpy().view(U64), column(batch, "n").to_numpy()) for batch in batches]
+    for i in range(PREDICTORS):
+        zeros, ones = np.zeros(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS)
+        for windows, n in held:
+            context, byte = Model.context(windows, i), (windows & U64(255)).astype(np.int64)
+            for b in range(8):
+                node, bit = ((1 << b) | (byte >> (8 - b))).astype(U64), ((byte >> (7 - b)) & 1).astype(bool)
+                s = Model.slot(context, node)
                 np.add.at(ones, s[bit], n[bit])
                 np.add.at(zeros, s[~bit], n[~bit])
-    some = np.flatnonzero(zeros + ones)
-    for a in range(0, len(some), 1 << 18):
-        s = some[a:a + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(zeros[s].astype(np.float32)),
-                                          pa.array(ones[s].astype(np.float32))], names=["slot", "zeros", "ones"])
+        some = np.flatnonzero(zeros + ones)
+        for a in range(0, len(some), 1 << 18):
+            s = some[a:a + (1 << 18)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((s + (i << TABLE_BITS)).astype(np.int32)), pa.array(zeros[s].astype(np.float32)),
+                 pa.array(ones[s].astype(np.float32))], names=["slot", "zeros", "ones"])
 
 
 def _coded(batches):
