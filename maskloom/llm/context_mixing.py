@@ -49,7 +49,7 @@ RIDGE = 50.0
 TASK_WINDOWS = 2_000_000
 SPACE, END = 32, 10
 END_WORD = np.array([0x7E57ED], U64)
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 def _streams(data: np.ndarray, offsets: np.ndarray):
@@ -74,8 +74,8 @@ def _streams(data: np.ndarray, offsets: np.ndarray):
 
 def _windows(body: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Each byte, the four before it in its text (the end symbol before the text) and a hash of its word so far, packed."""
-    index = np.arange(len(body))
-    local = index - np.repeat(first[:-1], np.diff(first))
+    index = np.arange(len(body), dtype=np.int32 if len(body) < 1 << 31 else np.int64)
+    local = index - np.repeat(first[:-1].astype(index.dtype), np.diff(first))
     fresh = np.ones(len(body), bool)  # every text's last byte is the end symbol
     fresh[1:] = (body[:-1] == SPACE) | (body[:-1] == END)
     word = np.maximum.accumulate(np.where(fresh, index, 0))
@@ -133,7 +133,7 @@ def _gather(batches):
                 windows.append((names, np.bincount(code, minlength=len(names))))
                 size += len(names)
             size += len(hashes) // 8
-            if size > 3_000_000:
+            if size > 2_000_000:
                 yield from flush()
                 size = 0
     yield from flush()
@@ -368,11 +368,11 @@ class _Scorer:
         if len(new):
             got = np.concatenate([self.model.log10(new[a:a + 65536]) for a in range(0, len(new), 65536)])
             value[~found] = got
-            if len(self.keys) > 3_000_000:
+            if len(self.keys) > 2_000_000:
                 self.keys, self.values = np.zeros(0, U64), np.zeros(0)
-            keys = np.concatenate([self.keys, new])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.values = keys[order], np.concatenate([self.values, got])[order]
+            order = np.argsort(new)
+            at = np.searchsorted(self.keys, new[order])
+            self.keys, self.values = np.insert(self.keys, at, new[order]), np.insert(self.values, at, got[order])
         return value[code]
 
 
