@@ -209,3 +209,27 @@ def test_rank_within_hot_key(spark):
     w = Window.partitionBy("k").orderBy("t", "id")
     want = {r["id"]: r["rn"] - 1 for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == want
+
+
+def test_scores_with_null_labels_and_predictions(spark):
+    from maskloom.operators import metrics as H
+    rows = [("a", "a"), ("a", "b"), ("b", "b"), ("c", None), (None, "a"), (None, None), ("b", "c"), ("c", "c")]
+    df = spark.createDataFrame(rows, "label string, pred string")
+    pairs = [(("none", "label") if y is None else y, ("none", "pred") if p is None else p) for y, p in rows]
+    classes = {v for pair in pairs for v in pair}
+    t = {k: sum(y == k for y, _ in pairs) for k in classes}
+    p = {k: sum(q == k for _, q in pairs) for k in classes}
+    tp = {k: sum(y == q == k for y, q in pairs) for k in classes}
+    f1 = sum(2 * tp[k] / (t[k] + p[k]) for k in classes) / len(classes)
+    assert abs(H.macro_f1_multiclass(df).first()["macro_f1"] - f1) < 1e-12
+    s, c = len(rows), sum(tp.values())
+    top = c * s - sum(t[k] * p[k] for k in classes)
+    low = ((s * s - sum(v * v for v in p.values())) * (s * s - sum(v * v for v in t.values()))) ** 0.5
+    assert abs(H.mcc(df).first()["mcc"] - top / low) < 1e-12
+
+
+def test_context_pair_null_speaker_is_a_change(spark):
+    df = spark.createDataFrame([(1, 0, "u", "hi"), (1, 1, None, "yo"), (1, 2, None, "so"), (1, 3, "u", "ok")],
+                               "group_id long, turn long, speaker string, text string")
+    got = [r["context"] for r in W.context_pair(df).orderBy("turn").collect()]
+    assert got == ["@ hi", "# hi @ yo", "# yo @ so", "# so @ ok"]
