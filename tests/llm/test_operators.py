@@ -324,6 +324,27 @@ def test_compact_windows(spark, docs, empty):
     assert compact_windows.passages(empty).count() == 0
 
 
+def test_compact_windows_finds_every_member(spark):
+    # passages of 50 words in 30 and 200 texts, one word changed in some: each is over 0.8 to an exact member (41 of 51 shingles)
+    rng = random.Random(3)
+    make = lambda n: [f"w{rng.randrange(10 ** 7)}" for _ in range(n)]
+    rows, at = [], {}
+    for members in (30, 30, 200):
+        passage = make(50)
+        for k in range(members):
+            mine = list(passage)
+            if k % 3 == 2:
+                mine[rng.randrange(50)] = "changed"
+            before = make(rng.randint(20, 90))
+            at[len(rows)] = len(before)
+            rows.append((len(rows), " ".join(before + mine + make(rng.randint(20, 90)))))
+    got = collections.defaultdict(set)
+    for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    lost = [i for i, k in at.items() if len(got[i] & set(range(k, k + 50))) < 40]
+    assert not lost
+
+
 def test_cartesian_neighbours():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 12, 200).astype(np.uint64)
