@@ -345,6 +345,30 @@ def test_compact_windows_finds_every_member(spark):
     assert not lost
 
 
+def test_similar_spans_follow_the_diagonal(spark):
+    # the passage ends with a line that also stands at the beginning of the other text
+    rng = np.random.default_rng(5)
+    passage = rng.integers(1, 1 << 62, 46, dtype=np.uint64)
+    b = rng.integers(1, 1 << 62, 130, dtype=np.uint64)
+    b[:4], b[60:106] = passage[-4:], passage
+    a = np.concatenate([rng.integers(1, 1 << 62, 10, dtype=np.uint64), passage])
+    assert [r[1:] for r in compact_windows.similar_spans(a, b, 46, 0.8, 10 - 60)] == [(56, 60, 106, 46)]
+    hit, at = compact_windows.aligned(a, b, -50)
+    for i, j in zip(hit, at):
+        places = np.flatnonzero(b == a[i])
+        assert j in places and abs(j - i - 50) == np.abs(places - i - 50).min()
+    # and through the operator: a line of 12 words before and at the end of a passage of 50, in the one text only
+    word = lambda n: [f"v{k}" for k in rng.integers(0, 1 << 40, n)]
+    text = word(50)
+    rows = [(k, " ".join([*word(9), *(text[-12:] if k % 2 else []), *word(40), *text, *word(20)])) for k in range(8)]
+    got = collections.defaultdict(set)
+    for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    for k in range(8):
+        start = 61 if k % 2 else 49
+        assert set(range(start, start + 50)) <= got[k]
+
+
 def test_cartesian_neighbours():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 12, 200).astype(np.uint64)
