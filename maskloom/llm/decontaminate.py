@@ -1,7 +1,8 @@
 """Operator 5: benchmark decontamination by spaced-seed hashing.
 
-A mask over ``SPAN`` consecutive words reads some positions and ignores the
-others, so a seed survives substitutions at ignored positions. Seeds of
+A mask over consecutive words reads some positions and ignores the others, so a
+seed survives substitutions at ignored positions. The masks are complete: every
+pattern of substitutions that the rule below allows leaves a seed. Seeds of
 benchmark items are joined to the seeds of every position of every document;
 each hit is verified on its diagonal (item position minus document position):
 the overlap of item and document there is compared word by word, and a leak is
@@ -12,7 +13,7 @@ Items are taken in blocks of bounded total length, each scanned against all
 documents; so a benchmark of any size needs no larger broadcast than one block.
 
 Nulls and edges: a null or empty text has no words; an item of fewer words than
-the shortest mask is compared by the one seed of all its words (an exact run).
+``min_words`` is a leak as a whole only, and has masks over its whole length.
 Items without words, and rows with a null item id, match nothing. Repeated
 documents and repeated items yield a row each. Words are lower-cased (A-Z).
 Very long documents are scanned whole. Empty tables give no rows.
@@ -28,9 +29,11 @@ from pyspark.sql import types as T
 
 from maskloom.llm.common import U64, column, mix, text_slices, word_hashes
 
-SPAN = 11
-#: Fixed spaced seeds: offsets read by each mask.
-MASKS = ((0, 1, 2, 4, 7, 9, 10), (0, 1, 3, 4, 5, 8, 10), (0, 2, 3, 6, 7, 8, 10), (0, 1, 5, 6, 7, 9, 10))
+#: Fixed spaced seeds: offsets read by each mask. Every stretch of ``COMPLETE`` (words, similarity) or more holds one:
+#: enumerated for up to 25 words; of a longer stretch cut into parts of 13 to 25, one part is as similar as the whole.
+MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 3, 7, 9, 10, 11), (0, 1, 2, 4, 5, 8, 9), (0, 1, 3, 5, 8, 10, 11), (0, 2, 4, 5, 6, 7, 8),
+         (0, 1, 2, 3, 7, 8, 9), (0, 1, 2, 3, 4, 5, 6))
+COMPLETE = (13, 0.8)
 #: Words of benchmark text in one broadcast block (a seed is 16 bytes: at most about 70 MB a block).
 BLOCK_WORDS = 1 << 20
 FILTER_BITS = 24
@@ -38,6 +41,27 @@ FILTER_BITS = 24
 SCHEMA = "item_id long, start_word int, end_word int, item_start int, item_words int, n_match int"
 
 
+def changes(n: int, similarity: float) -> int:
+    """Words of a stretch of ``n`` that may differ."""
+    return min(n, int(n * (1 - similarity) + 1e-6))
+
+
+def masks_for(min_words: int, similarity: float) -> tuple[tuple[int, ...], ...]:
+    """Masks of which every stretch of at least ``min_words`` words and ``similarity`` holds one."""
+    if min_words >= COMPLETE[0] and similarity >= COMPLETE[1]:
+        return MASKS
+    # the longest run of equal words that no arrangement of the changes avoids, in the lengths that parts of a stretch have
+    runs = [-(-(n - changes(n, similarity)) // (changes(n, similarity) + 1)) for n in range(max(1, min_words), 2 * max(1, min_words))]
+    return (tuple(range(max(1, min(runs)))),)
+
+
+def whole_masks(n: int, similarity: float) -> list[tuple[int, ...]]:
+    """Masks over a whole item of ``n`` words: its ends, which agree, and one of more parts than may hold a change."""
+    inner = np.arange(1, n - 1)
+    parts = min(changes(n, similarity) + 1, max(1, len(inner) + 1))
+    return [tuple(sorted({0, n - 1, *inner[k::parts].tolist()})) for k in range(parts)]
+
+
 def _seeds(words: np.ndarray, first: np.ndarray, mask: tuple[int, ...], span: int, salt: int):
     """Seed hash at each word whose whole span lies in its document; returns hashes and word positions."""
     if len(words) == 0:
@@ -53,21 +77,20 @@ def _seeds(words: np.ndarray, first: np.ndarray, mask: tuple[int, ...], span: in
 class _Block:
     """Seeds of one block of items, sorted, behind a bit table that most document positions fail."""
 
-    def __init__(self, ids: list[int], words: np.ndarray, first: np.ndarray):
+    def __init__(self, ids: list[int], words: np.ndarray, first: np.ndarray, min_words: int, similarity: float):
         self.ids, self.words, self.first = np.asarray(ids, np.int64), words, first
         sizes = np.diff(first)
+        # (mask, span, salt, length of the items it is for: only at their start, or None)
+        self.shapes = [(mask, max(mask) + 1, m, None) for m, mask in enumerate(masks_for(min_words, similarity))]
+        for n in sorted({int(n) for n in sizes[(sizes > 0) & (sizes < min_words)]}):
+            self.shapes += [(mask, n, (n << 16) + m, n) for m, mask in enumerate(whole_masks(n, similarity))]
         seeds, where = [], []
-        for m, mask in enumerate(MASKS):
-            h, at = _seeds(words, first, mask, SPAN, m)
-            seeds.append(h)
-            where.append(at)
-        # short items: one contiguous seed of the whole item, by length
-        self.short = sorted({int(n) for n in sizes[(sizes > 0) & (sizes < SPAN)]})
-        for n in self.short:
-            h, at = _seeds(words, first, tuple(range(n)), n, 100 + n)
-            whole = np.isin(at, first[:-1][sizes == n])
-            seeds.append(h[whole])
-            where.append(at[whole])
+        for mask, span, salt, n in self.shapes:
+            h, at = _seeds(words, first, mask, span, salt)
+            item = np.searchsorted(first, at, "right") - 1
+            fits = sizes[item] >= min_words if n is None else (sizes[item] == n) & (at == first[item])
+            seeds.append(h[fits])
+            where.append(at[fits])
         h, at = np.concatenate(seeds), np.concatenate(where)
         order = np.argsort(h, kind="stable")
         self.seeds, self.at = h[order], at[order]
@@ -76,9 +99,8 @@ class _Block:
 
     def hits(self, words: np.ndarray, first: np.ndarray):
         """(document word, item word) pairs that share a seed."""
-        shapes = [(mask, SPAN, m) for m, mask in enumerate(MASKS)] + [(tuple(range(n)), n, 100 + n) for n in self.short]
         docs, items = [], []
-        for mask, span, salt in shapes:
+        for mask, span, salt, _ in self.shapes:
             h, at = _seeds(words, first, mask, span, salt)
             some = self.bits[(h >> U64(64 - FILTER_BITS)).astype(np.int64)]
             h, at = h[some], at[some]
@@ -167,7 +189,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, text:
         shared = spark.sparkContext.broadcast((ids, words, first))
 
         def scan(batches, shared=shared):
-            block = _Block(*shared.value)
+            block = _Block(*shared.value, min_words, similarity)
             for batch in batches:
                 found = []
                 for row, _, data, offsets in text_slices(batch, "_text"):
@@ -203,7 +225,7 @@ def mark_leaking(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
         shared = spark.sparkContext.broadcast((ids, words, first))
 
         def scan(batches, shared=shared):
-            block = _Block(*shared.value)
+            block = _Block(*shared.value, min_words, similarity)
             for batch in batches:
                 leaks = np.array(column(batch, "_leaks").to_numpy(zero_copy_only=False), bool)
                 for row, _, data, offsets in text_slices(batch, text):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -280,6 +281,39 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_leaks(both, bench.limit(0), ["doc_id"]).count() == 0
 
 
+def test_decontamination_masks_are_complete():
+    def free(mask, n, k):
+        """Patterns of k changes in n words, as bits, that leave the mask somewhere."""
+        m = sum(1 << o for o in mask)
+        return np.logical_or.reduce([(patterns[n] & (m << s)) == 0 for s in range(n - max(mask))])
+
+    patterns = {n: np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)], np.int64)
+                for n in range(13, 26)}
+    masks = decontaminate.masks_for(13, 0.8)
+    for n in patterns:
+        assert np.logical_or.reduce([free(m, n, n // 5) for m in masks]).all()
+    for n in range(1, 13):  # a short item as a whole, its ends agreeing
+        for c in itertools.combinations(range(1, n - 1), n // 5):
+            assert any(not set(c) & set(m) for m in decontaminate.whole_masks(n, 0.8))
+    for least, similarity in ((5, 0.6), (8, 0.8), (6, 0.7)):  # other settings
+        for n in range(least, 2 * least):
+            for c in itertools.combinations(range(n), decontaminate.changes(n, similarity)):
+                assert any(not {s + o for o in m} & set(c) for m in decontaminate.masks_for(least, similarity) for s in range(n - max(m)))
+
+
+def test_decontamination_finds_every_pattern(spark):
+    rows, items = [], []
+    for n in (5, 9, 10, 11, 12, 13, 15, 16):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for c in itertools.combinations(range(1, n - 1), n // 5):
+            rows.append((len(rows), n, " ".join(["before", *("x" if k in c else w for k, w in enumerate(item)), "after"])))
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, n int, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string"), ["doc_id"])
+    got = {(r["doc_id"], r["item_id"], r["start_word"], r["end_word"], r["n_match"]) for r in found.collect()}
+    assert got == {(i, n, 1, n + 1, n - n // 5) for i, n, _ in rows}
+
+
 def test_suffix_dedup(spark, docs, empty):
     check_suffixes(docs)
     assert suffix_dedup.remove_repeats(empty, ["doc_id"]).count() == 0
