@@ -227,3 +227,57 @@ def sorted_groups(batches, keys: list[str]):
         held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def bounded_groups(batches, key: str, limit: int):
+    """Cut a stream sorted by ``key`` into ``(over, table)``: whole groups of at most ``limit`` rows, many to a table, or
+    (``over``) rows of larger groups as they come. Never holds more than ``limit`` rows and a batch."""
+    held, open_key = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if open_key is not None:  # the rest of a group that was too large
+            same = np.append(pc.equal(table.column(key), open_key).to_numpy(zero_copy_only=False), False)
+            n = int(np.argmin(same))
+            if n:
+                yield True, table.slice(0, n)
+                table = table.slice(n)
+            if not table.num_rows:
+                continue
+            open_key = None
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        col = table.column(key).combine_chunks()
+        n = len(col)
+        change = np.ones(n, bool)
+        if n > 1:
+            change[1:] = pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(change)
+        sizes = np.diff(np.append(first, n))
+        last = int(first[-1])
+        large = np.repeat(sizes > limit, sizes)[:last]
+        if large.any():
+            yield True, table.slice(0, last).filter(pa.array(large))
+            yield False, table.slice(0, last).filter(pa.array(~large))
+        elif last:
+            yield False, table.slice(0, last)
+        if n - last > limit:
+            yield True, table.slice(last)
+            held, open_key = None, col[last]
+        else:
+            held = table.slice(last).combine_chunks()
+    if held is not None and held.num_rows:
+        yield False, held
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` to ``keyed`` (one row a key, with the number of rows it meets in ``count``) without a hot task.
+
+    Keys that hold over a thousandth of the rows are at most a thousand, so they
+    are broadcast; the rest is joined by shuffling.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(keyed.where(F.col(count) * 1000 > total))
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(count) * 1000 <= total), key)
+    return rows.join(hot, key).unionByName(cold)

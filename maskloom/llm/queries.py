@@ -1,12 +1,12 @@
-"""The ten queries: each operator over its whole table with production parameters."""
+"""The queries: each operator over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import (compact_windows, context_mixing, decontaminate, jaccard_join, packing, qda, quality_rules,
-                          secret_scan, suffix_dedup, tokens)
+from maskloom.llm import (compact_windows, context_mixing, decontaminate, fim, jaccard_join, packing, qda, quality_rules,
+                          secret_scan, simhash, spelling, suffix_dedup, tokens)
 from maskloom.llm.common import table
 from maskloom.llm.registry import query
 
@@ -70,3 +70,47 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_classifier")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: Lines by the same expression; draws, cuts and both forms in SQL; the restored text is put together from the parts.
+FIM_SQL = """
+with drawn as (
+  select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+lined as (
+  select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as lines,
+         cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+         cast('0x' || substr(h, 25, 8) as bigint) as h4 from drawn),
+cuts as (
+  select doc_id, t, lines, len(lines) as n,
+         least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain'
+              when h4 % 100 < 50 then 'spm' else 'psm' end as form from lined),
+parts as (
+  select doc_id, t, n, form, array_to_string(lines[1:a], '') as p, array_to_string(lines[a + 1:b], '') as m,
+         array_to_string(lines[b + 1:], '') as s from cuts)
+select doc_id, cast(n as bigint) as n, form,
+       case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(case form when 'plain' then t else p || m || s end) as restored_sha256
+from parts
+"""
+
+
+@query("op12_fill_in_middle", FIM_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda c, name: F.sha2(c.cast("binary"), 256).alias(name)
+    return fim.transform(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output"), "output_sha256"),
+        digest(fim.restored(), "restored_sha256"))
+
+
+@query("op13_simhash_golay")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
