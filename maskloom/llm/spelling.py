@@ -46,6 +46,8 @@ NARROW = LETTERS + LETTERS ** 2
 GROUP = 10_000
 #: Code points of one list, and about those that are walked at once; larger groups are parted further.
 CELLS = 4_000_000
+#: Words that walk their lists together.
+ASKS = 1024
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -118,46 +120,46 @@ def near_rows(group: np.ndarray, middles: np.ndarray, sizes: np.ndarray):
     same = np.cumprod(middles[1:] == middles[:-1], axis=1, dtype=np.int8).sum(1, dtype=np.int64)
     lcp = np.full(n, -1, np.int64)
     lcp[1:] = np.where(group[1:] == group[:-1], np.minimum(same, np.minimum(sizes[1:], sizes[:-1])), -1)
-    # every row asks its whole group: range [low, high) of rows with a common prefix, and its cells j = d - 1, d, d + 1
     start = np.flatnonzero(lcp < 0)
     end = np.append(start[1:], n)
     of = np.searchsorted(start, np.arange(n), "right") - 1
-    asks = np.flatnonzero(end[of] - start[of] > 1)
-    low, high = start[of[asks]], end[of[asks]]
-    row = np.tile(np.array([2, 0, 1], np.int8), (len(asks), 1))
     padded = np.full((n, width + 3), -2, middles.dtype)  # column d + 1 is code point d; -2 equals nothing
     padded[:, 1:width + 1] = np.where(middles < 0, -2, middles)
+    # per depth: the rows where a longer prefix begins, and where the shorter one ends
+    steps = [(np.flatnonzero((lcp <= d) & (sizes > d)), np.append(np.flatnonzero(lcp <= d), n)) for d in range(width)]
     found_a, found_b = [none], [none]
-    for depth in range(width + 1):
-        # a range begins with the word that ends here, if there is one
-        ends = np.flatnonzero(sizes[low] == depth)
-        offset = sizes[asks[ends]] - depth + 1
-        hit = (offset >= 0) & (offset <= 2)
-        ends, offset = ends[hit], offset[hit]
-        hit = row[ends, offset] == 1
-        ends = ends[hit]
-        # equal middles cannot be: words of a group are distinct
-        found_a.append(asks[ends])
-        found_b.append(low[ends])
-        if depth == width or not len(asks):
-            break
-        begins = np.flatnonzero((lcp <= depth) & (sizes > depth))
-        bounds = np.append(np.flatnonzero(lcp <= depth), n)
-        x, y = np.searchsorted(begins, low), np.searchsorted(begins, high)
-        times = y - x
-        of = np.repeat(np.arange(len(asks)), times)
-        child = begins[x[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)]
-        c, q = middles[child, depth], asks[of]
-        r = row[of]
-        new = np.empty_like(r)
-        new[:, 0] = np.minimum(r[:, 0] + (padded[q, depth] != c), r[:, 1] + 1)
-        new[:, 1] = np.minimum(np.minimum(r[:, 1] + (padded[q, depth + 1] != c), r[:, 2] + 1), new[:, 0] + 1)
-        new[:, 2] = np.minimum(r[:, 2] + (padded[q, depth + 2] != c), new[:, 1] + 1)
-        np.minimum(new, 2, out=new)
-        alive = new.min(1) <= 1  # else the whole range is skipped
-        low = child[alive]
-        high = bounds[np.searchsorted(bounds, low, "right")]
-        asks, row = q[alive], new[alive]
+    many = np.flatnonzero(end[of] - start[of] > 1)
+    for k in range(0, len(many), ASKS):
+        # each row asks its whole group: a range [low, high) of rows with a common prefix, and its cells j = d - 1, d, d + 1
+        asks = many[k:k + ASKS]
+        low, high = start[of[asks]], end[of[asks]]
+        row = np.tile(np.array([2, 0, 1], np.int8), (len(asks), 1))
+        for depth in range(width + 1):
+            # a range begins with the word that ends here, if there is one
+            ends = np.flatnonzero(sizes[low] == depth)
+            offset = sizes[asks[ends]] - depth + 1
+            inside = (offset >= 0) & (offset <= 2)
+            ends, offset = ends[inside], offset[inside]
+            ends = ends[row[ends, offset] == 1]
+            found_a.append(asks[ends])
+            found_b.append(low[ends])
+            if depth == width or not len(asks):
+                break
+            begins, bounds = steps[depth]
+            x, y = np.searchsorted(begins, low), np.searchsorted(begins, high)
+            times = y - x
+            by = np.repeat(np.arange(len(asks)), times)
+            child = begins[x[by] + np.arange(len(by)) - np.repeat(np.cumsum(times) - times, times)]
+            c, q, r = middles[child, depth], asks[by], row[by]
+            new = np.empty_like(r)
+            new[:, 0] = np.minimum(r[:, 0] + (padded[q, depth] != c), r[:, 1] + 1)
+            new[:, 1] = np.minimum(np.minimum(r[:, 1] + (padded[q, depth + 1] != c), r[:, 2] + 1), new[:, 0] + 1)
+            new[:, 2] = np.minimum(r[:, 2] + (padded[q, depth + 2] != c), new[:, 1] + 1)
+            np.minimum(new, 2, out=new)
+            alive = new.min(1) <= 1  # else the whole range is skipped
+            low = child[alive]
+            high = bounds[np.searchsorted(bounds, low, "right")]
+            asks, row = q[alive], new[alive]
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
