@@ -92,6 +92,35 @@ def draw_masks(df: DataFrame, text: str, idx: str, k, seed, salt: str = "mask",
     return df.drop("_mk_s", "_mk_n", "_mk_h", "_mk_o", "_mk_m", "_mk_thr")
 
 
+def replace_words(df: DataFrame, text: str, words: str, out: str, remove: bool = False) -> DataFrame:
+    """C8 / C9 on long rows: attach ``out``, ``text`` with every token found in the array ``words`` masked (or removed).
+
+    Tokens and words are sorted together; a run of equal ones is listed if its
+    head is a word. ``O(n log n)`` in the row, where a lookup for each token
+    costs ``n`` times the number of words. A null list has no words; a null text gives null.
+    """
+    listed_words = F.coalesce(F.col(words), F.array().cast("array<string>"))
+    both = F.concat(F.transform(F.array_distinct(listed_words), lambda w: F.struct(w.alias("w"), F.lit(-1).alias("p"))),
+                    F.transform(tokens(F.col(text)), lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    df = pin_columns(df, _rw_s=F.array_sort(F.filter(both, lambda x: x["w"].isNotNull())))
+    s, n = F.col("_rw_s"), F.size("_rw_s")
+    seq = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    df = pin_columns(df, _rw_h=F.filter(seq, lambda i: (i == 1) | (F.element_at(s, i)["w"] != F.get(s, i - 2)["w"])))
+    h = F.col("_rw_h")
+    listed = lambda x: F.element_at(s, x)["p"] < 0
+    end = lambda j: F.coalesce(F.get(h, j + 1), n + 1)
+
+    def run(x, j):
+        span = F.filter(F.sequence(x, end(j) - 1), lambda i: F.element_at(s, i)["p"] >= 0)
+        return F.transform(span, lambda i: F.struct(F.element_at(s, i)["p"].alias("p"), F.when(listed(x), F.lit(SENTINEL))
+                                                    .otherwise(F.element_at(s, i)["w"]).alias("t")))
+    runs = F.filter(F.transform(h, lambda x, j: F.when(listed(x), F.array().cast("array<struct<p:int,t:string>>"))
+                                .otherwise(run(x, j))), lambda r: F.size(r) > 0) if remove else F.transform(h, run)
+    joined = F.array_join(F.transform(F.array_sort(F.flatten(runs)), lambda r: r["t"]), " ")
+    df = pin_columns(df, **{out: F.when(s.isNotNull(), joined)})
+    return df.drop("_rw_s", "_rw_h")
+
+
 def valid_mask(text, words) -> Column:
     """mask words that are tokens of the punctuation-free text (> 2 tokens), else none."""
     t = text if isinstance(text, Column) else F.col(text)

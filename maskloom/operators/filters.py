@@ -1,5 +1,8 @@
 """Filters and projections and the dense-position helper.
 
+``cut_key`` finds the key that has a given number of rows below it by refining
+a histogram, so an exact cut is a filter and moves no row.
+
 ``dense_positions`` gives every row its 0-based rank in ``order`` without a
 global single-partition window: range-partition + sort, count rows per
 partition (tiny), turn the counts into offsets, add the in-partition index.
@@ -7,7 +10,7 @@ partition (tiny), turn the counts into offsets, add the in-partition index.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.text import task_prefix, token_count
@@ -60,13 +63,72 @@ def dense_positions(df: DataFrame, order: str, out: str = "pos", partitions: int
                   .drop("_pid", "_loc", "_off", "_mid"))
 
 
+BINS = 1 << 16  # rows of one histogram, and keys that the last step collects: the bound of what reaches the driver
+
+
+def cut_key(df: DataFrame, key: str, k: int, step: int = 4, bins: int = BINS):
+    """The value of ``key`` at rank ``k`` (from 0), so with unique keys ``k`` rows are below it; None: no row has that rank.
+
+    Only the key column is read, once for its range and once for each
+    refinement: the rows between two bounds are counted by ``bins`` equal ranges
+    (whole numbers) or by the next ``step`` characters (strings), and the range
+    that holds the cut is refined until its keys can be collected. Rows that tie
+    with the cut stay together; null keys count as the least.
+    """
+    keys = df.select(F.col(key).alias("k"))
+    total = keys.agg(F.count("k").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"),
+                     F.count_if(F.col("k").isNull()).alias("nulls")).first()
+    below, n, lo, hi = total["nulls"], total["n"], total["lo"], total["hi"]
+    if k >= below + n:
+        return None
+    if isinstance(lo, str):
+        inside, size, prefix = F.col("k").isNotNull(), n, ""
+        while size > bins:
+            part = F.substring("k", len(prefix) + 1, step)
+            hist = sorted(keys.where(inside).groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"])
+            for r in hist:
+                if below + r["count"] > k:
+                    break
+                below += r["count"]
+            prefix, size = prefix + r["p"], r["count"]
+            inside = F.col("k").startswith(prefix)
+            if len(r["p"]) < step:  # the key ends here: all of these are equal
+                return prefix
+    else:
+        while True:
+            inside, size = F.col("k").between(lo, hi), None
+            width = (hi - lo) // bins + 1
+            if width == 1 or n <= bins:
+                break
+            part = F.expr(f"cast((cast(k as decimal(38, 0)) - {lo}) div {width} as long)")
+            hist = sorted(keys.where(inside).groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"])
+            for r in hist:
+                if below + r["count"] > k:
+                    break
+                below += r["count"]
+            lo, hi, n = lo + r["p"] * width, min(hi, lo + (r["p"] + 1) * width - 1), r["count"]
+    # few keys, or few different ones
+    for r in sorted(keys.where(inside).groupBy("k").count().collect(), key=lambda r: r["k"]):
+        if below + r["count"] > k:
+            return r["k"]
+        below += r["count"]
+    return None
+
+
+def below(key: str, cut) -> Column:
+    """Rows before the cut that :func:`cut_key` found: null keys are the least, and no cut leaves all rows below."""
+    return F.lit(True) if cut is None else F.col(key).isNull() | (F.col(key) < cut)
+
+
 def data_percent(df: DataFrame, pct: float, split: str = "train", order: str = "idx") -> DataFrame:
-    """B2: keep the leading ``floor(n * pct)`` rows (``.loc[:n]`` made exclusive, Q1); test is never cut."""
+    """B2: keep the leading ``floor(n * pct)`` rows (``.loc[:n]`` made exclusive, Q1); test is never cut.
+
+    ``order`` is unique. The cut is a filter on it; no row moves.
+    """
     if pct >= 1 or "test" in split:
         return df
-    n = df.count()
-    keep = int(n * pct)
-    return dense_positions(df, order).filter(F.col("pos") < keep).drop("pos")
+    keep = int(df.count() * pct)
+    return df.filter(below(order, cut_key(df, order, keep))) if keep else df.filter(F.lit(False))
 
 
 def head_tail(df: DataFrame, k: int, order: str = "idx") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.masks import draw_masks, mask_budget, valid_mask
-from maskloom.functions.text import (SENTINEL, append_mask, parse_mask, render_mask, replace_tokens,
+from maskloom.functions.text import (SENTINEL, append_mask, parse_mask, render_mask,
                                      strip_prefixes, task_prefix)
 
 
@@ -93,12 +93,12 @@ def apply_pred_masks(df: DataFrame, preds: DataFrame, pred_col: str = "pred_mask
     The reference aligns predictions by row position; here it is an equi-join on
     ``idx``. Rows with no prediction get no mask.
     """
-    from maskloom.functions.masks import pin_columns
+    from maskloom.functions.masks import pin_columns, replace_words
     j = df.join(preds.select("idx", pred_col), "idx", "left")
     body = strip_prefixes(F.col(text))
     j = pin_columns(j, pred_words=parse_mask(F.col(pred_col)), _body=body)
     j = pin_columns(j, valid_words=valid_mask(F.col("_body"), F.col("pred_words")))
-    return (j.withColumn("masked_sent", replace_tokens(F.col("_body"), F.col("valid_words")))
+    return (replace_words(j, "_body", "valid_words", "masked_sent")
              .withColumn("masked_word", render_mask("valid_words"))
              .withColumn("mask_size", F.size("valid_words").cast("long"))
              .drop("_body"))

@@ -1,9 +1,9 @@
 """Splits and sampling.
 
 All randomness is ``md5(salt|seed|key)``: reproducible, independent of
-partitioning and retries, and repeatable in SQL. Exact-size cuts use
-``dense_positions`` (range partitioning + per-partition offsets), never a
-global single-partition window.
+partitioning and retries, and repeatable in SQL. Exact-size cuts find
+the cut key by refining a histogram (``cut_key``) and filter by it; ranks use
+``dense_positions``, never a global single-partition window.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions.hashing import hkey, hunit
-from maskloom.operators.filters import dense_positions
+from maskloom.operators.filters import below, cut_key, dense_positions
 
 
 def join_keys(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
@@ -36,23 +36,22 @@ def random_split(df: DataFrame, val_size: float, seed: int, exact: bool = False,
     if not exact:
         return df.withColumn("split", F.when(hunit(F.lit("split"), F.lit(seed), F.col(key)) < val_size,
                                              F.lit("val")).otherwise(F.lit("train")))
-    n = df.count()
-    n_val = math.ceil(n * val_size)
+    n_val = math.ceil(df.count() * val_size)
     keyed = df.withColumn("_sk", hkey(F.lit("split"), F.lit(seed), F.col(key)))
-    ranked = dense_positions(keyed, "_sk", out="_sp")
-    return ranked.withColumn("split", F.when(F.col("_sp") < n_val, F.lit("val")).otherwise(F.lit("train"))) \
-                 .drop("_sk", "_sp")
+    val = below("_sk", cut_key(keyed, "_sk", n_val)) if n_val else F.lit(False)
+    return keyed.withColumn("split", F.when(val, F.lit("val")).otherwise(F.lit("train"))).drop("_sk")
 
 
 def group_split(df: DataFrame, val_size: float, seed: int, group: str = "group_id") -> DataFrame:
-    """``floor(val_size * #groups)`` groups (smallest hash) go to 'val'; no group straddles."""
-    groups = df.select(group).distinct().withColumn("_gk", hkey(F.lit("group"), F.lit(seed), F.col(group)))
-    n_groups = groups.count()
-    k = int(val_size * n_groups)
-    ranked = dense_positions(groups, "_gk", out="_gp")
-    val = ranked.filter(F.col("_gp") < k).select(group, F.lit(True).alias("_is_val"))
-    j = join_keys(df, val, group, "left")
-    return j.withColumn("split", F.when(F.col("_is_val"), F.lit("val")).otherwise(F.lit("train"))).drop("_is_val")
+    """``floor(val_size * #groups)`` groups (smallest hash) go to 'val'; no group straddles.
+
+    The groups' cut hash is found once; a row then tells its side by its own group's hash, without a join.
+    """
+    hashed = hkey(F.lit("group"), F.lit(seed), F.col(group))
+    groups = df.select(group).distinct().select(hashed.alias("_gk"))
+    k = int(val_size * groups.count())
+    val = below("_gk", cut_key(groups, "_gk", k)) if k else F.lit(False)
+    return df.withColumn("_gk", hashed).withColumn("split", F.when(val, F.lit("val")).otherwise(F.lit("train"))).drop("_gk")
 
 
 def group_kfold(df: DataFrame, n_splits: int, group: str = "group_id", order: str = "idx") -> DataFrame:
@@ -80,13 +79,14 @@ def seeded_shuffle(df: DataFrame, seed: int, key: str = "idx", partitions: int |
 
 
 def cycle_chunk(df: DataFrame, rate: float, i: int, order: str = "idx") -> DataFrame:
-    """E5: chunk ``i`` of size ``floor(n * rate)`` in ``order``; disjoint chunks (Q1)."""
+    """E5: chunk ``i`` of size ``floor(n * rate)`` in ``order``; disjoint chunks (Q1). Two cuts and a filter; no row moves."""
     if rate >= 1:
         return df
-    n = df.count()
-    size = int(n * rate)
-    pos = dense_positions(df, order, out="_cp")
-    return pos.filter((F.col("_cp") >= i * size) & (F.col("_cp") < (i + 1) * size)).drop("_cp")
+    size = int(df.count() * rate)
+    if not size:
+        return df.filter(F.lit(False))
+    start = below(order, cut_key(df, order, i * size)) if i else F.lit(False)
+    return df.filter(below(order, cut_key(df, order, (i + 1) * size)) & ~start)
 
 
 def swap_unselected(split_df: DataFrame, memory: DataFrame, seed: int = 0, literal_q8: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from maskloom.operators import metrics as H
 from maskloom.plans import sqltext as S
 from maskloom.plans.catalog_splits import HIST, LEDGER, MEM0, SCORED
 from maskloom.plans.registry import register
+from maskloom.session import materialize
 from maskloom.sources import fixtures as FX
 
 T = S.turns_cte()
@@ -95,7 +96,7 @@ SELECT idx, group_id, label, token_num, {S.render_mask('mask_words')} AS masked_
        {S.render_mask('valid_words')} AS valid_mask, correct, valid_correct, cur_valid_correct, selected,
        CAST(len(mask_words) AS BIGINT) AS mask_size FROM u6""")
 def q_memory_update(spark, sf):
-    mem = memory_prev(spark, sf)
+    mem = materialize(memory_prev(spark, sf))  # read for the judged rows and for the update
     return MEM.render_memory(MEM.memory_update(mem, judged(spark, sf, mem)))
 
 
@@ -107,7 +108,7 @@ SELECT CAST(n AS BIGINT) AS smem_size, sel / n AS selected_rate, round_even(vc /
        round_even(cor / n, 4) AS success_mask_rate, round_even((sel - cor) / n, 4) AS fail_mask_rate,
        round_even(js / jn, 4) AS cur_val_success_rate FROM a""")
 def q_memory_stats(spark, sf):
-    mem = memory_prev(spark, sf)
+    mem = materialize(memory_prev(spark, sf))
     jd = judged(spark, sf, mem)
     return MEM.memory_stats(MEM.memory_update(mem, jd), jd)
 
@@ -146,7 +147,7 @@ def _f1_sql(tp, fp, fn):
 def _onehot_f1_sql():
     parts = []
     for r in ROLES:
-        y, yp = f"contains(trim(label), '{r}')", f"contains(pred, '{r}')"
+        y, yp = f"coalesce(contains(trim(label), '{r}'), false)", f"coalesce(contains(pred, '{r}'), false)"
         parts.append(_f1_sql(f"sum(CAST({y} AND {yp} AS BIGINT))", f"sum(CAST(NOT {y} AND {yp} AS BIGINT))",
                              f"sum(CAST({y} AND NOT {yp} AS BIGINT))"))
     return "(" + " + ".join(parts) + f") / {len(ROLES)}"

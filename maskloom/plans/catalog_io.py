@@ -11,7 +11,7 @@ from maskloom.operators import metrics as H
 from maskloom.operators import scoring as SC
 from maskloom.plans import sqltext as S
 from maskloom.plans.catalog_eval import ROLES, _CONF, _MCC_SQL, _onehot_f1_sql
-from maskloom.plans.catalog_splits import SCORED
+from maskloom.plans.catalog_splits import RULED, SCORED
 from maskloom.plans.registry import register
 from maskloom.sources import fixtures as FX
 from maskloom.sources import io as IO
@@ -103,7 +103,7 @@ def q_resume_unscored(spark, sf):
 
 
 # --- I ------------------------------------------------------------------------------------------------
-@register("score_batches", f"WITH {T}, {SCORED} SELECT idx, group_id, label, pred FROM scored")
+@register("score_batches", f"WITH {T}, {RULED} SELECT idx, group_id, label, pred FROM scored")
 def q_score_batches(spark, sf):
     return SC.score_batches(FX.turns(spark, sf), lambda: SC.LengthRuleModel(60), batch_size=64)
 
@@ -111,7 +111,7 @@ def q_score_batches(spark, sf):
 _LABS = ["assistant", "system", "user"]
 
 
-@register("generate_and_parse", f"""WITH {T}, {SCORED}
+@register("generate_and_parse", f"""WITH {T}, {RULED}
 SELECT idx, label, ' ' || CASE WHEN pred = 'assistant' THEN '1' ELSE '3' END || '. ' || pred AS output,
        pred FROM scored""")
 def q_generate_and_parse(spark, sf):
@@ -122,7 +122,7 @@ def q_generate_and_parse(spark, sf):
 
 
 # --- streaming ------------------------------------------------------------------------------------------
-@register("stream_score", f"WITH {T}, {SCORED} SELECT idx, group_id, label, pred FROM scored")
+@register("stream_score", f"WITH {T}, {RULED} SELECT idx, group_id, label, pred FROM scored")
 def q_stream_score(spark, sf):
     from maskloom.streaming.scoring_stream import stream_score
     src_schema = FX.table(spark, sf, "conversations").schema

@@ -23,22 +23,25 @@ LEDGER = ("ledger AS (SELECT run_id, 'run' || CAST(run_id AS VARCHAR) AS model,
           "CAST([4, 8, 16][CAST(epoch % 3 + 1 AS BIGINT)] AS BIGINT) AS batch, 'train' AS trainFile, "
           "CASE WHEN event_type IN ('click', 'view') THEN 'val' ELSE 'test' END AS testFile, "
           "f1 AS macro_f1, mcc AS macro_mcc, acc, epoch FROM history)")
-SCORED = ("scored AS (SELECT idx, group_id, label, CASE WHEN len(" + S.toks(S.squeeze("text")) +
-          ") > 60 THEN 'assistant' ELSE 'user' END AS pred FROM turns)")
+SCORED = ("scored AS (SELECT idx, group_id, label, CASE WHEN " + S.hunit(S.lit("nopred"), "idx") + " < 0.05 THEN NULL WHEN len(" +
+          S.toks(S.squeeze("text")) + ") > 60 THEN 'assistant' ELSE 'user' END AS pred FROM turns)")
+RULED = ("scored AS (SELECT idx, group_id, label, CASE WHEN len(" + S.toks(S.squeeze("text")) +
+         ") > 60 THEN 'assistant' ELSE 'user' END AS pred FROM turns)")  # every turn, as a model scores them
+BLANK = ("bt AS (SELECT * REPLACE (CASE WHEN " + S.hunit(S.lit("blank"), "idx") + " < 0.1 THEN ' ' ELSE text END AS text) FROM turns)")
 MEM0 = ("mem0 AS (SELECT idx, CASE WHEN " + S.hunit(S.lit("sel"), "idx") + " < 0.5 THEN 1 END AS selected, "
         "CASE WHEN " + S.hunit(S.lit("sel"), "idx") + " < 0.5 THEN CASE WHEN " + S.hunit(S.lit("cor"), "idx") +
         " < 0.6 THEN 1 ELSE 0 END END AS correct FROM turns)")
 
 
 # --- D ------------------------------------------------------------------------------------------
-@register("context_pair", f"""WITH {T}, {S.normalized_cte('nt', 'turns', cols='idx, group_id, turn, speaker, label')},
-prev AS (SELECT group_id, turn + 1 AS turn, text AS prev_text, speaker AS prev_speaker FROM nt)
-SELECT n.idx, replace(CASE WHEN p.prev_text IS NULL OR n.speaker <> p.prev_speaker
-    THEN '# ' || coalesce(p.prev_text, '') || ' @ ' || n.text
-    ELSE '@ ' || p.prev_text || ' @ ' || n.text END, '#  @', '@') AS context
-FROM nt n LEFT JOIN prev p ON n.group_id = p.group_id AND n.turn = p.turn""")
+@register("context_pair", f"""WITH {T}, {BLANK}, {S.normalized_cte('nt', 'bt', cols='idx, group_id, turn, speaker, label')},
+p AS (SELECT *, lag(text) OVER w AS prev_text, lag(speaker) OVER w AS prev_speaker FROM nt
+      WINDOW w AS (PARTITION BY group_id ORDER BY turn))
+SELECT idx, replace(CASE WHEN prev_text IS NULL OR speaker <> prev_speaker
+    THEN '# ' || coalesce(prev_text, '') || ' @ ' || text
+    ELSE '@ ' || prev_text || ' @ ' || text END, '#  @', '@') AS context FROM p""")
 def q_context_pair(spark, sf):
-    nt = normalize_text(FX.turns(spark, sf))
+    nt = normalize_text(FX.blank_turns(spark, sf))
     return W.context_pair(nt, "text", by_speaker=True).select("idx", "context")
 
 

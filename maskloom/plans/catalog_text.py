@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as TX
-from maskloom.functions.hashing import hkey
+from maskloom.functions.hashing import hkey, hunit
 from maskloom.operators import filters as FL
 from maskloom.plans import sqltext as S
 from maskloom.plans.registry import register
@@ -138,10 +138,9 @@ SELECT idx,
   CASE WHEN len({S.toks('text')}) > 32 THEN array_to_string({S.toks('text')}[1:32], ' ') ELSE text END AS text_left,
   CAST(least(token_num, 32) AS BIGINT) AS token_num FROM nt""")
 def q_truncate_tokens(spark, sf):
-    base = _norm(spark, sf)
-    right = TX.truncate_tokens(base, 32, right=True).select("idx", F.col("text").alias("text_right"), "token_num")
-    left = TX.truncate_tokens(base, 32, right=False).select("idx", F.col("text").alias("text_left"))
-    return right.join(left, "idx").select("idx", "text_right", "text_left", F.col("token_num").cast("long"))
+    base = _norm(spark, sf).withColumn("text_left", F.col("text")).withColumnRenamed("text", "text_right")
+    both = TX.truncate_tokens(TX.truncate_tokens(base, 32, text="text_left", right=False), 32, text="text_right")
+    return both.select("idx", "text_right", "text_left", F.col("token_num").cast("long"))
 
 
 # --- C8..C14 on external mask predictions ------------------------------------------------------
@@ -166,9 +165,9 @@ SELECT nt.idx, array_to_string(list_transform({S.toks('nt.text')},
        lambda x: CASE WHEN list_contains({S.parse_mask('ext.pred_mask')}, x) THEN '[M]' ELSE x END), ' ') AS masked_sent
 FROM nt JOIN ext ON nt.idx = ext.idx""")
 def q_replace_tokens(spark, sf):
-    from maskloom.functions.masks import pin_columns
+    from maskloom.functions.masks import pin_columns, replace_words
     e = pin_columns(_ext(spark, sf), _w=TX.parse_mask("pred_mask"))
-    return e.select("idx", TX.replace_tokens(F.col("text"), F.col("_w")).alias("masked_sent"))
+    return replace_words(e, "text", "_w", "masked_sent").select("idx", "masked_sent")
 
 
 @register("remove_tokens", f"""{_EXT}
@@ -176,9 +175,9 @@ SELECT nt.idx, array_to_string(list_filter({S.toks('nt.text')},
        lambda x: NOT list_contains({S.parse_mask('ext.pred_mask')}, x)), ' ') AS reduced
 FROM nt JOIN ext ON nt.idx = ext.idx""")
 def q_remove_tokens(spark, sf):
-    from maskloom.functions.masks import pin_columns
+    from maskloom.functions.masks import pin_columns, replace_words
     e = pin_columns(_ext(spark, sf), _w=TX.parse_mask("pred_mask"))
-    return e.select("idx", TX.remove_tokens(F.col("text"), F.col("_w")).alias("reduced"))
+    return replace_words(e, "text", "_w", "reduced", remove=True).select("idx", "reduced")
 
 
 _RAW = S.toks("coalesce(ext.pred_mask, '[M]')")
@@ -256,18 +255,19 @@ def _prompt_sql(ctx, msg):
 @register("render_prompt", f"""{_COLON},
 li AS (SELECT label, CAST(row_number() OVER (ORDER BY label) AS BIGINT) AS label_id
        FROM (SELECT DISTINCT trim(label) AS label FROM turns WHERE label IS NOT NULL)),
-pm AS (SELECT idx, label, {_MSG} AS message, {_PRIOR} AS prior_context FROM colon)
+pm AS (SELECT idx, CASE WHEN {S.hunit(S.lit('nolabel'), 'idx')} < 0.05 THEN NULL ELSE label END AS label,
+              {_MSG} AS message, {_PRIOR} AS prior_context FROM colon)
 SELECT pm.idx, {_prompt_sql('prior_context', 'message')} || CAST(li.label_id AS VARCHAR) || '. ' || pm.label
        AS train_prompt, {_prompt_sql('prior_context', 'message')} AS test_prompt
-FROM pm JOIN li ON trim(pm.label) = li.label""")
+FROM pm LEFT JOIN li ON trim(pm.label) = li.label""")
 def q_render_prompt(spark, sf):
     c = FX.colon_text(spark, sf).join(FX.turns(spark, sf).select("idx", "label"), "idx")
     li = TX.label_index(FX.turns(spark, sf))
     msg, prior = TX.split_message("text")
-    c = c.select("idx", F.trim("label").alias("label"), msg.alias("message"), prior.alias("prior_context"))
-    # The label index is bounded by the label cardinality; join_keys still counts it before broadcasting.
+    label = F.when(hunit(F.lit("nolabel"), F.col("idx")) >= 0.05, F.trim("label"))  # a twentieth has no label, but a test prompt
+    c = c.select("idx", label.alias("label"), msg.alias("message"), prior.alias("prior_context"))
     from maskloom.operators.splits import join_keys
-    c = join_keys(c, li, "label", "inner")
+    c = join_keys(c, li, "label", "left")
     test = TX.render_prompt("prior_context", "message")
     train = F.concat(test, F.col("label_id").cast("string"), F.lit(". "), F.col("label"))
     return c.select("idx", train.alias("train_prompt"), test.alias("test_prompt"))

@@ -1,7 +1,7 @@
 """Views over the supplied parquet tables (FIXTURES.md §2).
 
 Each view is a plain projection / join of the given tables, so the work grows
-with the data, and each has a SQL twin in ``maskloom.plans.oracle``.
+with the data, and each has a SQL twin in ``maskloom.plans.sqltext`` or a catalog module.
 """
 
 from __future__ import annotations
@@ -45,9 +45,15 @@ def rule_pred(text) -> F.Column:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with a rule prediction: idx, group_id, label, pred."""
+    """Turns with a rule prediction: idx, group_id, label, pred; a twentieth has none (null)."""
     t = turns(spark, sf_dir)
-    return t.select("idx", "group_id", "label", rule_pred(F.col("text")).alias("pred"))
+    pred = F.when(hunit(F.lit("nopred"), F.col("idx")) >= 0.05, rule_pred(F.col("text")))
+    return t.select("idx", "group_id", "label", pred.alias("pred"))
+
+
+def blank_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of which a tenth is blank."""
+    return turns(spark, sf_dir).withColumn("text", F.when(hunit(F.lit("blank"), F.col("idx")) < 0.1, F.lit(" ")).otherwise(F.col("text")))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

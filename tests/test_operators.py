@@ -1,6 +1,7 @@
 """Invariants and brute-force checks for splits, memory, windows, metrics and parsing."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,9 +133,15 @@ def _plan(df):
 
 
 def test_context_pair_plan_has_no_dialogue_window(spark):
+    import re
     nt = TX.normalize_text(FX.turns(spark, SF))
     plan = _plan(W.context_pair(nt))
-    assert "Window" not in plan           # previous turn is an equi-join on (group, turn - 1)
+    windows = re.findall(r"\n[^\n]*Window \[[^\n]*", plan)
+    texts = [w for w in windows if "lag(_row" in w]
+    assert windows and len(texts) == 2
+    # turns are windowed by (dialogue, slice); by dialogue alone only one row for each slice
+    assert sum("_s#" in w.split("specifiedwindowframe")[0] or "_s#" in w for w in texts) == 2
+    assert "Join" not in plan
 
 
 def test_scan_prunes_columns(spark):
@@ -233,3 +240,144 @@ def test_context_pair_null_speaker_is_a_change(spark):
                                "group_id long, turn long, speaker string, text string")
     got = [r["context"] for r in W.context_pair(df).orderBy("turn").collect()]
     assert got == ["@ hi", "# hi @ yo", "# yo @ so", "# so @ ok"]
+
+
+# --- slices: windows over hot dialogues and runs -----------------------------------------------------
+
+def _history(spark, rows):
+    return spark.createDataFrame(rows, "run_id long, epoch long, acc double, f1 double, mcc double")
+
+
+def test_previous_turn_skips_dropped_turns_at_any_slice_width(spark):
+    rng = random.Random(3)
+    rows = [(g, t, rng.choice("ab"), f"t{g}.{t}") for g in (1, 2, None) for t in range(40) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "group_id long, turn long, speaker string, text string")
+    want, before = {}, {}
+    for g, t, sp, x in rows:
+        p = before.get(g)
+        change = p is None or p[0] != sp
+        want[g, t] = (("# " if change else "@ ") + (p[1] if p else "") + " @ " + x).replace("#  @", "@")
+        before[g] = (sp, x)
+    for span in (1, 3, 7, 4096):
+        got = {(r["group_id"], r["turn"]): r["context"] for r in W.context_pair(df, span=span).collect()}
+        assert got == want
+
+
+def test_early_stop_slices_match_driver_rule(spark):
+    rng = random.Random(5)
+    runs = {r: [(e, rng.choice([0.1, 0.2, 0.3, 0.4])) for e in range(30) if rng.random() < 0.7] for r in range(12)}
+    runs[99] = [(0, 0.5)]
+    df = _history(spark, [(r, e, 0.0, 0.0, m) for r, h in runs.items() for e, m in h])
+    for span in (1, 2, 5, 4096):
+        for patience in (1, 2, 3):
+            got = {r["run_id"]: (bool(r["early_stopped"]), r["es_epoch"]) for r in W.early_stop(df, "mcc", 1, patience, span=span).collect()}
+            assert got == {r: W.early_stop_rows(h, 1, patience) for r, h in runs.items() if h}
+
+
+def _cycles(history, budget):
+    out = []
+    for outer in sorted(history):
+        mccs = history[outer]
+        ran, stop, used = [], None, budget
+        for r in range(min(budget, len(mccs))):
+            ran.append(mccs[r])
+            if budget > 1 and r > 0 and ran[-2] > ran[-1]:
+                stop, budget = r, budget - 1
+                break
+        best = max(range(len(ran)), key=lambda i: (ran[i], -i))
+        out.append((outer, len(ran), stop, best, ran[best], budget))
+    return out
+
+
+def test_cycle_stop_slices_match_a_sequential_walk(spark):
+    rng = random.Random(8)
+    runs = {r: {o: [rng.choice([0.1, 0.2, 0.3]) for _ in range(rng.randint(1, 6))] for o in range(40) if rng.random() < 0.8}
+            for r in range(6)}
+    rows = [(r, o, c, m) for r, h in runs.items() for o, ms in h.items() for c, m in enumerate(ms)]
+    df = spark.createDataFrame(rows, "run_id long, outer long, cycle long, mcc double")
+    for span in (1, 3, 1024):
+        for budget in (1, 3, 5):
+            got = sorted(tuple(r) for r in W.cycle_stop(df, budget, span=span).collect())
+            want = sorted((r, *x) for r, h in runs.items() for x in _cycles(h, budget))
+            assert got == want
+
+
+def test_a_million_rows_of_one_run_are_spread(spark):
+    rows = spark.range(1_000_000).selectExpr("1L AS run_id", "id div 3 AS outer", "id % 3 AS cycle",
+                                             "cast(xxhash64(id) % 1000 as double) AS mcc")
+    out = W.cycle_stop(rows, 3)
+    assert "Pandas" not in _plan(out) and "Python" not in _plan(out)
+    assert out.count() == 333_334
+    hist = rows.selectExpr("run_id", "outer * 3 + cycle AS epoch", "mcc AS acc", "mcc AS f1", "mcc")
+    es = W.early_stop(hist, "mcc", 0, 3).first()
+    best = [r["mcc"] for r in hist.orderBy("epoch").limit(200).collect()]
+    assert (bool(es["early_stopped"]), es["es_epoch"]) == W.early_stop_rows(list(enumerate(best)), 0, 3)
+
+
+# --- exact cuts without moving rows --------------------------------------------------------------------
+
+def test_cut_key_finds_the_rank(spark):
+    from maskloom.operators.filters import below, cut_key
+    rng = random.Random(2)
+    numbers = rng.sample(range(-10**15, 10**15), 500) + list(range(100))
+    words = [f"{rng.getrandbits(64):016x}" for _ in range(500)] + ["ab", "abc", "abcd", "zz" * 40]
+    for values, kind in ((sorted(set(numbers)), "long"), (sorted(set(words)), "string")):
+        df = spark.createDataFrame([(v, "x" * 50) for v in values], f"k {kind}, text string").repartition(5)
+        for bins in (4, 70, 1 << 16):
+            for k in (0, 1, 77, len(values) - 1):
+                cut = cut_key(df, "k", k, step=1, bins=bins)
+                assert cut == values[k] and df.filter(below("k", cut)).count() == k
+            assert cut_key(df, "k", len(values)) is None
+    ties = spark.createDataFrame([(None,), (1,), (2,), (2,), (2,), (3,)], "k long")
+    assert [cut_key(ties, "k", k) for k in range(7)] == [1, 1, 2, 2, 2, 3, None]
+
+
+def test_exact_cuts_move_no_rows(spark):
+    from maskloom.operators import filters as FL
+    t = FX.turns(spark, SF)
+    for df in (FL.data_percent(t, 0.3), SP.cycle_chunk(t, 0.25, 1), SP.random_split(t, 0.2, 7, exact=True), SP.group_split(t, 0.2, 7)):
+        assert "Exchange" not in _plan(df) and "Scan ExistingRDD" not in _plan(df)
+
+
+def test_replace_words_equals_lookup(spark):
+    from maskloom.functions.masks import replace_words
+    rng = random.Random(4)
+    rows = [("a b a c", ["a", "zz", "a"]), ("", ["a"]), (None, ["a"]), ("a  b", []), ("a b", None), ("[M] a", ["[M]"])]
+    rows += [(" ".join(rng.choice("abcdefgh") for _ in range(60)), rng.sample("abcdefghij", 3)) for _ in range(20)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "idx long, text string, words array<string>")
+    got = {r["idx"]: (r["m"], r["d"]) for r in replace_words(replace_words(df, "text", "words", "m"), "text", "words", "d", remove=True).collect()}
+    for i, (text, words) in enumerate(rows):
+        if text is None:
+            assert got[i] == (None, None)
+        else:
+            words = words or []
+            toks = [t for t in text.split(" ") if t]
+            assert got[i] == (" ".join("[M]" if t in words else t for t in toks), " ".join(t for t in toks if t not in words))
+
+
+def test_replace_words_is_not_quadratic(spark):
+    import time
+    from maskloom.functions.masks import replace_words
+    rng = random.Random(6)
+    toks = [f"w{rng.randrange(15_000)}" for _ in range(20_000)]
+    df = spark.createDataFrame([(" ".join(toks), sorted({t for t in toks if rng.random() < 0.15}))], "text string, words array<string>")
+    start = time.time()
+    text = replace_words(df, "text", "words", "m").first()["m"]
+    assert time.time() - start < 10 and text.count("[M]") > 3000
+
+
+def test_missing_predictions_are_misses(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", None)], "label string, pred string")
+    assert H.macro_f1_onehot(df, ["a"]).first()["macro_f1"] == pytest.approx(2 / 3)
+    s = spark.createDataFrame([(1, 0, "a", None), (1, 1, "a", "a")], "group_id long, idx long, label string, pred string")
+    assert {r["idx"]: r["running_acc"] for r in W.running_quality(s).collect()} == {0: 0.0, 1: 0.5}
+
+
+def test_leaderboard_kinds_of_files(spark):
+    rows = [("m", 1e-4, 4, "u_val_test", 0.5, 0.5, 1), ("m", 2e-4, 8, "val", 0.9, 0.1, 0), ("m", 3e-4, 4, "val_test", 0.8, 0.7, 2),
+            ("m", 4e-4, 4, "test", 0.7, 0.9, 3), ("n", 1e-4, 4, "val_test", 0.4, 0.2, 5), ("n", 1e-4, 8, "val", 0.4, 0.3, 4)]
+    df = spark.createDataFrame(rows, "model string, lr double, batch long, testFile string, acc double, macro_f1 double, epoch long")
+    got = {(r["model"], r["eval_set"]): r.asDict() for r in H.leaderboard(df).collect()}
+    assert set(got) == {("m", "val"), ("m", "test"), ("n", "val")}
+    assert got["m", "val"]["max_acc"] == 0.5 and got["m", "test"]["max_acc"] == 0.8 and got["m", "test"]["best_f1_epoch"] == 3
+    assert got["m", "val"]["base_acc"] == 0.9 and got["n", "val"]["best_acc_epoch"] == 4 and got["n", "val"]["best_f1_batch"] == 8
