@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import SLICE_BYTES, U64, bounded_groups, column, drop_saved, join_counted, save
+from maskloom.llm.common import U64, bounded_groups, column, drop_saved, join_counted, save
 from maskloom.llm.components import components
 
 WORDS = 3
@@ -43,6 +43,8 @@ GENERATOR = 0b110001110101
 #: Fingerprints under one key that one task pairs.
 GROUP = 512
 DISTANCE = 2
+#: Bytes of text whose shingles are hashed and counted at once (a longer text alone, whole).
+PIECE = 1 << 18
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -70,14 +72,14 @@ def _hashes(text: bytes) -> list[int]:
 
 def _fingerprints(batches):
     for batch in batches:
-        texts = column(batch, "_text").cast(pa.large_binary())
+        texts = column(batch, "_text").cast(pa.binary())
         out, hashes, first, size = [], [], [0], 0
         for t in texts:
             raw = t.as_py() or b""
             hashes += _hashes(raw)
             first.append(len(hashes))
             size += len(raw)
-            if size > SLICE_BYTES:
+            if size > PIECE:
                 out.append(shingle_bits(np.array(hashes, U64), np.array(first)))
                 hashes, first, size = [], [0], 0
         out.append(shingle_bits(np.array(hashes, U64), np.array(first)))
