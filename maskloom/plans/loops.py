@@ -2,20 +2,24 @@
 
 Each step is a distributed job over the whole tables; only a handful of metric
 rows per step come back to the driver (early stop, arg-max, cycle budget).
-Memory state lives in parquet snapshots under the shared checkpoint folder, so
-every epoch starts from a short lineage and survives executor loss.
+The state of the dual-process loop lies in the shared checkpoint folder: a
+snapshot for each step, and a manifest with one row for each step that is
+complete, written last. So every step starts from a short lineage, and a loop
+that was ended goes on after its last complete step.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.hashing import hunit, seed_salt
-from maskloom.functions.masks import valid_mask
-from maskloom.functions.text import replace_tokens
+from maskloom.functions.masks import pin_columns, replace_words, valid_mask
+from maskloom.functions.text import parse_mask
 from maskloom.operators import learners as L
 from maskloom.operators import masking as M
 from maskloom.operators import memory as MEM
@@ -37,7 +41,7 @@ def grid_search(train: DataFrame, val: DataFrame, grid: list[tuple[float, int]])
     """Every config of the grid trained in one job; best MCC wins (first config on ties)."""
     model = L.train_classifier(train, grid)
     # scored rows feed two aggregates (accuracy, MCC): materialize the predictions once
-    scored = _pin(val.select("idx", "label").join(model.predict(val), "idx"))
+    scored = _pin(model.predict(val, carry=["label"]))
     acc = H.accuracy(scored, ["cfg"]).drop("n")
     mc = H.mcc(scored, by=["cfg"])
     g = L.grid_frame_col(grid)
@@ -50,8 +54,7 @@ def grid_search(train: DataFrame, val: DataFrame, grid: list[tuple[float, int]])
 
 
 def _metrics_row(model: L.NaiveBayes, rows: DataFrame, feat: str) -> dict:
-    preds = model.predict(rows.select("idx", F.col(feat).alias("text"))).drop("cfg")
-    scored = _pin(rows.select("idx", "label").join(preds, "idx").withColumn("_g", F.lit(0)))
+    scored = _pin(model.predict(rows, text=feat, carry=["label"]).withColumn("_g", F.lit(0)))
     r = _eval_rows(scored, ["_g"]).first()
     return {"acc": float(r["acc"]), "f1": float(r["macro_f1"]), "mcc": float(r["mcc"])}
 
@@ -74,6 +77,26 @@ def _pin(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def grid_search_final(train: DataFrame, val: DataFrame, test: DataFrame, grid: list[tuple[float, int]],
+                      seeds: tuple[int, ...] = (0, 1, 2), val_size: float = 0.2) -> DataFrame:
+    """J4, second part: the best configuration of the grid, tested over seeds.
+
+    For each seed the training and validation rows are split anew by that seed
+    (E1), the best configuration is trained on its training part and tested on ``test``. One row:
+    the configuration, and mean and population deviation of the metrics (H9).
+    """
+    best = grid_search(train, val, grid).where("is_best = 1").first()
+    both, test = _pin(SP.train_val_union(train, val)), _pin(test)
+    rows = []
+    for seed in seeds:
+        part = SP.random_split(both, val_size, seed).where("split = 'train'")
+        model = L.train_classifier(part, [grid[best["cfg"]]])
+        r = _metrics_row(model, test, "text")
+        rows.append((best["cfg"], best["alpha"], best["min_count"], r["acc"], r["f1"], r["mcc"]))
+    ledger = train.sparkSession.createDataFrame(rows, "cfg int, alpha double, min_count int, acc double, macro_f1 double, macro_mcc double")
+    return H.seed_summary(ledger, ["cfg", "alpha", "min_count"])
+
+
 def mask_rate_search(train: DataFrame, test: DataFrame, rates: list[float], epochs: int = 3,
                      patience: int = 1, warmup: int = 0, rand_seed: int = 0, seeds: tuple[int, ...] = (0,),
                      mask_val: bool = False) -> DataFrame:
@@ -81,47 +104,48 @@ def mask_rate_search(train: DataFrame, test: DataFrame, rates: list[float], epoc
 
     The classifier at epoch j is trained on the masked copies of epochs 0..j
     (each epoch re-masks with the E7 seed schedule), which is the closed-form
-    counterpart of continuing to train on freshly masked data.
+    counterpart of continuing to train on freshly masked data. Token counts add
+    up, so an epoch counts its own copy only and merges it into the counts so far.
     """
     spark = train.sparkSession
     val = _pin(train.filter(hunit(F.lit("val"), F.col("idx")) < 0.2))
     fit = _pin(train.filter(hunit(F.lit("val"), F.col("idx")) >= 0.2))
     test = _pin(test)
-    rows, models = [], []
-
-    def run(rate, epoch_count, seed_base, eval_rows, stop_rule=True):
-        copies, hist = None, []
-        models.clear()
-        for j in range(epoch_count):
-            m = _pin(M.mask_percent(fit, rate, seed_salt(j, seed_base)).select("idx", "label", "masked_sent"))
-            copies = m if copies is None else copies.unionByName(m)
-            model = L.train_classifier(copies.withColumnRenamed("masked_sent", "text"), materialize=True)
-            models.append(model)
-            ev = eval_rows if not mask_val else M.mask_percent(eval_rows, rate, seed_salt(j, seed_base) + 7)
-            feat = "masked_sent" if mask_val else "text"
-            hist.append(dict(epoch=j, **_metrics_row(model, ev, feat)))
+    rows = []
+
+    def run(rate, seed_base):
+        counts, hist, models = None, [], []
+        for j in range(epochs):
+            copy = M.mask_percent(fit, rate, seed_salt(j, seed_base)).select("label", "masked_sent")
+            new = L.count_tokens(copy, "masked_sent")
+            counts = new if counts is None else L.merge_counts(counts, new)
+            models.append(L.classifier_from_counts(counts))
+            ev = val if not mask_val else M.mask_percent(val, rate, seed_salt(j, seed_base) + 7)
+            hist.append(dict(epoch=j, **_metrics_row(models[-1], ev, "masked_sent" if mask_val else "text")))
             _log("rate", rate, "epoch", j, hist[-1])
-            if stop_rule and j >= warmup:
+            if j >= warmup:
                 stopped, es = _stopped(spark, hist, warmup, patience)
                 if stopped:
-                    return hist, es
-        return hist, hist[-1]["epoch"]
+                    return hist, models[es], es
+        return hist, models[-1], hist[-1]["epoch"]
 
+    found = {}
     for rate in rates:
-        hist, es = run(rate, epochs, rand_seed, val)
-        rows += [("search", float(rate), d["epoch"], rand_seed, d["acc"], d["f1"], d["mcc"]) for d in hist]
-    search = [r for r in rows if r[0] == "search"]
-    best = max(range(len(search)), key=lambda k: (search[k][6], -k))
-    best_rate = search[best][1]
+        found[rate] = run(rate, rand_seed)
+        rows += [("search", float(rate), d["epoch"], rand_seed, d["acc"], d["f1"], d["mcc"]) for d in found[rate][0]]
+    best = max(range(len(rows)), key=lambda k: (rows[k][6], -k))
+    best_rate = rows[best][1]
     for seed in seeds:
-        hist, es = run(best_rate, epochs, seed, val)
-        # final: the model of the early-stop epoch, evaluated on the (unmasked) test split
-        r = _metrics_row(models[es], test, "text")
+        # the model of the early-stop epoch, evaluated on the (unmasked) test split; the search's own seed is trained already
+        _, model, es = found[best_rate] if seed == rand_seed else run(best_rate, seed)
+        r = _metrics_row(model, test, "text")
         rows.append(("final", float(best_rate), es, seed, r["acc"], r["f1"], r["mcc"]))
     return spark.createDataFrame(rows, "phase string, rate double, epoch long, seed long, acc double, "
                                        "f1 double, mcc double")
 
 
+# ---------------------------------------------------------------- J6
+
 @dataclass
 class DualProcessConfig:
     end_epoch: int = 5
@@ -134,100 +158,198 @@ class DualProcessConfig:
     mask_test: bool = False
     split_mode: str = "random"       # or "byGroup"
     literal_q8: bool = False
-    root: str | None = None
+    r_rate: float = 1.0              # share of the reflective training rows that one cycle's masker learns from
+    root: str | None = None          # a folder with a manifest is resumed
 
 
 @dataclass
 class DualProcessResult:
-    ledger: DataFrame
-    memory_root: str
+    ledger: DataFrame            # kind (val, test), epoch, acc, f1, mcc
+    memory_root: str             # snapshots by epoch and step
     best_epoch: int
-    logs: list = field(default_factory=list)
+    memory_log: DataFrame | None  # G4 by epoch and cycle
+    mask_log: DataFrame | None    # F9 by epoch and step
 
 
-def _remask(df: DataFrame, masker: L.TokenMasker, pct: float) -> DataFrame:
-    """Replace each row's mask by the masker's valid prediction (F10 semantics, memory columns kept)."""
-    preds = masker.predict(df.select("idx", "text", "token_num"), pct).withColumnRenamed("pred_words", "_pw")
-    j = df.join(preds, "idx", "left")
-    vw = valid_mask(F.col("text"), F.coalesce(F.col("_pw"), F.array().cast("array<string>")))
-    from maskloom.functions.masks import pin_columns
-    j = pin_columns(j, mask_words=vw)
-    j = j.withColumn("masked_sent", replace_tokens(F.col("text"), F.col("mask_words")))
-    return j.withColumn("mask_size", F.size("mask_words").cast("long")).drop("_pw")
+@dataclass
+class Step:
+    """One row of the manifest: a step that is complete."""
 
+    epoch: int
+    name: str                    # init, cycle, final, test
+    cycle: int
+    budget: int                  # cycles that an epoch may run after this step
+    stopped: bool                # the cycle stop ended the epoch here
+    acc: float | None = None
+    f1: float | None = None
+    mcc: float | None = None
 
-def _snapshot(spark: SparkSession, mem: DataFrame, root: str, name: str, epoch: int) -> DataFrame:
-    IO.write_snapshot(mem, root, name, epoch)
-    return IO.read_snapshot(spark, root, name, epoch).drop("name", "epoch")
 
+_MANIFEST = ("seq long, epoch long, name string, cycle long, budget long, stopped boolean, acc double, f1 double, mcc double, "
+             "config string")
 
-def dual_process_loop(spark: SparkSession, train: DataFrame, test: DataFrame,
-                      cfg: DualProcessConfig) -> DualProcessResult:
-    """The dual-process masking loop as a sequence of Spark jobs.
+
+def next_step(done: list[Step], cfg: DualProcessConfig) -> tuple[int, str, int] | None:
+    """(epoch, name, cycle) of the step after those that are done; None at the end. The whole control flow of the loop.
+
+    Epochs 0 and 1 start with a new memory, epoch 0 has no cycles. An epoch runs
+    the cycles that its budget allowed when it began, unless the cycle stop ends it. From the
+    warm-up on, an early stop or the last epoch leads to the test.
+    """
+    if not done:
+        return 0, "init", 0
+    last = done[-1]
+    if last.name == "test":
+        return None
+    if last.name == "init":
+        return (0, "final", 0) if last.epoch == 0 else (last.epoch, "cycle", 0)
+    if last.name == "cycle":
+        before = [s for s in done if not (s.epoch == last.epoch and s.name == "cycle")]
+        allowed = before[-1].budget
+        more = not last.stopped and last.cycle + 1 < allowed
+        return (last.epoch, "cycle", last.cycle + 1) if more else (last.epoch, "final", 0)
+    if last.epoch >= cfg.warmup and (_final_epoch(done, cfg)[0] or last.epoch == cfg.end_epoch - 1):
+        return _final_epoch(done, cfg)[1], "test", 0
+    if last.epoch == cfg.end_epoch - 1:
+        return None
+    return (1, "init", 0) if last.epoch == 0 else (last.epoch + 1, "cycle", 0)
+
+
+def _final_epoch(done: list[Step], cfg: DualProcessConfig) -> tuple[bool, int]:
+    """(early stop, epoch of the final model): the early-stop epoch, or else the one of largest mcc (the first of equal ones)."""
+    hist = [(s.epoch, s.mcc) for s in done if s.name == "final"]
+    stopped, es = W.early_stop_rows(hist, cfg.warmup, cfg.patience)
+    return stopped, es if stopped else max(hist, key=lambda x: (x[1], -x[0]))[0]
+
+
+class _Store:
+    """The loop's folder: snapshots and logs by epoch and step, and the manifest that says which of them are complete."""
+
+    def __init__(self, spark: SparkSession, root: str, cfg: DualProcessConfig):
+        self.spark, self.root = spark, root
+        self.config = json.dumps({k: v for k, v in asdict(cfg).items() if k != "root"}, sort_keys=True)
+        self.done: list[Step] = []
+        if IO.path_exists(spark, f"{root}/manifest"):
+            rows = spark.read.schema(_MANIFEST).parquet(f"{root}/manifest").orderBy("seq").collect()  # a row a step
+            if any(r["config"] != self.config for r in rows):
+                raise ValueError(f"{root} holds a loop with another configuration")
+            self.done = [Step(*[r[f] for f in Step.__dataclass_fields__]) for r in rows]
+
+    def put(self, df: DataFrame, kind: str, epoch: int, step: str) -> DataFrame:
+        """Write (again, if a step was ended midway) and read back."""
+        schema, path = df.schema, f"{self.root}/{kind}/epoch={epoch}/step={step}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def get(self, kind: str, epoch: int, step: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{kind}/epoch={epoch}/step={step}")
+
+    def memory(self) -> DataFrame:
+        """The memory after the last complete step that wrote one (epoch 0's final step leaves it as it is)."""
+        last = [s for s in self.done if s.name != "test" and not (s.name == "final" and s.epoch == 0)][-1]
+        return self.get("smem", last.epoch, f"cycle-{last.cycle}" if last.name == "cycle" else last.name)
+
+    def commit(self, step: Step) -> None:
+        row = [(len(self.done), *[getattr(step, f) for f in Step.__dataclass_fields__], self.config)]
+        IO.append_ledger(self.spark, f"{self.root}/manifest", self.spark.createDataFrame(row, _MANIFEST).coalesce(1))
+        self.done.append(step)
+
+
+def _remask(df: DataFrame, masker: L.TokenMasker, pct: float) -> DataFrame:
+    """Replace each row's mask by the masker's valid prediction (F10 semantics); ``masker_words`` keeps the prediction."""
+    keep = [c for c in df.columns if c not in ("idx", "mask_words", "masked_sent", "mask_size", "pred_words")]
+    source = df.withColumnRenamed("pred_words", "_pred_words") if "pred_words" in df.columns else df
+    extra = ["_pred_words"] if "pred_words" in df.columns else []
+    j = masker.predict(source, pct, carry=keep + extra).withColumnRenamed("pred_words", "masker_words")
+    j = pin_columns(j, mask_words=valid_mask(F.col("text"), F.col("masker_words")))
+    j = replace_words(j, "text", "mask_words", "masked_sent").withColumn("mask_size", F.size("mask_words").cast("long"))
+    if extra:
+        j = j.withColumnRenamed("_pred_words", "pred_words")
+    return j.select(*df.columns, *[c for c in ("mask_words", "masked_sent", "mask_size", "masker_words") if c not in df.columns])
+
+
+def dual_process_loop(spark: SparkSession, train: DataFrame, test: DataFrame, cfg: DualProcessConfig,
+                      on_step: Callable[[Step], None] | None = None) -> DualProcessResult:
+    """The dual-process masking loop as a sequence of Spark jobs, resumable after every step.
 
     ``train`` / ``test``: normalized utterances (idx, group_id, label, text, token_num).
     Returns the per-epoch ledger (acc, f1, mcc of the I-classifier on masked
-    validation rows, plus the final test row) and the memory snapshot root.
+    validation rows, plus the final test row), the memory snapshots and the logs.
+
+    A step writes its snapshot and logs, then its row of the manifest; only then
+    it counts. Called again with the same ``cfg.root`` the loop goes on after the last
+    such row; what an ended step left is written again. ``on_step`` is called after each row.
+    The final model is that of the early-stop epoch, or of the epoch of largest mcc. With
+    ``mask_test`` the test rows are masked by that epoch's masker (epoch 0 has none: they stay as they are).
     """
     root = cfg.root or IO.scratch_path(spark, "dual-process")
+    store = _Store(spark, root, cfg)
     i_val = _pin(train.filter(hunit(F.lit("ival"), F.col("idx")) < cfg.val_size))
     i_train = _pin(train.filter(hunit(F.lit("ival"), F.col("idx")) >= cfg.val_size))
     test = _pin(test)
-    ledger, logs, budget = [], [], cfg.repeat_r
-    memory = None
-    es_epoch = 0
-    for epoch in range(cfg.end_epoch):
-        seed = seed_salt(epoch, cfg.rand_seed)
-        masked_train = M.mask_percent(i_train, cfg.pct, seed)
-        masked_val = _pin(M.mask_percent(i_val, cfg.pct, seed + 50))
-        if epoch <= 1:
-            memory = _snapshot(spark, MEM.memory_init(masked_train), root, "smem", epoch)
+
+    def init(epoch, _):
+        masked = M.mask_percent(i_train, cfg.pct, seed_salt(epoch, cfg.rand_seed))
+        store.put(MEM.memory_init(masked), "smem", epoch, "init")
+        return Step(epoch, "init", 0, store.done[-1].budget if store.done else max(1, cfg.repeat_r), False)
+
+    def cycle(epoch, r):
+        seed, memory = f"{seed_salt(epoch, cfg.rand_seed)}-{r}", store.memory()
+        ids = memory.select("idx", "group_id")
+        cut = SP.group_split if cfg.split_mode == "byGroup" else SP.random_split
+        split = cut(ids, cfg.val_size, seed)
+        if epoch > 1:
+            split = SP.swap_unselected(split, memory, seed=seed, literal_q8=cfg.literal_q8)
+        split = _pin(split.select("idx", "split"))
+        r_train, r_val = (split.filter(F.col("split") == x).select("idx") for x in ("train", "val"))
+        known = M.masker_train_set(memory, r_train, seed, rate=cfg.r_rate, chunk=r)
+        known = known.select("idx", F.regexp_replace("text", "^Mask: ", "").alias("text"), parse_mask("masked_word").alias("mask_words"))
+        masked = store.put(_remask(memory, L.train_masker(known), cfg.pct), "remasked", epoch, f"cycle-{r}")
+        store.put(M.mask_stats(masked.withColumn("dataName", F.lit("r_masker_smem")), ["dataName"], "masker_words", "mask_words"),
+                  "mask_log", epoch, f"cycle-{r}")
+        memory = masked.drop("masker_words")
+        cls = L.train_classifier(memory.join(r_train, "idx", "left_semi"), text="masked_sent")
+        rv = memory.join(r_val, "idx", "left_semi")
+        scored = _pin(cls.predict(rv, text="masked_sent", carry=["label"]).drop("cfg"))
+        judged = _pin(MEM.judge_masks(scored, rv))
+        mcc = float(H.mcc(scored).first()["mcc"] or 0.0)
+        updated = store.put(MEM.memory_update(memory, judged), "smem", epoch, f"cycle-{r}")
+        store.put(MEM.memory_stats(updated, judged), "memory_log", epoch, f"cycle-{r}")
+        before = [s.mcc for s in store.done if s.epoch == epoch and s.name == "cycle"]
+        budget = store.done[-1].budget
+        stopped = budget > 1 and r > 0 and before[-1] > mcc
+        return Step(epoch, "cycle", r, budget - stopped, stopped, mcc=mcc)
+
+    def final(epoch, _):
+        memory, val = store.memory(), M.mask_percent(i_val, cfg.pct, seed_salt(epoch, cfg.rand_seed) + 50)
         if epoch >= 1:
-            mccs = []
-            for r in range(budget):
-                ids = memory.select("idx", "group_id")
-                split = (SP.group_split(ids, cfg.val_size, seed * 10 + r) if cfg.split_mode == "byGroup"
-                         else SP.random_split(ids, cfg.val_size, seed * 10 + r))
-                if epoch > 1:
-                    split = SP.swap_unselected(split, memory, seed=seed * 10 + r, literal_q8=cfg.literal_q8)
-                r_train = split.filter(F.col("split") == "train").select("idx")
-                r_val = split.filter(F.col("split") == "val").select("idx")
-                mtrain = M.masker_train_set(memory, r_train, seed * 10 + r)
-                from maskloom.functions.text import parse_mask
-                mtrain = mtrain.select("idx", F.regexp_replace("text", "^Mask: ", "").alias("text"),
-                                       parse_mask("masked_word").alias("mask_words"))
-                r_masker = L.train_masker(mtrain)
-                memory = _pin(_remask(memory, r_masker, cfg.pct))
-                cls = L.train_classifier(memory.join(r_train, "idx", "left_semi")
-                                         .select("label", F.col("masked_sent").alias("text")), materialize=True)
-                rv = memory.join(r_val, "idx", "left_semi")
-                preds = cls.predict(rv.select("idx", F.col("masked_sent").alias("text"))).drop("cfg")
-                scored = _pin(rv.select("idx", "label").join(preds, "idx"))
-                judged = _pin(MEM.judge_masks(scored, rv))
-                mcc_r = H.mcc(scored).first()["mcc"]
-                memory = _snapshot(spark, MEM.memory_update(memory, judged), root, "smem", epoch * 100 + r + 1)
-                logs.append(dict(epoch=epoch, cycle=r, **MEM.memory_stats(memory, judged).first().asDict()))
-                mccs.append(mcc_r)
-                _log("epoch", epoch, "cycle", r, "mcc", mcc_r, logs[-1])
-                if budget > 1 and r > 0 and mccs[-2] > mccs[-1]:
-                    budget -= 1
-                    break
-            i_masker = L.train_masker(memory)
-            memory = _snapshot(spark, _remask(memory, i_masker, cfg.pct), root, "smem", epoch * 100 + 99)
-            masked_val = _pin(_remask(masked_val, i_masker, cfg.pct))
-        cls = L.train_classifier(memory.select("label", F.col("masked_sent").alias("text")), materialize=True)
-        ledger.append(dict(epoch=epoch, kind="val", **_metrics_row(cls, masked_val, "masked_sent")))
-        hist = [d for d in ledger if d["kind"] == "val"]
-        _log("epoch", epoch, ledger[-1])
-        if epoch >= cfg.warmup:
-            stopped, es_epoch = _stopped(spark, hist, cfg.warmup, cfg.patience)
-            if stopped or epoch == cfg.end_epoch - 1:
-                snap = IO.read_snapshot(spark, root, "smem", es_epoch * 100 + 99 if es_epoch >= 1 else es_epoch)
-                final = L.train_classifier(snap.select("label", F.col("masked_sent").alias("text")), materialize=True)
-                t = M.mask_percent(test, cfg.pct, seed) if cfg.mask_test else test.withColumn("masked_sent", F.col("text"))
-                ledger.append(dict(epoch=es_epoch, kind="test", **_metrics_row(final, t, "masked_sent")))
-                break
-    best = max((d for d in ledger if d["kind"] == "val"), key=lambda d: (d["mcc"], -d["epoch"]))["epoch"]
-    df = spark.createDataFrame([(d["kind"], d["epoch"], d["acc"], d["f1"], d["mcc"]) for d in ledger],
-                               "kind string, epoch long, acc double, f1 double, mcc double")
-    return DualProcessResult(df, root, int(best), logs)
+            masker = L.train_masker(memory)
+            store.put(masker.scores, "masker", epoch, "final")
+            masked = store.put(_remask(memory, masker, cfg.pct), "remasked", epoch, "final")
+            masked_val = store.put(_remask(val, masker, cfg.pct), "val", epoch, "final")
+            both = masked.select(F.lit("i_masker_smem").alias("dataName"), "masker_words", "mask_words", "token_num").unionByName(
+                masked_val.select(F.lit("i_masker_val").alias("dataName"), "masker_words", "mask_words", "token_num"))
+            store.put(M.mask_stats(both, ["dataName"], "masker_words", "mask_words"), "mask_log", epoch, "final")
+            memory, val = store.put(masked.drop("masker_words"), "smem", epoch, "final"), masked_val
+        cls = L.train_classifier(memory, text="masked_sent")
+        return Step(epoch, "final", 0, store.done[-1].budget, False, **_metrics_row(cls, val, "masked_sent"))
+
+    def final_test(epoch, _):
+        model = L.train_classifier(store.get("smem", epoch, "final" if epoch else "init"), text="masked_sent")
+        rows, feat = test, "text"
+        if cfg.mask_test and epoch:
+            rows, feat = _remask(test, L.TokenMasker(store.get("masker", epoch, "final"), 0.5, 1.0), cfg.pct), "masked_sent"
+        return Step(epoch, "test", 0, store.done[-1].budget, False, **_metrics_row(model, rows, feat))
+
+    run = {"init": init, "cycle": cycle, "final": final, "test": final_test}
+    while (step := next_step(store.done, cfg)) is not None:
+        epoch, name, r = step
+        store.commit(run[name](epoch, r))
+        _log(store.done[-1])
+        if on_step:
+            on_step(store.done[-1])
+    kind = {"final": "val", "test": "test"}
+    ledger = spark.createDataFrame([(kind[s.name], s.epoch, s.acc, s.f1, s.mcc) for s in store.done if s.name in kind],
+                                   "kind string, epoch long, acc double, f1 double, mcc double")
+    logs = [spark.read.parquet(f"{root}/{x}") if IO.path_exists(spark, f"{root}/{x}") else None for x in ("memory_log", "mask_log")]
+    return DualProcessResult(ledger, f"{root}/smem", _final_epoch(store.done, cfg)[1], *logs)

@@ -59,6 +59,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def written(df, name: str):
+    """Cut lineage by a written table in the shared checkpoint folder. Unlike a checkpoint its size is known to the
+    planner, which broadcasts it in a join only below its own size limit."""
+    import uuid
+    spark, schema = df.sparkSession, df.schema
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder (never localCheckpoint)."""
     checkpoint_dir(df.sparkSession)

@@ -129,6 +129,12 @@ def resume_epoch(spark: SparkSession, root: str, start_epoch: int, name: str | N
     return int(last), snaps.filter(F.col("epoch") == last)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """Fresh folder under the shared checkpoint dir (never machine-local on a cluster)."""
     from maskloom.session import checkpoint_dir
