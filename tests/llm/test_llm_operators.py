@@ -379,6 +379,65 @@ def test_compact_windows_finds_every_member(spark):
     assert not lost
 
 
+def sides_of(*parts):
+    return compact_windows.Sides(np.concatenate(parts).astype(np.uint64), np.cumsum([0, *map(len, parts)]))
+
+
+def brute_spans(a, b, width, similarity, diagonal):
+    """Windows of a against b, one by one; a shingle of a stands where its equal in b is nearest to the diagonal."""
+    at = {}
+    for i, x in enumerate(a):
+        places = [j for j, y in enumerate(b) if x == y]
+        if places:
+            wish = min(max(i - diagonal, 0), len(b) - 1)
+            at[i] = min(places, key=lambda j: (abs(j - wish), j))
+    good = []
+    for s in range(len(a) - width + 1 if len(b) >= width else 0):
+        inside = [i for i in range(s, s + width) if i in at]
+        if not inside:
+            continue
+        extent = abs(at[inside[-1]] - at[inside[0]]) + 1 + (inside[0] - s) + (s + width - 1 - inside[-1])
+        if len(inside) >= similarity * (width + max(extent, len(inside)) - len(inside)) - 1e-9:
+            good.append(s)
+    out = []
+    for s in good:
+        if out and s <= out[-1][1] + width:
+            out[-1][1] = s
+        else:
+            out.append([s, s])
+    found = []
+    for s, e in out:
+        places = [at[i] for i in range(s, e + width) if i in at]
+        found.append((s, e + width, min(places), max(places) + 1, len(places)))
+    return found
+
+
+def test_spans_of_many_pairs_equal_brute_force():
+    rng = np.random.default_rng(11)
+    parts, tasks = [], []
+    for k in range(60):
+        words = rng.integers(1, 6 if k % 3 == 0 else 1 << 40, rng.integers(1, 70))
+        other = words.copy()
+        for _ in range(rng.integers(0, 6)):
+            i = int(rng.integers(0, len(other) + 1))
+            other = np.insert(other, i, rng.integers(1, 9)) if rng.random() < 0.5 else np.delete(other, min(i, len(other) - 1))
+            if not len(other):
+                other = words[:1]
+        parts += [words, np.concatenate([rng.integers(1, 9, rng.integers(0, 9)), other])]
+        for d in {0, int(rng.integers(-9, 9))}:
+            tasks += [(2 * k, 2 * k + 1, d), (2 * k + 1, 2 * k, -d)]
+    mine, other, diagonal = (np.array(c) for c in zip(*tasks))
+    total = 0
+    for width, similarity in ((4, 0.8), (9, 0.6), (20, 0.8)):
+        got = collections.defaultdict(list)
+        for t, *row in zip(*compact_windows.spans_of(sides_of(*parts), mine, other, diagonal, width, similarity)):
+            got[int(t)].append(tuple(map(int, row)))
+        for t, (m, o, d) in enumerate(tasks):
+            assert got[t] == brute_spans(parts[m].tolist(), parts[o].tolist(), width, similarity, d)
+            total += len(got[t])
+    assert total > 100
+
+
 def test_similar_spans_follow_the_diagonal(spark):
     # the passage ends with a line that also stands at the beginning of the other text
     rng = np.random.default_rng(5)
@@ -386,9 +445,15 @@ def test_similar_spans_follow_the_diagonal(spark):
     b = rng.integers(1, 1 << 62, 130, dtype=np.uint64)
     b[:4], b[60:106] = passage[-4:], passage
     a = np.concatenate([rng.integers(1, 1 << 62, 10, dtype=np.uint64), passage])
-    assert [r[1:] for r in compact_windows.similar_spans(a, b, 46, 0.8, 10 - 60)] == [(56, 60, 106, 46)]
-    hit, at = compact_windows.aligned(a, b, -50)
-    for i, j in zip(hit, at):
+    one = np.zeros(1, int)
+    found = compact_windows.spans_of(sides_of(a, b), one, one + 1, one + 10 - 60, 46, 0.8)
+    assert [tuple(map(int, r))[2:] for r in zip(*found)] == [(56, 60, 106, 46)]
+    here = np.arange(len(a))
+    at = sides_of(a, b).nearest(here, one[0] + np.ones(len(a), int), here + 50)
+    for i, j in enumerate(at):
+        if j < 0:
+            assert a[i] not in b
+            continue
         places = np.flatnonzero(b == a[i])
         assert j in places and abs(j - i - 50) == np.abs(places - i - 50).min()
     # and through the operator: a line of 12 words before and at the end of a passage of 50, in the one text only
