@@ -132,6 +132,24 @@ def masker_train_set(memory: DataFrame, train_ids: DataFrame, seed: int, rate: f
     return masker_view(m)
 
 
+def masker_sets(memory: DataFrame, train_ids: DataFrame, val: DataFrame, test: DataFrame, seed, rate: float = 1.0,
+                chunk: int = 0) -> DataFrame:
+    """F11, whole: the masker's training rows and the sets it predicts on, in the masker projection with ``set_name``.
+
+    masker_train: as ``masker_train_set``. r_masker_smem: the whole memory.
+    i_masker_val and i_masker_test: the held-out splits. Null masks are shown as the sentinel.
+    """
+    from maskloom.operators.filters import masker_view
+    parts = {"masker_train": masker_train_set(memory, train_ids, seed, rate, chunk)}
+    for name, df in (("r_masker_smem", memory), ("i_masker_val", val), ("i_masker_test", test)):
+        parts[name] = masker_view(df.withColumn("masked_word", F.coalesce(render_mask("mask_words"), F.lit(SENTINEL))))
+    out = None
+    for name, df in parts.items():
+        named = df.withColumn("set_name", F.lit(name))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 def classifier_sets(memory: DataFrame, val: DataFrame, test: DataFrame, mode: str,
                     r_train_ids: DataFrame | None = None, r_val_ids: DataFrame | None = None,
                     mask_test: bool = False) -> DataFrame:
@@ -140,11 +158,12 @@ def classifier_sets(memory: DataFrame, val: DataFrame, test: DataFrame, mode: st
     r_train: reflective train / val rows of the memory, both masked. i_train:
     the whole memory (masked) and the masked validation split. test: train+val
     (masked) and the test split, masked only when ``mask_test``. Inputs carry
-    idx, group_id, label, text, masked_sent.
+    idx, group_id, label, text, token_num, mask_words, masked_sent.
     """
     def view(df, name, feat="masked_sent"):
         return df.select("idx", "group_id", F.lit(name).alias("set_name"), task_prefix(F.col(feat)).alias("clsInFeat"),
-                         F.col("label").alias("labels"))
+                         F.col("label").alias("labels"), F.col("token_num").alias("tokenNum"),
+                         render_mask("mask_words").alias("masked_word"))
     if mode == "r_train":
         return view(memory.join(r_train_ids.select("idx"), "idx", "left_semi"), "masked_r_train") \
             .unionByName(view(memory.join(r_val_ids.select("idx"), "idx", "left_semi"), "masked_r_val"))

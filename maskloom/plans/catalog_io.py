@@ -21,26 +21,59 @@ _NT = f"WITH {T}, {S.normalized_cte('nt', 'turns')}"
 
 
 # --- A3 ---------------------------------------------------------------------------------------------
-def _variant_sql():
+def _variant_sql(fold, parts):
+    """Rows of one variant: ``parts`` lists (variant, seed, epoch, mask_pct, splits)."""
     blocks = ("f AS (SELECT group_id, min(idx) AS first FROM nt GROUP BY group_id), "
               "r AS (SELECT group_id, row_number() OVER (ORDER BY first) - 1 AS p, count(*) OVER () AS n FROM f), "
               "b AS (SELECT group_id, CAST(least(floor(p / greatest(1, round_even(n / 3.0, 0))), 2) AS INTEGER) AS blk "
               "FROM r)")
     vb = f"CAST(('0x' || substr({S.hkey(S.lit('vb'), 'sp0.group_id')}, 1, 6)) AS BIGINT) % 2"
-    sp = (f"sp AS (SELECT sp0.*, CASE WHEN b.blk = 1 THEN 'test' WHEN {vb} = 0 THEN 'val' ELSE 'train' END AS split "
+    sp = (f"sp AS (SELECT sp0.*, CASE WHEN b.blk = {fold} THEN 'test' WHEN {vb} = 0 THEN 'val' ELSE 'train' END AS split "
           f"FROM nt sp0 JOIN b ON sp0.group_id = b.group_id)")
-    d0 = S.draw_ctes("d0", "sp", S.budget("token_num", 0.15), 100, salt="pct")
-    d1 = S.draw_ctes("d1", "sp", S.budget("token_num", 0.15), 101, salt="pct")
-    sel = ("SELECT 'dp' AS variant, 1 AS fold, 1 AS seed, {e} AS epoch, 15 AS mask_pct, sp.split, sp.idx, sp.group_id, "
-           "'Classify: ' || " + S.strip_prefixes("{d}.masked_sent") + " AS clsInFeat, sp.label AS labels "
-           "FROM sp JOIN {d} ON sp.idx = {d}.idx WHERE sp.split IN ({s})")
-    return (f"{_NT}, {blocks}, {sp}, {d0}, {d1} " + sel.format(e=0, d="d0", s="'train', 'test'") +
-            " UNION ALL " + sel.format(e=1, d="d1", s="'train', 'val'"))
+    ctes, sel = [_NT, blocks, sp], []
+    for i, (variant, seed, epoch, pct, splits) in enumerate(parts):
+        k = S.budget("token_num", pct / 100) if variant != "base" else "0"
+        ctes.append(S.draw_ctes(f"d{i}", "sp", k, seed * 100 + epoch, salt="pct"))
+        sel.append(f"SELECT '{variant}' AS variant, {fold} AS fold, {seed} AS seed, {epoch} AS epoch, {pct} AS mask_pct, sp.split, sp.idx, "
+                   f"sp.group_id, 'Classify: ' || {S.strip_prefixes(f'd{i}.masked_sent')} AS clsInFeat, sp.label AS labels "
+                   f"FROM sp JOIN d{i} ON sp.idx = d{i}.idx WHERE sp.split IN ({splits})")
+    return ", ".join(ctes) + " " + " UNION ALL ".join(sel)
 
 
-@register("select_variant", _variant_sql())
+def stored_variant(spark, sf, kinds, *args, **options):
+    """Write the variant table by folder, and read one variant of it back."""
+    rows = FX.variants(spark, sf, kinds)
+    root = IO.write_variants(rows, IO.scratch_path(spark, "variants"))
+    return IO.select_variant(IO.read_variants(spark, root, rows.schema), *args, **options)
+
+
+_ALL, _TV, _TE = "'train', 'val', 'test'", "'train', 'val'", "'test'"
+
+
+@register("select_variant", _variant_sql(1, [("dp", 1, 0, 15, "'train', 'test'"), ("dp", 1, 1, 15, _TV)]))
 def q_select_variant(spark, sf):
-    return IO.select_variant(FX.variants(spark, sf), "cum", fold=1, seed=1, epoch=1, val_type="masked")
+    return stored_variant(spark, sf, ("dp",), "cum", fold=1, seed=1, epoch=1, val_type="masked")
+
+
+@register("select_variant_base", _variant_sql(2, [("base", 0, 0, 0, _ALL)]))
+def q_select_variant_base(spark, sf):
+    return stored_variant(spark, sf, ("base", "rm"), "base", fold=2)
+
+
+@register("select_variant_dp", _variant_sql(0, [("dp", 1, 2, 15, _TV), ("dp", 1, 0, 15, _TE)]))
+def q_select_variant_dp(spark, sf):
+    return stored_variant(spark, sf, ("dp",), "dp", fold=0, seed=1, epoch=2)
+
+
+@register("select_variant_rm", _variant_sql(1, [("rm", 1, 0, 15, _ALL)]))
+def q_select_variant_rm(spark, sf):
+    return stored_variant(spark, sf, ("base", "rm"), "rm", fold=1, seed=1, mask_pct=15)
+
+
+@register("select_variant_cum_unmasked", _variant_sql(1, [("dp", 0, 0, 15, "'train', 'test'"), ("dp", 0, 1, 15, "'train'"),
+                                                          ("base", 0, 0, 0, "'val'")]))
+def q_select_variant_cum_unmasked(spark, sf):
+    return stored_variant(spark, sf, ("base", "dp"), "cum", fold=1, seed=0, epoch=1, val_type="unmasked")
 
 
 # --- A4 / A7 snapshots -------------------------------------------------------------------------------
@@ -130,7 +163,7 @@ def q_stream_score(spark, sf):
     ckpt = IO.scratch_path(spark, "stream-ckpt")
 
     def prepare(b):
-        return b.select((F.col("conv_id") * FX.TURN_SPAN + F.col("turn")).cast("long").alias("idx"),
+        return b.select(IO.natural_key("conv_id", "turn", FX.TURN_SPAN).alias("idx"),
                         F.col("conv_id").cast("long").alias("group_id"), F.col("role").alias("label"), "text")
 
     q = stream_score(spark, sf, src_schema, sink, ckpt, lambda: SC.LengthRuleModel(60), prepare=prepare,

@@ -188,16 +188,48 @@ def q_masker_train_set(spark, sf):
     return M.masker_train_set(mem, train_ids, seed=3)
 
 
+def _set_sql(name, src, feat, where, words="mask_words"):
+    return (f"SELECT idx, group_id, '{name}' AS set_name, 'Classify: ' || {S.strip_prefixes(feat)} AS clsInFeat, label AS labels, "
+            f"token_num AS tokenNum, {S.render_mask(words)} AS masked_word FROM {src} WHERE {where}")
+
+
+@register("masker_sets", f"""{_masker_train_sql()},
+words AS (SELECT idx, CASE WHEN x IS NULL OR x = '[M]' OR list_contains(words, x) THEN words ELSE list_append(words, x) END AS w FROM mw)
+SELECT 'masker_train' AS set_name, m.group_id, 'Mask: ' || {S.strip_prefixes('m.text')} AS text, m.label AS labels,
+       m.token_num AS tokenNum, {S.render_mask('w.w')} AS masked_word, m.idx FROM mw m JOIN words w ON m.idx = w.idx
+UNION ALL SELECT 'r_masker_smem', group_id, 'Mask: ' || {S.strip_prefixes('text')}, label, token_num, {S.render_mask('mask_words')}, idx FROM mp
+UNION ALL SELECT 'i_masker_val', group_id, 'Mask: ' || {S.strip_prefixes('text')}, label, token_num, {S.render_mask('mask_words')}, idx FROM mp
+  WHERE group_id % 5 = 0
+UNION ALL SELECT 'i_masker_test', group_id, 'Mask: ' || {S.strip_prefixes('text')}, label, token_num, {S.render_mask('mask_words')}, idx FROM mp
+  WHERE group_id % 5 = 1""")
+def q_masker_sets(spark, sf):
+    from maskloom.functions.hashing import hunit
+    from maskloom.plans.catalog_eval import memory_prev
+    from maskloom.session import materialize
+    mem = materialize(memory_prev(spark, sf))  # read for each set
+    train_ids = mem.filter(hunit(F.lit("split"), F.lit(7), F.col("idx")) >= 0.2).select("idx")
+    return M.masker_sets(mem, train_ids, mem.filter("group_id % 5 = 0"), mem.filter("group_id % 5 = 1"), seed=3)
+
+
+@register("classifier_sets_r", f"""{_masker_train_sql()}, ms AS (SELECT *, {_replace_sql_words('text', 'mask_words')} AS masked_sent FROM mp)
+{_set_sql('masked_r_train', 'ms', 'masked_sent', S.hunit(S.lit('split'), '7', 'idx') + ' >= 0.2')}
+UNION ALL {_set_sql('masked_r_val', 'ms', 'masked_sent', S.hunit(S.lit('split'), '7', 'idx') + ' < 0.2')}""")
+def q_classifier_sets_r(spark, sf):
+    from maskloom.functions.hashing import hunit
+    from maskloom.plans.catalog_eval import memory_prev
+    from maskloom.session import materialize
+    mem = materialize(memory_prev(spark, sf))
+    u = hunit(F.lit("split"), F.lit(7), F.col("idx"))
+    return M.classifier_sets(mem, None, None, "r_train", mem.filter(u >= 0.2), mem.filter(u < 0.2))
+
+
 @register("classifier_sets", f"""{_NT3}, {S.draw_ctes('dm', 'nts', S.budget('token_num', 0.15), SEED, salt='pct')},
-m AS (SELECT nts.*, dm.masked_sent FROM nts JOIN dm ON nts.idx = dm.idx)
-SELECT idx, group_id, 'masked_i_train' AS set_name, 'Classify: ' || {S.strip_prefixes('masked_sent')} AS clsInFeat,
-       label AS labels FROM m WHERE split = 'train'
-UNION ALL SELECT idx, group_id, 'masked_i_val', 'Classify: ' || {S.strip_prefixes('masked_sent')}, label FROM m
-  WHERE split = 'val'
-UNION ALL SELECT idx, group_id, 'masked_i_trainVal', 'Classify: ' || {S.strip_prefixes('masked_sent')}, label FROM m
-  WHERE split IN ('train', 'val')
-UNION ALL SELECT idx, group_id, 'i_test', 'Classify: ' || {S.strip_prefixes('text')}, label FROM m WHERE split = 'test'""")
+m AS (SELECT nts.*, dm.masked_sent, dm.mask_words FROM nts JOIN dm ON nts.idx = dm.idx)
+{_set_sql('masked_i_train', 'm', 'masked_sent', "split = 'train'")} UNION ALL {_set_sql('masked_i_val', 'm', 'masked_sent', "split = 'val'")}
+UNION ALL {_set_sql('masked_i_trainVal', 'm', 'masked_sent', "split IN ('train', 'val')")}
+UNION ALL {_set_sql('i_test', 'm', 'text', "split = 'test'")}""")
 def q_classifier_sets(spark, sf):
-    m = M.mask_percent(split3(norm_turns(spark, sf)), PCT, SEED).cache()
+    from maskloom.session import materialize
+    m = materialize(M.mask_percent(split3(norm_turns(spark, sf)), PCT, SEED))
     mem, val, test = (m.filter(F.col("split") == s) for s in ("train", "val", "test"))
     return M.classifier_sets(mem, val, test, "i_train").unionByName(M.classifier_sets(mem, val, test, "test"))

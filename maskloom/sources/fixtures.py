@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.hashing import hkey, hunit
 from maskloom.functions.text import DIALOGUE_LABELS, LABEL_TAG, squeeze_space, tokens
+from maskloom.sources.io import natural_key
 
-TURN_SPAN = 1 << 32  # idx = conv_id * TURN_SPAN + turn: no dialogue has so many turns
+TURN_SPAN = 1 << 32  # idx = conv_id * TURN_SPAN + turn, checked
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogue turns: idx, group_id, turn, speaker, label, text."""
     c = table(spark, sf_dir, "conversations")
     return c.select(
-        (F.col("conv_id") * TURN_SPAN + F.col("turn")).cast("long").alias("idx"),
+        natural_key("conv_id", "turn", TURN_SPAN).alias("idx"),
         F.col("conv_id").cast("long").alias("group_id"),
         F.col("turn").cast("long").alias("turn"),
         F.col("role").alias("speaker"),
@@ -143,7 +144,7 @@ def memory0(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(sel, F.when(cor, F.lit(1)).otherwise(F.lit(0))).alias("correct"))
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def variants(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("base", "dp", "rm")) -> DataFrame:
     """Dataset variant rows: base / dp / rm x fold 0-2 x seed 0-1 x epoch 0-2, split by E3 blocks.
 
     dp and rm rows carry 15% random masks seeded ``seed * 100 + epoch``; base
@@ -159,6 +160,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = ([("base", f, 0, 0, 0) for f in range(3)]
             + [("dp", f, s, e, 15) for f in range(3) for s in range(2) for e in range(3)]
             + [("rm", f, s, 0, 15) for f in range(3) for s in range(2)])
+    grid = [g for g in grid if g[0] in kinds]
     grid_col = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(f).alias("fold"), F.lit(s).alias("seed"),
                                   F.lit(e).alias("epoch"), F.lit(p).alias("mask_pct")) for v, f, s, e, p in grid])
     # One row per (turn, kfold fold): attach the grid entries of that fold (explode, no join).

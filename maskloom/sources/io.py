@@ -4,29 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-UTTERANCE_SCHEMA = T.StructType([
-    T.StructField("idx", T.LongType(), False),
-    T.StructField("group_id", T.LongType(), True),
-    T.StructField("turn", T.LongType(), True),
-    T.StructField("speaker", T.StringType(), True),
-    T.StructField("label", T.StringType(), True),
-    T.StructField("text", T.StringType(), True),
-])
-
-
 def load_utterances(spark: SparkSession, path: str, fmt: str = "parquet", cols: dict | None = None,
                     schema: T.StructType | None = None, turn_span: int = 1 << 32) -> DataFrame:
     """A1: read one split and bind group / turn / text / label / speaker columns.
 
     ``cols`` maps logical names to source columns (``group``, ``turn``, ``text``,
     ``label``, ``speaker``). ``idx`` comes from the natural key
-    ``group * turn_span + turn`` when both exist; otherwise rows are numbered
-    once with ``zipWithIndex`` (file order) -- callers persist that result.
-    CSV needs a declared ``schema`` (no inference at scale).
+    (``natural_key``) when both exist; otherwise rows are numbered by file and
+    place in it (``number_rows``). CSV needs a declared ``schema`` (no inference at scale).
     """
     cols = cols or {}
     reader = spark.read
@@ -37,19 +26,50 @@ def load_utterances(spark: SparkSession, path: str, fmt: str = "parquet", cols:
     else:
         df = reader.format(fmt).load(path)
 
+    keyed = bool(cols.get("group") and cols.get("turn"))
+
     def pick(key, default=None):
         src = cols.get(key, default)
         return F.col(src) if src and src in df.columns else F.lit(None)
 
-    out = df.select(pick("group").cast("long").alias("group_id"), pick("turn").cast("long").alias("turn"),
-                    pick("speaker").cast("string").alias("speaker"), pick("label").cast("string").alias("label"),
-                    pick("text").cast("string").alias("text"))
-    if cols.get("group") and cols.get("turn"):
-        turn = F.when(F.col("turn").between(0, turn_span - 1), F.col("turn")).otherwise(
-            F.raise_error(F.concat(F.lit("turn outside its span: "), F.coalesce(F.col("turn").cast("string"), F.lit("null")))))
-        return out.select((F.col("group_id") * turn_span + turn).cast("long").alias("idx"), *out.columns)
-    indexed = out.rdd.zipWithIndex().map(lambda r: (r[1],) + tuple(r[0]))
-    return spark.createDataFrame(indexed, UTTERANCE_SCHEMA)
+    bound = df.select(pick("group").cast("long").alias("group_id"), pick("turn").cast("long").alias("turn"),
+                      pick("speaker").cast("string").alias("speaker"), pick("label").cast("string").alias("label"),
+                      pick("text").cast("string").alias("text"), *([] if keyed else [F.col("_metadata").alias("_at")]))
+    if keyed:
+        return bound.select(natural_key("group_id", "turn", turn_span).alias("idx"), *bound.columns)
+    return number_rows(bound, "_at", exact=fmt == "parquet")
+
+
+def natural_key(group: str, turn: str, turn_span: int = 1 << 32) -> Column:
+    """``group * turn_span + turn``: one long, unique while turns lie in [0, turn_span) and groups within 2**63 / turn_span
+    of zero. A row outside these bounds, or without group or turn, raises: it would take another row's key."""
+    limit = (1 << 63) // turn_span
+    fits = F.col(group).between(-limit, limit - 1) & F.col(turn).between(0, turn_span - 1)
+    told = F.concat(F.lit("no key for group and turn: "), F.coalesce(F.col(group).cast("string"), F.lit("null")), F.lit(", "),
+                    F.coalesce(F.col(turn).cast("string"), F.lit("null")))
+    return F.when(fits, F.col(group).cast("long") * F.lit(turn_span).cast("long") + F.col(turn).cast("long")).otherwise(F.raise_error(told)).cast("long")
+
+
+def number_rows(df: DataFrame, at: str, exact: bool) -> DataFrame:
+    """Rows numbered from 0 by (file path, place in the file) as ``idx``, on the JVM; ``at`` holds the source's ``_metadata``.
+
+    Parquet tells a row's place in its file (``exact``). Other formats tell the
+    block of the file that the row was read from; a block is read by one task in
+    order, so the place in it is the running row id less the block's first one.
+    Counts by file or block give the offsets: one row each reaches the window over them.
+    """
+    if exact:
+        rows = df.withColumn("_f", F.col(at)["file_path"]).withColumn("_b", F.lit(0).cast("long")).withColumn("_p", F.col(at)["row_index"])
+        first = F.lit(0).cast("long")
+    else:
+        rows = df.withColumn("_f", F.col(at)["file_path"]).withColumn("_b", F.col(at)["file_block_start"]) \
+            .withColumn("_p", F.monotonically_increasing_id())
+        first = F.min("_p")
+    parts = rows.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")  # one row for each file or block
+    parts = parts.select("_f", "_b", (before - F.col("_first")).alias("_off"))
+    return rows.join(parts, ["_f", "_b"]).select((F.col("_p") + F.col("_off")).cast("long").alias("idx"),
+                                                 *[c for c in df.columns if c != at])
 
 
 def scan_columns(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -87,6 +107,22 @@ def select_variant(df: DataFrame, variant: str, fold: int, seed: int = 0, epoch:
     raise ValueError(f"unknown variant {variant}")
 
 
+#: Columns of a stored variant table, in the order of its folders.
+VARIANT_PARTS = ["variant", "fold", "seed", "epoch", "mask_pct", "split"]
+
+
+def write_variants(df: DataFrame, root: str, files: int = 1, key: str = "idx") -> str:
+    """A3 sink: variant rows by folder (``VARIANT_PARTS``), ``files`` files to each, whatever the number of tasks before."""
+    spread = F.pmod(F.xxhash64(key), F.lit(files))
+    df.repartition(*VARIANT_PARTS, spread).write.mode("overwrite").partitionBy(*VARIANT_PARTS).parquet(root)
+    return root
+
+
+def read_variants(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """A3 source: the stored table; ``select_variant`` on it reads the chosen folders only."""
+    return spark.read.schema(schema).parquet(root)
+
+
 def write_snapshot(df: DataFrame, root: str, name: str, epoch: int) -> str:
     """A4: write dataset ``name`` for ``epoch``, replacing only that partition."""
     (df.withColumn("name", F.lit(name)).withColumn("epoch", F.lit(int(epoch)))
@@ -112,21 +148,32 @@ def append_ledger(spark: SparkSession, path: str, rows_df: DataFrame, schema: T.
 
 def resume_unscored(input_df: DataFrame, log_df: DataFrame, key: str = "idx") -> DataFrame:
     """Rows not yet scored by an interrupted run (anti-join on the key, not row count)."""
-    return input_df.join(log_df.select(key).distinct(), key, "left_anti")
+    return input_df.join(log_df.select(key), key, "left_anti")
 
 
-def resume_epoch(spark: SparkSession, root: str, start_epoch: int, name: str | None = None) -> tuple[int, DataFrame]:
-    """The last finished snapshot below ``start_epoch``: (epoch, rows).
+def snapshot_epochs(spark: SparkSession, root: str, name: str | None = None) -> list[int]:
+    """Epochs of the snapshots below ``root``, by the names of their folders: no file is read."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/name={name if name is not None else '*'}/epoch=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted({int(f.getPath().getName().split("=", 1)[1]) for f in found or []})
 
-    Only the tiny distinct partition-value list reaches the driver.
-    """
+
+def resume_epoch(spark: SparkSession, root: str, start_epoch: int, name: str | None = None) -> tuple[int, DataFrame]:
+    """The last finished snapshot below ``start_epoch``: (epoch, rows); -1 and no rows where there is none."""
+    epochs = [e for e in snapshot_epochs(spark, root, name) if e < start_epoch]
     snaps = spark.read.parquet(root)
     if name is not None:
         snaps = snaps.filter(F.col("name") == name)
-    last = snaps.filter(F.col("epoch") < start_epoch).agg(F.max("epoch").alias("e")).first()["e"]
-    if last is None:
-        return -1, snaps.limit(0)
-    return int(last), snaps.filter(F.col("epoch") == last)
+    return (epochs[-1], snaps.filter(F.col("epoch") == epochs[-1])) if epochs else (-1, snaps.limit(0))
+
+
+def prune_snapshots(spark: SparkSession, root: str, name: str, keep: int = 2) -> list[int]:
+    """A4: delete all but the last ``keep`` epochs of a snapshot; returns the epochs deleted."""
+    old = snapshot_epochs(spark, root, name)[:-keep] if keep else snapshot_epochs(spark, root, name)
+    for e in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/name={name}/epoch={e}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return old
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
