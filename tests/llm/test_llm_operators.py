@@ -438,6 +438,43 @@ def test_spans_of_many_pairs_equal_brute_force():
     assert total > 100
 
 
+def test_spans_on_several_diagonals_cover_what_each_covers():
+    rng = np.random.default_rng(12)
+    parts, ds = [], []
+    for k in range(80):
+        block = rng.integers(1, 1 << 40, 8)
+        words = np.concatenate([block[: rng.integers(2, 8)] if rng.random() < 0.6 else rng.integers(1, 1 << 40, 5) for _ in range(8)])
+        other = np.concatenate([words[rng.integers(0, 9):], block, words[: rng.integers(0, 20)]])
+        parts += [words, other]
+        ds.append(rng.integers(-20, 20, rng.integers(1, 6)))
+    k = np.arange(80) * 2
+    sides, n = sides_of(*parts), np.array([len(d) for d in ds])
+    total = 0
+    for width, similarity in ((6, 0.8), (15, 0.7)):
+        for x in (0, 1):
+            got = collections.defaultdict(set)
+            for t, a, b, *_ in zip(*compact_windows.spans_of(sides, k + x, k + 1 - x, np.concatenate(ds) * (1 - 2 * x), width, similarity, n)):
+                got[int(t)].update(range(a, b))
+            for t, d in enumerate(ds):
+                want = set()
+                for g in d * (1 - 2 * x):
+                    for a, b, *_ in brute_spans(parts[2 * t + x].tolist(), parts[2 * t + 1 - x].tolist(), width, similarity, g):
+                        want.update(range(a, b))
+                assert got[t] <= want and want <= {i for i in got[t]} | gaps(got[t], width)
+                total += len(want)
+    assert total > 2000
+
+
+def gaps(found, width):
+    """Places between two windows less than a window apart: one diagonal may span them, where two verify a window each."""
+    out = set()
+    places = sorted(found)
+    for a, b in zip(places, places[1:]):
+        if b - a <= width:
+            out.update(range(a, b))
+    return out
+
+
 def test_similar_spans_follow_the_diagonal(spark):
     # the passage ends with a line that also stands at the beginning of the other text
     rng = np.random.default_rng(5)
