@@ -4,10 +4,13 @@ A mask over consecutive words reads some positions and ignores the others, so a
 seed survives substitutions at ignored positions. The masks are complete: every
 pattern of substitutions that the rule below allows leaves a seed. Seeds of
 benchmark items are joined to the seeds of every position of every document;
-each hit is verified on its diagonal (item position minus document position):
-the overlap of item and document there is compared word by word, and a leak is
+the hits are verified by diagonal (document position minus item position), each
+once: the overlap of item and document there is compared word by word, and a leak is
 a stretch that covers ``min_words`` item words (or the whole item, if shorter)
-of which at least ``similarity`` agree, starting and ending with agreement.
+of which at least ``similarity`` agree, starting and ending with agreement. A hit
+that goes on from one at the words before it is not listed, so texts that repeat
+themselves give as many hits as words, not their product. A diagonal whose words of the document all lie in
+leaks of the same item already gives no further row.
 
 Items are taken in blocks of bounded total length, each scanned against all
 documents; so a benchmark of any size needs no larger broadcast than one block.
@@ -74,6 +77,15 @@ def _seeds(words: np.ndarray, first: np.ndarray, mask: tuple[int, ...], span: in
     return mix(h), at
 
 
+def _previous(h: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Seed of the same mask one word before each, in the same document (an inverted seed of its own where there is none)."""
+    out = ~h
+    if len(h) > 1:
+        follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (np.searchsorted(first, at[1:], "right") == np.searchsorted(first, at[:-1], "right"))) + 1
+        out[follows] = h[follows - 1]
+    return out
+
+
 class _Block:
     """Seeds of one block of items, sorted, behind a bit table that most document positions fail."""
 
@@ -84,78 +96,131 @@ class _Block:
         self.shapes = [(mask, max(mask) + 1, m, None) for m, mask in enumerate(masks_for(min_words, similarity))]
         for n in sorted({int(n) for n in sizes[(sizes > 0) & (sizes < min_words)]}):
             self.shapes += [(mask, n, (n << 16) + m, n) for m, mask in enumerate(whole_masks(n, similarity))]
-        seeds, where = [], []
+        seeds, where, before = [], [], []
         for mask, span, salt, n in self.shapes:
             h, at = _seeds(words, first, mask, span, salt)
             item = np.searchsorted(first, at, "right") - 1
             fits = sizes[item] >= min_words if n is None else (sizes[item] == n) & (at == first[item])
+            before.append(_previous(h, at, first)[fits])
             seeds.append(h[fits])
             where.append(at[fits])
-        h, at = np.concatenate(seeds), np.concatenate(where)
-        order = np.argsort(h, kind="stable")
-        self.seeds, self.at = h[order], at[order]
+        h, at, before = np.concatenate(seeds), np.concatenate(where), np.concatenate(before)
+        self.known = np.unique(h)
+        place, last = self._known(h), self._known(before)
+        # by seed, then by the seed one word before it in the item (0: none)
+        key = place * (len(self.known) + 1) + last + 1
+        order = np.argsort(key, kind="stable")
+        self.key, self.at, self.seeds = key[order], at[order], h[order]
         self.bits = np.zeros(1 << FILTER_BITS, bool)
         self.bits[(self.seeds >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _known(self, h: np.ndarray) -> np.ndarray:
+        """Number of each seed among the items' seeds; -1: none of them."""
+        at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        return np.where(self.known[at] == h, at, -1) if len(self.known) else np.full(len(h), -1)
+
     def hits(self, words: np.ndarray, first: np.ndarray):
-        """(document word, item word) pairs that share a seed."""
-        docs, items = [], []
+        """(document word, item word) pairs that share a seed, without those whose words before share one as well."""
+        docs, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for mask, span, salt, _ in self.shapes:
             h, at = _seeds(words, first, mask, span, salt)
             some = self.bits[(h >> U64(64 - FILTER_BITS)).astype(np.int64)]
+            if not some.any():
+                continue
+            before = _previous(h, at, first)[some]
             h, at = h[some], at[some]
-            low, high = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
-            n = high - low
-            rep = np.repeat(np.arange(len(h)), n)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            docs.append(at[rep])
-            items.append(self.at[low[rep] + inside])
+            place = self._known(h)
+            some = place >= 0
+            place, at, last = place[some], at[some], self._known(before[some])
+            base = place * (len(self.known) + 1)
+            ends = [np.searchsorted(self.key, x) for x in (base, base + last + 1, base + last + 2, base + len(self.known) + 1)]
+            ends[1], ends[2] = (np.where(last >= 0, ends[k], ends[0]) for k in (1, 2))  # no seed before: nothing goes on from it
+            for low, high in ((ends[0], ends[1]), (ends[2], ends[3])):
+                n = high - low
+                rep = np.repeat(np.arange(len(at)), n)
+                docs.append(at[rep])
+                items.append(self.at[low[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)])
         return np.concatenate(docs), np.concatenate(items)
 
 
-def _leaks(block: _Block, words, first, min_words: int, similarity: float):
-    """Verified leaks of a slice: (document, item, start word, end word, item start, item words, matches)."""
+def _leaks(block: _Block, words, first, min_words: int, similarity: float, any_leak: bool = False):
+    """Verified leaks of a slice: (document, item, start word, end word, item start, item words, matches).
+
+    With ``any_leak`` one leak a document is enough.
+    """
     at, it = block.hits(words, first)
     if not len(at):
         return []
     doc = np.searchsorted(first, at, "right") - 1
     item = np.searchsorted(block.first, it, "right") - 1
     diagonal = (at - first[doc]) - (it - block.first[item])
-    out = []
-    for d, i, g in np.unique(np.stack([doc, item, diagonal], 1), axis=0).tolist():
+    rows = np.unique(np.stack([doc, item, diagonal], 1), axis=0)
+    out, leaking = [], -1
+    bounds = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
+    for x, y in zip(bounds.tolist(), np.append(bounds[1:], len(rows)).tolist()):
+        d, i = rows[x, :2].tolist()
+        if any_leak and d == leaking:
+            continue
         dw, iw = words[first[d]:first[d + 1]], block.words[block.first[i]:block.first[i + 1]]
-        low, high = max(0, -g), min(len(iw), len(dw) - g)
-        same = dw[low + g:high + g] == iw[low:high]
         need = min(min_words, len(iw))
-        best = _stretch(same, need, similarity)
-        if best is not None:
-            a, b, n = best
-            out.append((d, i, low + g + a, low + g + b, low + a, len(iw), n))
+        covered: list[tuple[int, int]] = []  # document words in leaks of this item
+        for g in _tiled(rows[x:y, 2].tolist(), len(iw)):
+            low, high = max(0, -g), min(len(iw), len(dw) - g)
+            if any(p <= low + g and high + g <= q for p, q in covered):
+                continue
+            best = _stretch(dw[low + g:high + g] == iw[low:high], need, similarity)
+            if best is not None:
+                a, b, n = best
+                out.append((d, i, low + g + a, low + g + b, low + a, len(iw), n))
+                covered = _with(covered, low + g + a, low + g + b)
+                if any_leak:
+                    leaking = d
+                    break
     return out
 
 
+def _tiled(diagonals: list[int], n: int):
+    """All diagonals in order, but first those whose parts of the document (``n`` words) do not overlap: where every
+    diagonal leaks, these cover what the others would find."""
+    if len(diagonals) < 3:
+        return diagonals
+    tiles, rest, end = [], [], None
+    for g in diagonals:
+        if end is None or g >= end:
+            tiles.append(g)
+            end = max(g, 0) + n if g >= 0 else g + n
+        else:
+            rest.append(g)
+    return tiles + rest
+
+
+def _with(spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """Disjoint spans with one more; touching ones are joined."""
+    out = []
+    for p, q in spans:
+        if q < a or p > b:
+            out.append((p, q))
+        else:
+            a, b = min(a, p), max(b, q)
+    return [*out, (a, b)]
+
+
 def _stretch(same: np.ndarray, need: int, similarity: float):
-    """Longest stretch of at least ``need`` words with a share ``similarity`` of agreement, ends agreeing."""
-    if len(same) < need or not same.any():
+    """Longest stretch of at least ``need`` words with a share ``similarity`` of agreement, ends agreeing; the last of equal ones."""
+    starts = np.flatnonzero(same)
+    if len(same) < need or not len(starts):
         return None
     # stretch [a, b) qualifies when its excess sum(same) - similarity * length is not negative
     excess = np.concatenate([[0.0], np.cumsum(same - similarity)]) + 1e-9 * np.arange(len(same) + 1)
-    lowest = np.minimum.accumulate(excess)
-    best = None
-    starts, ends = np.flatnonzero(same), np.flatnonzero(same) + 1
-    for b in ends[::-1]:
-        if best is not None and b <= best[1] - best[0]:
-            break
-        a = int(np.searchsorted(-lowest[:b], -excess[b] - 1e-12, "left"))
-        k = np.searchsorted(starts, a)
-        while k < len(starts) and starts[k] < b:
-            a = int(starts[k])
-            if excess[a] <= excess[b] + 1e-12:
-                if b - a >= need and (best is None or b - a > best[1] - best[0]):
-                    best = (a, int(b), int(same[a:b].sum()))
-                break
-            k += 1
-    return best
+    lowest = np.minimum.accumulate(excess[starts])
+    ends = starts + 1
+    k = np.searchsorted(-lowest, -excess[ends] - 1e-12)  # the first start that is low enough for each end
+    size = np.where(k < len(starts), ends - starts[np.minimum(k, len(starts) - 1)], 0)
+    best = len(size) - 1 - int(np.argmax(size[::-1]))
+    if size[best] < need:
+        return None
+    a, b = int(starts[k[best]]), int(ends[best])
+    return a, b, int(same[a:b].sum())
 
 
 def _blocks(items: DataFrame, item_id: str, text: str):
@@ -230,7 +295,7 @@ def mark_leaking(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
                 leaks = np.array(column(batch, "_leaks").to_numpy(zero_copy_only=False), bool)
                 for row, _, data, offsets in text_slices(batch, text):
                     words, first = word_hashes(data, offsets)
-                    for d, *_ in _leaks(block, words, first, min_words, similarity):
+                    for d, *_ in _leaks(block, words, first, min_words, similarity, any_leak=True):
                         leaks[row + d] = True
                 at = batch.schema.get_field_index("_leaks")
                 yield batch.set_column(at, "_leaks", pa.array(leaks))

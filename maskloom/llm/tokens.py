@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import column, save, scratch
+from maskloom.llm.common import column, partitions, save, scratch
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -60,7 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # their strings in a text are their ids; such texts are encoded whole (matched without case, to be safe)
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.boundary = BOUNDARY.get(name)
         self.known: dict[str, bytes | None] = {}
         self.plain: dict[str, bytes | None] = {}
@@ -134,6 +135,13 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self.boundary is None:
             return self._encode(texts)
+        whole = [k for k, t in enumerate(texts) if "<|" in t and any(x in t.lower() for x in self.special)]
+        if whole:
+            some = set(whole)
+            rest = self.encode([t for k, t in enumerate(texts) if k not in some])
+            alone = dict(zip(whole, self._encode([texts[k] for k in whole])))
+            left = iter(rest)
+            return [alone[k] if k in some else next(left) for k in range(len(texts))]
         if len(self.known) + len(self.plain) > CACHE_WORDS:
             self.known, self.plain, self.tails = {}, {}, {"": b""}
         known, leading = self.known, self.boundary == "leading"
@@ -209,6 +217,8 @@ class _ShardWriter:
         self.n_held = self.n_tokens = self.n_sequences = 0
 
     def add(self, ids: np.ndarray) -> None:
+        if self.type is np.uint16 and len(ids) and int(ids.max()) > 0xFFFF:
+            raise ValueError(f"token id {int(ids.max())} needs wide=True")
         self.held.append(ids.astype(self.type))
         self.n_held += len(ids)
         self.n_tokens += len(ids)
@@ -315,7 +325,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     """
     before = F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")
     shards = manifest.withColumn("base", before)
-    shards = shards.repartition("shard")
+    # a given number of tasks: the manifest is small, what its rows name is not
+    shards = shards.repartition(max(8, partitions(manifest.sparkSession)), "shard")
 
     def read(batches):
         for batch in batches:

@@ -62,18 +62,23 @@ def listed(docs):
 
 
 def encode(name, texts, end):
-    e = tokens.Encoder(name)
-    return [np.frombuffer(x, "<u4").tolist() + [end] for x in e._encode([t or "" for t in texts])]
+    """The tokenizer as it is loaded, nothing set."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    return [e.ids + [end] for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_cached_encoder_equals_tokenizer():
     rng = random.Random(1)
     parts = [" ", "  ", "\n", " \n", "\n ", "\t", "a", "B", "é", "́", "ß", "!", "'s", "'", "1", "\x01", "\x1c", "　", "中",
-             "\r\n", "foo", "Bar,", ".", " the", " of", "😀", "İ", "Σ", "\x00", ".\nThe"]
+             "\r\n", "foo", "Bar,", ".", " the", " of", "😀", "İ", "Σ", "\x00", ".\nThe", "<|endoftext|>", "<|startoftext|>",
+             "<|ENDOFTEXT|>", "<|"]
     for name in (tokens.WORD_BPE, tokens.BYTE_BPE):
         e = tokens.Encoder(name)
         texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
         assert e.encode(texts) == e._encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() + [7] for x in e.encode(texts)] == encode(name, texts, 7)
 
 
 def test_token_files(spark, docs, empty, tmp_path):
@@ -281,6 +286,66 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_leaks(both, bench.limit(0), ["doc_id"]).count() == 0
 
 
+def hashed(texts):
+    raw = [" ".join(t).encode() for t in texts]
+    return decontaminate.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def brute_stretch(same, need, similarity):
+    best = None
+    for a in range(len(same)):
+        for b in range(a + need, len(same) + 1):
+            n = sum(same[a:b])
+            if same[a] and same[b - 1] and n >= similarity * (b - a) - 1e-9 and (best is None or b - a >= best[1] - best[0]):
+                best = (a, b, n)
+    return best
+
+
+def test_longest_stretch_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        same = [rng.random() < rng.choice([0.5, 0.8, 0.95]) for _ in range(rng.randint(1, 40))]
+        need, similarity = rng.randint(1, 14), rng.choice([0.7, 0.8, 0.9, 1.0])
+        got, want = decontaminate._stretch(np.array(same), need, similarity), brute_stretch(same, need, similarity)
+        assert (got is None) == (want is None)
+        if want:
+            assert got[1] - got[0] == want[1] - want[0] and got[2] == sum(same[got[0]:got[1]])
+
+
+def test_decontamination_of_repeated_words():
+    """Words in leaks are those of every diagonal, though not every hit and diagonal is listed."""
+    rng = random.Random(14)
+    items = [[rng.choice("ab") for _ in range(60)], ["x"] * 40, ["p", "q", "r"] * 12, [f"w{i}" for i in range(30)], ["x"] * 5]
+    docs = [["x"] * 90, ["r", "p", "q"] * 25 + ["z"] + ["p", "q", "r"] * 9, items[0][10:50] + ["c"] + items[0], ["a", "b"] * 40,
+            items[3][:20] + ["y"] + items[3][21:] + items[3], ["x"] * 12, []]
+    words, first = hashed(items)
+    block = decontaminate._Block(list(range(len(items))), words, first, 13, 0.8)
+    dw, df = hashed(docs)
+    got = collections.defaultdict(set)
+    for d, i, a, b, *_ in decontaminate._leaks(block, dw, df, 13, 0.8):
+        got[d, i].update(range(a, b))
+    want = collections.defaultdict(set)
+    for d, i in itertools.product(range(len(docs)), range(len(items))):
+        for g in range(-len(items[i]) + 1, len(docs[d])):
+            low, high = max(0, -g), min(len(items[i]), len(docs[d]) - g)
+            best = brute_stretch([x == y for x, y in zip(docs[d][low + g:high + g], items[i][low:high])], min(13, len(items[i])), 0.8)
+            if best:
+                want[d, i].update(range(low + g + best[0], low + g + best[1]))
+    assert dict(got) == dict(want) and len(want) > 5
+    assert {d for d, *_ in decontaminate._leaks(block, dw, df, 13, 0.8, any_leak=True)} == {d for d, _ in want}
+
+
+def test_decontamination_is_not_quadratic_in_repeats():
+    import time
+    words, first = hashed([["same"] * 2_000])
+    block = decontaminate._Block([1], words, first, 13, 0.8)
+    dw, df = hashed([["same"] * 20_000])
+    start = time.time()
+    found = decontaminate._leaks(block, dw, df, 13, 0.8)
+    assert time.time() - start < 1
+    assert set().union(*(range(a, b) for _, _, a, b, *_ in found)) == set(range(20_000)) and len(found) < 30
+
+
 def test_decontamination_masks_are_complete():
     def free(mask, n, k):
         """Patterns of k changes in n words, as bits, that leave the mask somewhere."""
