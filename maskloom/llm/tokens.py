@@ -97,8 +97,14 @@ class Encoder:
         composition may not commute).
         """
         fold = self.boundary == "dropped"
+        letters = [w for w in words if w.isalpha()]  # most words: they are their own stems
+        if fold:
+            folded = [w.lower() if w.isascii() else w for w in letters]
+            fresh = set(folded)
+        else:
+            fresh = set(letters)
         split, odd = [], []
-        for w in words:
+        for w in words.difference(letters):
             if _MARK in w or not w or w.strip() != w:
                 odd.append(w)
                 continue
@@ -106,12 +112,15 @@ class Encoder:
             if not stem or not stem[-1].lower().isalpha():
                 stem = w
             split.append((w, stem.lower() if fold and stem.isascii() else stem, w[len(stem):]))
-        fresh = list({stem for _, stem, _ in split if stem not in known})
+        fresh.update(stem for _, stem, _ in split)
+        fresh = list(fresh.difference(known))
         known.update(zip(fresh, self._marked(fresh, before, mark)))
         tails = list({t for _, _, t in split if t not in self.tails})
         self.tails.update(zip(tails, self._encode(tails)))
         for w, stem, tail in split:
             known[w] = known[stem] + self.tails[tail]
+        if fold:
+            known.update(zip(letters, map(known.__getitem__, folded)))
         known.update(dict.fromkeys(odd) if not fold else zip(odd, self._encode(odd)))
 
     def _resolve(self, new: set[str]) -> None:
