@@ -138,6 +138,18 @@ def head_tail(df: DataFrame, k: int, order: str = "idx") -> DataFrame:
     return head.unionByName(tail).dropDuplicates([order])
 
 
+def load_split(df: DataFrame, split: str, pct: float = 1.0, debug: int = 0, remove_punct: bool = True, max_tokens: int = 0,
+               text: str = "text", order: str = "idx", right: bool = True) -> DataFrame:
+    """The loading of one split, its parts in the reference's order: blank filter (B1), leading share (B2; never of a test
+    split), first and last ``debug`` rows (B3), prefix and punctuation (C1, C2, C4), spaces (C3), truncation (C7)."""
+    from maskloom.functions.text import normalize_text, truncate_tokens
+    raw = F.col(text)
+    rows = data_percent(df.filter(raw.isNotNull() & (raw != " ")), pct, split, order)
+    if debug:
+        rows = head_tail(rows, debug, order)
+    return truncate_tokens(normalize_text(rows, text, remove_punct=remove_punct), max_tokens, text, right)
+
+
 MASKER_COLS = ["group_id", "text", "labels", "tokenNum", "masked_word", "idx"]
 CLASSIFIER_COLS = ["group_id", "clsInFeat", "labels", "tokenNum", "masked_word", "idx"]
 

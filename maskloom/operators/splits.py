@@ -60,7 +60,8 @@ def group_kfold(df: DataFrame, n_splits: int, group: str = "group_id", order: st
     The last block takes the remainder; block size is clamped to >= 1 (Q19).
     Emits one row per (row, fold) with ``split`` test/train.
     """
-    first = df.groupBy(group).agg(F.min(order).alias("_first"))
+    from maskloom.session import written
+    first = written(df.groupBy(group).agg(F.min(order).alias("_first")), "groups")  # read to count and to rank
     n_groups = first.count()
     size = max(1, int(round(n_groups / n_splits)))  # Python round is half-even
     ranked = dense_positions(first, "_first", out="_gp")

@@ -130,8 +130,7 @@ pvv AS (SELECT *, (CASE WHEN len({S.toks(S.strip_punct('text'))}) > 2 THEN list_
 
 
 def _pred_valid(spark, sf):
-    e = norm_turns(spark, sf).join(FX.ext_masks(spark, sf), "idx")
-    return M.apply_pred_masks(e.drop("pred_mask"), FX.ext_masks(spark, sf))
+    return M.apply_pred_masks(norm_turns(spark, sf), FX.ext_masks(spark, sf))
 
 
 @register("valid_mask", f"""{_EXTV}

@@ -8,6 +8,7 @@ from maskloom.functions import text as TX
 from maskloom.functions.hashing import hkey, hunit
 from maskloom.operators import filters as FL
 from maskloom.plans import sqltext as S
+from maskloom.plans.catalog_splits import BLANK
 from maskloom.plans.registry import register
 from maskloom.sources import fixtures as FX
 from maskloom.sources import io as IO
@@ -51,6 +52,25 @@ def q_data_percent(spark, sf):
     return FL.data_percent(FX.turns(spark, sf), 0.3, "train").select("idx")
 
 
+def _load_sql(name, cut, punct):
+    """One split, loaded: ``cut`` chooses rows by place (p of n) among those that are not blank."""
+    return (f"{name}_b AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS p, count(*) OVER () AS n FROM bt WHERE text IS NOT NULL AND text <> ' '), "
+            f"{name}_c AS (SELECT * FROM {name}_b WHERE {cut}), {S.normalized_cte(f'{name}_n', f'{name}_c', remove_punct=punct)}")
+
+
+@register("load_split", f"""WITH {T}, {BLANK}, {_load_sql('tr', 'p < CAST(floor(n * CAST(0.4 AS DOUBLE)) AS BIGINT)', True)},
+{_load_sql('te', 'p < 5 OR p >= n - 5', False)}
+SELECT 'train' AS split, idx, CASE WHEN len({S.toks('text')}) > 24 THEN array_to_string({S.toks('text')}[-24:], ' ') ELSE text END AS text,
+  CAST({S.token_count(f"CASE WHEN len({S.toks('text')}) > 24 THEN array_to_string({S.toks('text')}[-24:], ' ') ELSE text END")} AS BIGINT) AS token_num FROM tr_n
+UNION ALL SELECT 'test', idx, text, token_num FROM te_n""")
+def q_load_split(spark, sf):
+    t = FX.blank_turns(spark, sf)
+    cols = ["split", "idx", "text", "token_num"]
+    train = FL.load_split(t, "train", pct=0.4, max_tokens=24).withColumn("split", F.lit("train")).select(cols)
+    test = FL.load_split(t, "test", pct=0.4, debug=5, remove_punct=False).withColumn("split", F.lit("test")).select(cols)
+    return train.unionByName(test)
+
+
 @register("head_tail", f"""
 WITH {T}, h AS (SELECT idx FROM turns ORDER BY idx LIMIT 50), t AS (SELECT idx FROM turns ORDER BY idx DESC LIMIT 50)
 SELECT DISTINCT idx FROM (SELECT * FROM h UNION ALL SELECT * FROM t)""")
