@@ -570,6 +570,17 @@ def test_similar_spans_follow_the_diagonal(spark):
         assert set(range(start, start + 50)) <= got[k]
 
 
+def test_least_around():
+    rng = np.random.default_rng(3)
+    first = np.cumsum([0, 1, 0, 30, 5, 200])
+    values = rng.integers(0, 1 << 60, first[-1]).astype(np.uint64)
+    for half in (0, 1, 2, 3, 8, 23):
+        got = compact_windows.least_around(values, first, half)
+        for a, b in zip(first, first[1:]):
+            for i in range(a, b):
+                assert got[i] == values[max(a, i - half):min(b, i + half + 1)].min()
+
+
 def test_cartesian_neighbours():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 12, 200).astype(np.uint64)
