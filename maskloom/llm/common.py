@@ -271,13 +271,14 @@ def bounded_groups(batches, key: str, limit: int):
         yield False, held
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str | list[str], count: str) -> DataFrame:
     """Inner join of ``rows`` to ``keyed`` (one row a key, with the number of rows it meets in ``count``) without a hot task.
 
     Keys that hold over a thousandth of the rows are at most a thousand, so they
     are broadcast; the rest is joined by shuffling.
     """
+    names = [key] if isinstance(key, str) else key
     total = keyed.agg(F.sum(count)).first()[0] or 0
     hot = F.broadcast(keyed.where(F.col(count) * 1000 > total))
-    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(count) * 1000 <= total), key)
+    cold = rows.join(hot.select(*names), key, "left_anti").join(keyed.where(F.col(count) * 1000 <= total), key)
     return rows.join(hot, key).unionByName(cold)

@@ -10,7 +10,10 @@ at once. Suffixes that agree to full depth are repeats.
 
 Equal surroundings of an anchor are sorted once (a passage in a third of all
 documents is one row of that table). Groups of very many different surroundings
-are split by the bytes that all strings of eight neighbouring offsets share.
+are split by the bytes that all strings of eight neighbouring offsets share. A
+subgroup that is still too large (a passage barely over ``length`` bytes in very many
+different surroundings) is not sorted in a task: its strings are compared by
+64-bit hash in Spark, as whole surroundings are, and those of two surroundings are repeats.
 
 Nulls and edges: a null text is empty; texts under ``length`` bytes keep all their
 bytes. Rows of equal text (repeated rows, whatever their ids) make all of their
@@ -26,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import (U64, binary_rows, column, drop_saved, mix, partitions, prefix_hash, range_hash, release, save,
-                                 sorted_groups, text_slices)
+from maskloom.llm.common import (U64, binary_rows, bounded_groups, column, drop_saved, join_counted, mix, partitions, prefix_hash,
+                                 range_hash, release, save, text_slices)
 from maskloom.llm.jaccard_join import text_node
 
 GRAM = 104
@@ -236,13 +239,14 @@ def repeated_suffixes(chars: np.ndarray, row: np.ndarray, start: np.ndarray, gro
     return out
 
 
-def _sort(length: int):
+_REPEATS = ("key", "around", "high", "least", "string")
+
+
+def _sort(length: int, limit: int):
+    """Repeats of each surrounding, as the highest and least offset; of groups over ``limit`` rows each string, with its hash."""
     room = length - GRAM
 
-    def flush(held):
-        table = pa.concat_tables(held).combine_chunks()
-        m = table.num_rows
-        body = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(m, room + length)
+    def extents(table):
         before = table.column("before").to_numpy().astype(np.int64)
         after = table.column("after").to_numpy().astype(np.int64)
         low = table.column("low").to_numpy().astype(np.int64)
@@ -250,8 +254,23 @@ def _sort(length: int):
         first = np.maximum(np.maximum(0, length - after), low)
         last = np.where(low >= 0, np.minimum(before, low + 7), before)
         count = np.maximum(0, last - first + 1)
-        row = np.repeat(np.arange(m), count)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+        row = np.repeat(np.arange(len(count)), count)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+
+    def strings(table):
+        row, offset = extents(table)
+        prefix = prefix_hash(np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8))
+        start = row * (room + length) + room - offset
+        name = mix(range_hash(prefix, start, start + length) ^ offset.astype(U64))
+        pick, at = pa.array(row), pa.array(offset.astype(np.int32))
+        key, around = (table.column(c).combine_chunks().take(pick) for c in ("key", "around"))
+        return pa.RecordBatch.from_arrays([key, around, at, at, pa.array(name.view(np.int64))], names=list(_REPEATS))
+
+    def flush(held):
+        table = pa.concat_tables(held).combine_chunks()
+        m = table.num_rows
+        body = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(m, room + length)
+        row, offset = extents(table)
         name = np.unique(table.column("group").to_numpy(), return_inverse=True)[1]
         found = repeated_suffixes(_characters(body), row, room - offset, name[row] * (room + 1) + offset, length // 8)
         row, offset = row[found], offset[found]
@@ -262,20 +281,26 @@ def _sort(length: int):
         return pa.RecordBatch.from_arrays(
             [table.column(c).combine_chunks().take(pick) for c in ("key", "around")]
             + [pa.array(np.maximum.reduceat(offset, starts).astype(np.int32)),
-               pa.array(np.minimum.reduceat(offset, starts).astype(np.int32))], names=["key", "around", "high", "least"])
+               pa.array(np.minimum.reduceat(offset, starts).astype(np.int32)), pa.nulls(len(starts), pa.int64())], names=list(_REPEATS))
 
     def run(batches):
         held, size = [], 0
-        for group in sorted_groups(batches, ["group"]):
-            if group.num_rows < 2:
+        for over, table in bounded_groups(batches, "group", limit):
+            if over:
+                yield strings(table)
                 continue
-            # rows of equal text give equal surroundings once each
-            keep = np.unique(group.column("around").to_numpy(), return_index=True)[1]
-            if len(keep) < 2:
+            # rows of equal text give equal surroundings once each; one surrounding alone has nothing to agree with
+            name, around = table.column("group").to_numpy(), table.column("around").to_numpy()
+            order = np.lexsort((around, name))
+            new = np.append(True, (name[order][1:] != name[order][:-1]) | (around[order][1:] != around[order][:-1]))[:len(order)]
+            kept = order[new]
+            many = np.unique(name[kept], return_inverse=True, return_counts=True)
+            kept = np.sort(kept[many[2][many[1]] > 1])
+            if not len(kept):
                 continue
-            held.append(group.take(pa.array(np.sort(keep))))
-            size += len(keep)
-            if size >= GROUP:
+            held.append(table.take(pa.array(kept)))
+            size += len(kept)
+            if size >= limit:
                 out = flush(held)
                 held, size = [], 0
                 if out is not None:
@@ -301,7 +326,7 @@ def text_ids(docs: DataFrame, text: str) -> Column:
         salt += 1
 
 
-def repeated_spans(docs: DataFrame, name: Column, *, text: str = "text", length: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, name: Column, *, text: str = "text", length: int = 200, group: int | None = None) -> DataFrame:
     """``(id, spans)``: for each text with repeats, the byte intervals around anchors that repeats cover.
 
     ``name`` is the id of a row's text; rows of equal text have equal spans.
@@ -310,6 +335,7 @@ def repeated_spans(docs: DataFrame, name: Column, *, text: str = "text", length:
         raise ValueError(f"length must be a multiple of 8 from {GRAM + 8} to {PACK - 1}")
     spark = docs.sparkSession
     source = docs.select(F.col(text).alias("_text"), name.alias("_id"))
+    group = GROUP if group is None else group
     anchors = save(source.mapInArrow(_find(length), "key long, around long, id long, place long"), "anchors")
     # one exchange by gram serves the counts of surroundings and the number of them a gram has
     around = anchors.mapInArrow(_combine(), "key long, around long, n long, id long, place long").repartition("key")
@@ -319,33 +345,39 @@ def repeated_spans(docs: DataFrame, name: Column, *, text: str = "text", length:
     release(spark)
     # grams with several different surroundings are sorted
     wanted = around.where("m > 1").groupBy("id").agg(F.collect_list(F.struct(
-        "key", "around", "place", (F.col("m") > GROUP).alias("split"))).alias("wanted"))
+        "key", "around", "place", (F.col("m") > group).alias("split"))).alias("wanted"))
     bodies = source.withColumnRenamed("_id", "id").join(wanted, "id").select("_text", "wanted").mapInArrow(
         _surroundings(length), "key long, around long, split boolean, before short, after short, bytes binary")
     bodies = bodies.mapInArrow(_split_large(length), "group long, low short, key long, around long, before short, "
                                                      "after short, bytes binary")
     sorted_ = save(bodies.repartition(partitions(spark), "group").sortWithinPartitions("group").mapInArrow(
-        _sort(length), "key long, around long, high int, least int"), "repeats")
+        _sort(length, group), "key long, around long, high int, least int, string long"), "repeats")
     release(spark)
+    single = sorted_.where("string is not null")
+    shared = single.groupBy("string").agg(F.min("around").alias("a"), F.max("around").alias("b"), F.count(F.lit(1)).alias("n"))
+    many = join_counted(single, shared.where("a != b").select("string", "n"), "string", "n")
+    repeats = sorted_.where("string is null").drop("string").unionByName(many.select("key", "around", "high", "least"))
     # surroundings that stand in several places repeat as a whole
     before, after = F.expr(f"cast(place div {PACK} % {PACK} as int)"), F.expr(f"cast(place % {PACK} as int)")
     whole = around.where("n > 1").where(before + after >= length).select(
         "key", "around", before.alias("high"), F.greatest(F.lit(0), length - after).alias("least"))
-    covered = whole.unionByName(sorted_).groupBy("key", "around").agg(F.max("high").alias("high"), F.min("least").alias("least"))
+    covered = whole.unionByName(repeats).groupBy("key", "around").agg(F.max("high").alias("high"), F.min("least").alias("least"))
+    covered = save(covered.join(around.select("key", "around", "n"), ["key", "around"]), "covered")
     at = F.expr(f"place div {PACK * PACK}")
-    spans = anchors.join(covered, ["key", "around"]).select(
+    # surroundings that stand in very many places meet their extents by a broadcast
+    spans = join_counted(anchors, covered, ["key", "around"], "n").select(
         "id", F.struct((at - F.col("high")).alias("a"), (at - F.col("least") + length).alias("b")).alias("s"))
     spans = save(spans.groupBy("id").agg(F.collect_set("s").alias("spans")), "spans")
-    for done in (anchors, around, sorted_):
+    for done in (anchors, around, sorted_, covered):
         drop_saved(done)
     release(spark)
     return spans
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], *, text: str = "text", length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], *, text: str = "text", length: int = 200, group: int | None = None) -> DataFrame:
     """``keep`` columns, ``kept`` (remaining bytes), ``n_bytes``, ``n_removed`` and ``removed`` (maximal runs) for each row."""
     name = text_ids(docs, text)
-    spans = repeated_spans(docs, name, text=text, length=length).withColumnRenamed("id", "_sid")
+    spans = repeated_spans(docs, name, text=text, length=length, group=group).withColumnRenamed("id", "_sid")
     source = docs.select(*keep, F.col(text).alias("_text"), name.alias("_id"))
     source = source.join(spans, F.col("_id") == F.col("_sid"), "left").select(*keep, "_text", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)

@@ -389,7 +389,20 @@ def test_suffix_dedup_splits_large_groups(spark, docs, monkeypatch):
     check_suffixes(docs)
 
 
-def check_suffixes(docs):
+def test_suffix_dedup_of_a_line_in_many_surroundings(spark):
+    # a line of 250 bytes in 600 different surroundings, and shorter and longer pieces of it elsewhere
+    rng = random.Random(21)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = some(250)
+    rows = [(k, some(rng.randint(0, 150)) + line + some(rng.randint(0, 150))) for k in range(600)]
+    rows += [(1000 + k, some(60) + line[k:k + 199 + k % 4] + some(60)) for k in range(40)]
+    rows += [(2000 + k, rows[k % 3][1]) for k in range(50)]  # copies of a few
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for group in (1, 100, 1000):
+        check_suffixes(docs, group=group)
+
+
+def check_suffixes(docs, **options):
     rows = [(i, (t or "").encode()) for i, t in listed(docs)]
     seen = collections.Counter(b[k:k + 200] for _, b in rows for k in range(len(b) - 199))
     want = collections.Counter()
@@ -402,7 +415,7 @@ def check_suffixes(docs):
         runs = sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1]))
         want[i, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()] += 1
     got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest())
-                              for r in suffix_dedup.remove_repeats(docs, ["doc_id"]).collect())
+                              for r in suffix_dedup.remove_repeats(docs, ["doc_id"], **options).collect())
     assert got == want
 
 
