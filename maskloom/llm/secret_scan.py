@@ -1,12 +1,12 @@
 """Operator 7: secret scans with character Markov models, on DataFrame functions alone.
 
-Fixed patterns give the base spans. Candidate strings (runs of key characters
-with a digit, or a mixture of cases) are scored by two first-order character Markov models,
+Fixed patterns give the base spans. Candidate strings, all runs of 12 or more key
+characters, are scored by two first-order character Markov models,
 one of random strings and one of ordinary identifiers; a log-likelihood ratio
 per character over the threshold adds a span of kind ``markov``.
 
 Labelled samples: the values inside base spans are the random strings; words
-of letters, and identifiers put together from them, are the ordinary ones.
+of letters, and names put together from words with marks between them, are the ordinary ones.
 Both models are transition counts over all documents (96 x 96 states at most),
 summed in Spark; only those counts reach the driver.
 
@@ -31,18 +31,17 @@ ASSIGN = (r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Strings that the models judge: 16 or more key characters.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-#: What a candidate holds besides letters of one case.
-MIXED = r"[0-9]|[a-z][A-Z].*[a-z][A-Z]"
-#: Ordinary words for the second model: whole runs of 8 or more ASCII letters.
-ORDINARY = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]{8,}(?![A-Za-z0-9+/_=-])"
+#: Strings that the models judge: 12 or more key characters, the least length of an assigned value.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
+#: Ordinary samples for the second model: whole runs of 8 or more ASCII letters, and words with marks between them.
+ORDINARY = r"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z]{8,}|[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)+)(?![A-Za-z0-9+/_=-])"
 SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 
 
-def spans_of(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (kind, start, end, value) of the leftmost non-overlapping matches, from match and gap lengths."""
+def spans_of(text: Column, pattern: str, kind: str, wanted: Column | None = None) -> Column:
+    """Array of (kind, start, end, value) of the leftmost non-overlapping matches, from match and gap lengths; with
+    ``wanted`` only of the matches in that array."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
@@ -51,11 +50,14 @@ def spans_of(text: Column, pattern: str, kind: str) -> Column:
     def step(acc, x):
         start = acc["at"] + x["g"]
         end = start + F.length(x["h"])
-        return F.when(x["h"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["h"].alias("value")))).alias("spans")))
+        more = F.concat(acc["spans"], F.array(F.struct(
+            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["h"].alias("value"))))
+        spans = more if wanted is None else F.when(F.array_contains(wanted, x["h"]), more).otherwise(acc["spans"])
+        return F.when(x["h"].isNull(), acc).otherwise(F.struct(end.alias("at"), spans.alias("spans")))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda a: a["spans"])).otherwise(empty)
+    some = text.rlike(pattern) if wanted is None else F.size(wanted) > 0
+    return F.when(some, F.aggregate(steps, start, step, lambda a: a["spans"])).otherwise(empty)
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -115,18 +117,21 @@ def scan(docs: DataFrame, keep: list[str], *, text: str = "text", threshold: flo
     empty = F.array().cast(SPANS)
     if model is None:
         return out.withColumn("markov", empty).drop("_body")
-    candidates = F.filter(spans_of(F.col("_body"), CANDIDATE, "markov"), lambda s: s["value"].rlike(MIXED))
-    out = pin_columns(out.withColumn("_candidates", candidates).drop("_body"), **{
-        c: F.col(c) for c in ("assign", "access", "hex", "_candidates")}, _ratios=_ratios(model))
-    pairs = F.transform("_candidates", lambda s: F.struct(s.alias("s"), F.transform(F.sequence(
-        F.lit(1), F.length(s["value"]) - 1), lambda i: F.substring(s["value"], i, F.lit(2))).alias("p")))
-    judged = F.filter(pairs, lambda x: F.aggregate(x["p"], F.lit(0.0), lambda a, p: a + _pair_ratio(
-        F.col("_ratios"), p)) > F.lit(threshold) * F.size(x["p"]))
+    # every different candidate of a text is judged once; only those found guilty are located
+    out = pin_columns(out, **{c: F.col(c) for c in ("assign", "access", "hex")}, _ratios=_ratios(model), _strings=F.array_distinct(
+        F.regexp_extract_all(F.col("_body"), F.lit(CANDIDATE), F.lit(0))))
+
+    def guilty(value):
+        pairs = F.sequence(F.lit(1), F.length(value) - 1)
+        total = F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + _pair_ratio(F.col("_ratios"), F.substring(value, i, F.lit(2))))
+        return total > F.lit(threshold) * (F.length(value) - 1)
+
+    out = pin_columns(out, _guilty=F.filter("_strings", guilty))
     # a span that lies in a base span adds nothing
     base = F.concat("assign", "access", "hex")
-    new = F.filter(F.transform(judged, lambda x: x["s"]), lambda s: ~F.exists(
+    new = F.filter(spans_of(F.col("_body"), CANDIDATE, "markov", F.col("_guilty")), lambda s: ~F.exists(
         base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return out.withColumn("markov", F.when(F.size("_candidates") > 0, new).otherwise(empty)).drop("_candidates", "_ratios")
+    return out.withColumn("markov", new).drop("_body", "_strings", "_guilty", "_ratios")
 
 
 def joined(*arrays: str) -> Column:

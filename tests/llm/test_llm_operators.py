@@ -197,8 +197,52 @@ def test_markov_adds_random_strings(spark):
     word = lambda: "".join(rng.choice(("ban", "ter", "ing", "some", "ord", "ary", "ent", "ifi", "wor", "ds")) for _ in range(4))
     rows = [(i, f"password={key(24)} {word()} {word()} {word()}") for i in range(300)]
     rows += [(1000, f"see {key(32)}7 there"), (1001, "see terSomeOrdaryEntingWords2 there")]
+    # short mixed strings, names of words with marks, and runs of one mark: the models decide
+    open_ = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxyz") + rng.choice("aeiou") for _ in range(7))
+    rows += [(i + 300, f"{word()}-{word()} {word()}_{open_()} {open_()}/{word()} {' '.join(open_() for _ in range(20))}") for i in range(100)]
+    rows += [(3000 + i, f"see {key(12)}4 there") for i in range(20)]
+    rows += [(4000 + i, f"{word()}{word()}-{word()} and {word()}_{word()}/{word()} {word().capitalize()} {'-' * 30} {'=' * 14}") for i in range(20)]
     out = {r["doc_id"]: r["markov"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
     assert len(out[1000]) == 1 and not out[1001]
+    assert sum(len(out[3000 + i]) for i in range(20)) >= 17
+    assert not [s["value"] for i in [*range(400), *range(4000, 4020)] for s in out[i]]
+    text = dict(rows)
+    assert all(text[i][m["start"]:m["end"]] == m["value"] for i, spans in out.items() for m in spans)
+
+
+def test_markov_finds_random_letters_of_one_case(spark):
+    rng = random.Random(5)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    low = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    rows = [(10 ** 6 + i, f"é see {low('abcdefghijklmnopqrstuvwxyz', 20)} there {low('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 20)} end") for i in range(40)]
+    out = secret_scan.scan(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), ["doc_id"]).select(
+        "doc_id", F.size("markov").alias("n")).collect()
+    assert sum(r["n"] for r in out if r["doc_id"] >= 10 ** 6) >= 68
+    assert sum(r["n"] for r in out if r["doc_id"] < 10 ** 6) <= 2
+
+
+def brute_ratio(model, value):
+    return sum(model[value[i:i + 2]] for i in range(len(value) - 1)) / (len(value) - 1)
+
+
+def test_markov_spans_equal_brute_force(spark):
+    rng = random.Random(7)
+    pick = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    rows = [(i, " ".join(pick(rng.randint(1, 20), rng.choice(["abcde", "abcdefghijklmnopqrstuvwxyz0123456789", "-/ab", "XYZab1"]))
+                         for _ in range(30)) + f" secret={pick(14, 'abcXYZ019')}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.train(docs)
+    out = secret_scan.scan(docs, ["doc_id", "text"]).collect()
+    total = 0
+    for r in out:
+        base = [(s["start"], s["end"]) for k in ("assign", "access", "hex") for s in r[k]]
+        want = []
+        for m in re.finditer(secret_scan.CANDIDATE, r["text"]):
+            if brute_ratio(model, m[0]) > 0.5 and not any(a <= m.start() and m.end() <= b for a, b in base):
+                want.append((m.start(), m.end()))
+        assert [(s["start"], s["end"]) for s in r["markov"]] == want
+        total += len(want)
+    assert total > 20
 
 
 def test_qda(spark, docs, labels, empty):
