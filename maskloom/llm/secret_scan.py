@@ -6,7 +6,7 @@ one of random strings and one of ordinary identifiers; a log-likelihood ratio
 per character over the threshold adds a span of kind ``markov``.
 
 Labelled samples: the values inside base spans are the random strings; words
-of letters, and names put together from words with marks between them, are the ordinary ones.
+of letters, names put together from words with marks between them, and lines of marks are the ordinary ones.
 Both models are transition counts over all documents (96 x 96 states at most),
 summed in Spark; only those counts reach the driver.
 
@@ -33,8 +33,8 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Strings that the models judge: 12 or more key characters, the least length of an assigned value.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
-#: Ordinary samples for the second model: whole runs of 8 or more ASCII letters, and words with marks between them.
-ORDINARY = r"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z]{8,}|[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)+)(?![A-Za-z0-9+/_=-])"
+#: Ordinary samples for the second model: whole runs of 8 or more ASCII letters or marks, and words with marks between them.
+ORDINARY = r"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z]{8,}|[+/_=-]{8,}|[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)+)(?![A-Za-z0-9+/_=-])"
 SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 
