@@ -216,7 +216,8 @@ def py_strip(col) -> Column:
 
 
 def render_prompt(context, message, label=None, labels: list[str] | None = None) -> Column:
-    """Chat prompt; with a label column the answer ``k. name`` is appended."""
+    """Chat prompt; with a label column the answer ``k. name`` is appended (null for a null label, an error for one
+    that is not in the list)."""
     labels = labels or DIALOGUE_LABELS
     body = F.concat(F.lit(PROMPT_HEAD + SYSTEM_PROMPT + PROMPT_USER), py_strip(context),
                     F.lit(PROMPT_MSG), py_strip(message), F.lit(PROMPT_TAIL))
@@ -224,7 +225,8 @@ def render_prompt(context, message, label=None, labels: list[str] | None = None)
         return body
     lab = _c(label)
     pos = F.array_position(F.array(*[F.lit(x) for x in labels]), lab)
-    return F.concat(body, pos.cast("string"), F.lit(". "), lab)
+    known = F.when(pos > 0, pos.cast("string")).when(lab.isNotNull(), F.raise_error(F.concat(F.lit("no such label: "), lab)))
+    return F.concat(body, known, F.lit(". "), lab)
 
 
 def parse_label(col, tag: str = LABEL_TAG, labels: list[str] | None = None) -> Column:

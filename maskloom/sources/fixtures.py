@@ -128,11 +128,11 @@ def colon_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     Turns are dense per dialogue, so the previous turns come from an equi-join on
     (group_id, turn - k): skew-proof, unlike a window over one huge dialogue.
     """
-    t = turns(spark, sf_dir).select("idx", "group_id", "turn", "text")
+    t = turns(spark, sf_dir).select("idx", "group_id", "turn", "label", "text")
     p1 = t.select("group_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("t1"))
     p2 = t.select("group_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("t2"))
     j = t.join(p1, ["group_id", "turn"], "left").join(p2, ["group_id", "turn"], "left")
-    return j.select("idx", F.concat_ws(":", "t2", "t1", "text").alias("text"))
+    return j.select("idx", "label", F.concat_ws(":", "t2", "t1", "text").alias("text"))
 
 
 def memory0(spark: SparkSession, sf_dir: str) -> DataFrame:

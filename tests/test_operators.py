@@ -381,3 +381,21 @@ def test_leaderboard_kinds_of_files(spark):
     assert set(got) == {("m", "val"), ("m", "test"), ("n", "val")}
     assert got["m", "val"]["max_acc"] == 0.5 and got["m", "test"]["max_acc"] == 0.8 and got["m", "test"]["best_f1_epoch"] == 3
     assert got["m", "val"]["base_acc"] == 0.9 and got["n", "val"]["best_acc_epoch"] == 4 and got["n", "val"]["best_f1_batch"] == 8
+
+
+def test_prompt_of_unknown_and_null_labels(spark):
+    df = spark.createDataFrame([("c", "m", "Sharing"), ("c", "m", None)], "context string, message string, label string")
+    got = [r[0] for r in df.select(TX.render_prompt("context", "message", "label")).collect()]
+    assert got[0].endswith("### Label: 4. Sharing") and got[1] is None
+    with pytest.raises(Exception, match="no such label"):
+        df.select(TX.render_prompt("context", "message", F.lit("Sharin"))).collect()
+
+
+def test_logistic_regression_option(spark):
+    from maskloom.operators import learners as L
+    rows = [(i, "ab"[i % 2], f"{'red' if i % 2 else 'blue'} word{i % 7} word{i % 5}") for i in range(60)]
+    df = spark.createDataFrame(rows, "idx long, label string, text string")
+    model = L.train_classifier_lr(df, num_features=1 << 10)
+    labels = model.stages[3].labels
+    out = model.transform(df).select("label", "prediction").collect()
+    assert all(labels[int(r["prediction"])] == r["label"] for r in out)
