@@ -37,6 +37,8 @@ GRAM = 104
 SHALLOW = 2
 #: Different surroundings of one gram that are sorted together; larger groups are split by content.
 GROUP = 8192
+#: Surroundings that a task takes up at once, besides the rest of a group.
+STEP = 2048
 #: Base of a packed position: position, bytes before, bytes after.
 PACK = 4096
 
@@ -285,7 +287,8 @@ def _sort(length: int, limit: int):
 
     def run(batches):
         held, size = [], 0
-        for over, table in bounded_groups(batches, "group", limit):
+        small = (b.slice(a, STEP) for b in batches for a in range(0, b.num_rows, STEP))
+        for over, table in bounded_groups(small, "group", limit):
             if over:
                 yield strings(table)
                 continue
@@ -300,7 +303,7 @@ def _sort(length: int, limit: int):
                 continue
             held.append(table.take(pa.array(kept)))
             size += len(kept)
-            if size >= limit:
+            if size >= STEP:
                 out = flush(held)
                 held, size = [], 0
                 if out is not None:
