@@ -17,7 +17,8 @@ documents; so a benchmark of any size needs no larger broadcast than one block.
 
 Nulls and edges: a null or empty text has no words; an item of fewer words than
 ``min_words`` is a leak as a whole only, and has masks over its whole length.
-Items without words, and rows with a null item id, match nothing. Repeated
+Items without words, and rows with a null item id, match nothing; item ids are
+longs (one that is no number fails the cast). Repeated
 documents and repeated items yield a row each. Words are lower-cased (A-Z).
 Very long documents are scanned whole. Empty tables give no rows.
 """

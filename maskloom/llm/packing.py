@@ -15,7 +15,8 @@ and length name the bin and the offset.
 
 Nulls and edges: a null text is empty and packs as its end token alone; a
 document of exactly ``capacity`` tokens is one full piece; equal lengths are
-told apart by block and place in it, repeated rows are packed each. An empty
+told apart by block and place in it, repeated rows are packed each. Ids are
+longs (null ids stay null; one that is no number fails the cast). An empty
 table gives no rows. Columns of the input other than the id and text are not read.
 """
 

@@ -12,8 +12,10 @@ Shards are ranges of document ids, written by one task each under a temporary
 name and then renamed: a retried or repeated task leaves the same bytes.
 
 Nulls and edges: a null or empty text is its end token alone. Null ids sort
-first. Equal ids stand together, ordered by text. Long texts are encoded whole.
-An empty table writes no shard. Columns other than id and text are not read.
+first; ids are longs, and one that is no number fails the cast. Equal ids stand
+together, ordered by text. Long texts are encoded whole; the strings of special
+tokens in a text are these tokens, as the tokenizer has it when loaded. Ids over
+65,535 need ``wide``. An empty table writes no shard. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
