@@ -65,6 +65,11 @@ class Encoder:
         # their strings in a text are their ids; such texts are encoded whole (matched without case, to be safe)
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.boundary = BOUNDARY.get(name)
+        # a word of letters is one piece to the tokenizer: its last token, or its first after a space, tells it
+        mark = {"dropped": lambda t: t.endswith("</w>"), "leading": lambda t: t.startswith("Ġ")}.get(self.boundary)
+        vocab = self.tokenizer.get_vocab() if mark else {}
+        self.edge = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+        self.edge[[i for t, i in vocab.items() if mark(t)]] = True
         self.known: dict[str, bytes | None] = {}
         self.plain: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -91,6 +96,22 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(starts, ends)]
         return out
 
+    def _lettered(self, words: list[str], before: str, mark: str) -> list[bytes]:
+        """Ids of words of ASCII letters, each after a space or a word's end, many to a text and nothing between them."""
+        out: list[bytes] = []
+        groups = [words[a:a + _MARKED_WORDS] for a in range(0, len(words), _MARKED_WORDS)]
+        texts = [before + " ".join(g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            at = np.array(e.ids, "<u4")
+            edges = 4 * np.flatnonzero(self.edge[at])
+            if len(edges) != len(group):
+                out += self._marked(group, before, mark)
+                continue
+            cuts = [*edges.tolist(), 4 * len(at)] if self.boundary == "leading" else [0, *(edges + 4).tolist()]
+            raw = at.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def _learn(self, words: set[str], known: dict[str, bytes | None], before: str, mark: str) -> None:
         """Add words to ``known``; None marks a word whose text must be encoded whole.
 
@@ -115,7 +136,12 @@ class Encoder:
                 stem = w
             split.append((w, stem.lower() if fold and stem.isascii() else stem, w[len(stem):]))
         fresh.update(stem for _, stem, _ in split)
-        fresh = list(fresh.difference(known))
+        fresh.difference_update(known)
+        if fold or before:
+            simple = [w for w in fresh if w.isascii() and w.isalpha()]
+            known.update(zip(simple, self._lettered(simple, before, mark)))
+            fresh.difference_update(simple)
+        fresh = list(fresh)
         known.update(zip(fresh, self._marked(fresh, before, mark)))
         tails = list({t for _, _, t in split if t not in self.tails})
         self.tails.update(zip(tails, self._encode(tails)))
