@@ -552,7 +552,7 @@ def test_spans_of_many_pairs_equal_brute_force():
     total = 0
     for width, similarity in ((4, 0.8), (9, 0.6), (20, 0.8)):
         got = collections.defaultdict(list)
-        for t, *row in zip(*compact_windows.spans_of(sides_of(*parts), mine, other, diagonal, width, similarity)):
+        for t, *row in zip(*compact_windows.spans_of(sides_of(*parts), mine, diagonal, width, similarity)):
             got[int(t)].append(tuple(map(int, row)))
         for t, (m, o, d) in enumerate(tasks):
             assert got[t] == brute_spans(parts[m].tolist(), parts[o].tolist(), width, similarity, d)
@@ -575,7 +575,7 @@ def test_spans_on_several_diagonals_cover_what_each_covers():
     for width, similarity in ((6, 0.8), (15, 0.7)):
         for x in (0, 1):
             got = collections.defaultdict(set)
-            for t, a, b, *_ in zip(*compact_windows.spans_of(sides, k + x, k + 1 - x, np.concatenate(ds) * (1 - 2 * x), width, similarity, n)):
+            for t, a, b, *_ in zip(*compact_windows.spans_of(sides, k + x, np.concatenate(ds) * (1 - 2 * x), width, similarity, n)):
                 got[int(t)].update(range(a, b))
             for t, d in enumerate(ds):
                 want = set()
@@ -605,10 +605,10 @@ def test_similar_spans_follow_the_diagonal(spark):
     b[:4], b[60:106] = passage[-4:], passage
     a = np.concatenate([rng.integers(1, 1 << 62, 10, dtype=np.uint64), passage])
     one = np.zeros(1, int)
-    found = compact_windows.spans_of(sides_of(a, b), one, one + 1, one + 10 - 60, 46, 0.8)
+    found = compact_windows.spans_of(sides_of(a, b), one, one + 10 - 60, 46, 0.8)
     assert [tuple(map(int, r))[2:] for r in zip(*found)] == [(56, 60, 106, 46)]
     here = np.arange(len(a))
-    at = sides_of(a, b).nearest(here, one[0] + np.ones(len(a), int), here + 50)
+    at = sides_of(a, b).nearest(here, here + 50)
     for i, j in enumerate(at):
         if j < 0:
             assert a[i] not in b
