@@ -38,7 +38,7 @@ from maskloom.llm.common import (LOWER, U64, column, drop_saved, held_out, mix,
 
 ORDERS = (1, 2, 3, 4)
 PREDICTORS = len(ORDERS) + 1  # the orders, then the word so far
-TABLE_BITS = 22
+TABLE_BITS = 21
 EVIDENCE = np.array([0.5, 1.5, 3.5, 15.5, 255.5], np.float32)
 GATES = 8 * (len(EVIDENCE) + 1)
 INPUTS = PREDICTORS + 1
