@@ -130,6 +130,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size][0], _powers[size][1]
 
 
+def rest() -> None:
+    """At the end of a task: give back what a reused worker would hold while the JVM works."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> U64(32))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.common import (U64, binary_rows, bounded_groups, column, drop_saved, join_counted, mix, partitions, prefix_hash,
-                                 range_hash, release, save, text_slices)
+                                 range_hash, release, rest, save, text_slices)
 from maskloom.llm.jaccard_join import text_node
 
 GRAM = 104
@@ -87,6 +87,7 @@ def _find(length: int):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(key.view(np.int64)), pa.array(around.view(np.int64)),
                         column(batch, "_id").take(pa.array(row + doc)), pa.array(place)], names=["key", "around", "id", "place"])
+        rest()
     return run
 
 
@@ -150,7 +151,7 @@ def _split_large(length: int):
     room = length - GRAM
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, STEP) for b in batches for a in range(0, b.num_rows, STEP)):
             raw = np.frombuffer(b"".join(column(batch, "bytes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             split = np.array(column(batch, "split").to_numpy(zero_copy_only=False), bool)
             key = column(batch, "key").to_numpy().view(U64)
@@ -172,6 +173,7 @@ def _split_large(length: int):
                 [pa.array(np.concatenate(groups).view(np.int64)), pa.array(np.concatenate(low))]
                 + [column(batch, c).take(pick) for c in ("key", "around", "before", "after", "bytes")],
                 names=["group", "low", "key", "around", "before", "after", "bytes"])
+        rest()
     return run
 
 
@@ -290,7 +292,7 @@ def _sort(length: int, limit: int):
         small = (b.slice(a, STEP) for b in batches for a in range(0, b.num_rows, STEP))
         for over, table in bounded_groups(small, "group", limit):
             if over:
-                yield strings(table)
+                yield from (strings(table.slice(a, STEP)) for a in range(0, table.num_rows, STEP))
                 continue
             # rows of equal text give equal surroundings once each; one surrounding alone has nothing to agree with
             name, around = table.column("group").to_numpy(), table.column("around").to_numpy()
@@ -312,6 +314,8 @@ def _sort(length: int, limit: int):
             out = flush(held)
             if out is not None:
                 yield out
+        held = None
+        rest()
 
     return run
 
