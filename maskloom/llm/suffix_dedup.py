@@ -353,10 +353,9 @@ def repeated_spans(docs: DataFrame, name: Column, *, text: str = "text", length:
     # grams with several different surroundings are sorted
     wanted = around.where("m > 1").groupBy("id").agg(F.collect_list(F.struct(
         "key", "around", "place", (F.col("m") > group).alias("split"))).alias("wanted"))
+    cut, split = _surroundings(length), _split_large(length)  # in one worker: two would hold twice the memory
     bodies = source.withColumnRenamed("_id", "id").join(wanted, "id").select("_text", "wanted").mapInArrow(
-        _surroundings(length), "key long, around long, split boolean, before short, after short, bytes binary")
-    bodies = bodies.mapInArrow(_split_large(length), "group long, low short, key long, around long, before short, "
-                                                     "after short, bytes binary")
+        lambda batches: split(cut(batches)), "group long, low short, key long, around long, before short, after short, bytes binary")
     sorted_ = save(bodies.repartition(partitions(spark), "group").sortWithinPartitions("group").mapInArrow(
         _sort(length, group), "key long, around long, high int, least int, string long"), "repeats")
     release(spark)
