@@ -166,7 +166,11 @@ def q_stream_score(spark, sf):
         return b.select(IO.natural_key("conv_id", "turn", FX.TURN_SPAN).alias("idx"),
                         F.col("conv_id").cast("long").alias("group_id"), F.col("role").alias("label"), "text")
 
-    q = stream_score(spark, sf, src_schema, sink, ckpt, lambda: SC.LengthRuleModel(60), prepare=prepare,
-                     glob="conversations.parquet")
+    # the table is a file or a folder of files; a pattern takes either as the source
+    q = stream_score(spark, f"{sf.rstrip('/')}/conversations.parque[t]", src_schema, sink, ckpt, lambda: SC.LengthRuleModel(60),
+                     prepare=prepare)
     q.awaitTermination()
-    return spark.read.parquet(sink).select("idx", "group_id", "label", "pred")
+    schema = "idx long, group_id long, label string, pred string"
+    if not IO.path_exists(spark, sink):  # no file, no batch
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(sink).select("idx", "group_id", "label", "pred")

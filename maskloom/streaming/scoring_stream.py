@@ -24,7 +24,7 @@ def stream_score(spark: SparkSession, source_dir: str, schema: T.StructType, sin
                  max_files: int | None = None):
     """Start the scoring stream; returns the ``StreamingQuery``.
 
-    ``prepare`` maps raw source rows to (idx, group_id, label, text).
+    ``source_dir`` is a folder of files, or a pattern of files and folders. ``prepare`` maps raw source rows to (idx, group_id, label, text).
     ``available_now`` processes everything present, then stops (batch-like run).
     ``max_files`` throttles a micro-batch; by default a batch takes all new files.
     """

@@ -26,3 +26,13 @@ def test_stream_resume_is_idempotent(spark):
     n = FX.turns(spark, SF).count()
     assert out.count() == n
     assert out.select("idx").distinct().count() == n
+
+
+def test_stream_scores_a_table_of_several_files(spark, tmp_path):
+    from maskloom.plans.registry import QUERIES
+    import maskloom.plans.catalog  # noqa: F401
+    rows = spark.createDataFrame([(c, t, "user", "a b c") for c in range(5) for t in range(3)], "conv_id long, turn long, role string, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert QUERIES["stream_score"](spark, str(tmp_path)).count() == 15
+    rows.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert QUERIES["stream_score"](spark, f"{tmp_path}/none").count() == 0
