@@ -60,16 +60,21 @@ def group_kfold(df: DataFrame, n_splits: int, group: str = "group_id", order: st
     The last block takes the remainder; block size is clamped to >= 1 (Q19).
     Emits one row per (row, fold) with ``split`` test/train.
     """
+    j = group_blocks(df, n_splits, group, order)
+    j = j.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    return j.withColumn("split", F.when(F.col("_blk") == F.col("fold"), F.lit("test")).otherwise(F.lit("train"))) \
+            .drop("_blk")
+
+
+def group_blocks(df: DataFrame, n_splits: int, group: str = "group_id", order: str = "idx") -> DataFrame:
+    """``df`` with ``_blk``, the block of its group (E3): the fold that tests on it."""
     from maskloom.session import written
     first = written(df.groupBy(group).agg(F.min(order).alias("_first")), "groups")  # read to count and to rank
     n_groups = first.count()
     size = max(1, int(round(n_groups / n_splits)))  # Python round is half-even
     ranked = dense_positions(first, "_first", out="_gp")
     blocks = ranked.select(group, F.least(F.floor(F.col("_gp") / size), F.lit(n_splits - 1)).cast("int").alias("_blk"))
-    j = join_keys(df, blocks, group, "inner")
-    j = j.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    return j.withColumn("split", F.when(F.col("_blk") == F.col("fold"), F.lit("test")).otherwise(F.lit("train"))) \
-            .drop("_blk")
+    return join_keys(df, blocks, group, "inner")
 
 
 def seeded_shuffle(df: DataFrame, seed: int, key: str = "idx", partitions: int | None = None) -> DataFrame:

@@ -111,10 +111,15 @@ def select_variant(df: DataFrame, variant: str, fold: int, seed: int = 0, epoch:
 VARIANT_PARTS = ["variant", "fold", "seed", "epoch", "mask_pct", "split"]
 
 
-def write_variants(df: DataFrame, root: str, files: int = 1, key: str = "idx") -> str:
-    """A3 sink: variant rows by folder (``VARIANT_PARTS``), ``files`` files to each, whatever the number of tasks before."""
-    spread = F.pmod(F.xxhash64(key), F.lit(files))
-    df.repartition(*VARIANT_PARTS, spread).write.mode("overwrite").partitionBy(*VARIANT_PARTS).parquet(root)
+def write_variants(df: DataFrame, root: str, files: int | None = None, key: str = "idx") -> str:
+    """A3 sink: variant rows by folder (``VARIANT_PARTS``).
+
+    Every task writes its own rows to all their folders, so the size of a task follows the input's splits and no row moves.
+    With ``files`` the rows are first gathered into so many files a folder, which one task each writes.
+    """
+    if files:
+        df = df.repartition(*VARIANT_PARTS, F.pmod(F.xxhash64(key), F.lit(files)))
+    df.write.mode("overwrite").partitionBy(*VARIANT_PARTS).parquet(root)
     return root
 
 
