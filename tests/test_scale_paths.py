@@ -30,8 +30,11 @@ def test_rare_tokens_are_shuffled_and_count_alike(spark, rows, monkeypatch):
     monkeypatch.setattr(L, "COMMON", 12)
     split = L.train_classifier(rows, grid)
     assert plain.others is None and split.others is not None and 0 < split.tokens.count() <= 12
-    key = lambda m: sorted(map(str, m.predict(rows, carry=["label"]).select("cfg", "idx", "pred").collect()))
-    assert key(plain) == key(split)
+    # rows of rare tokens alone, and of unknown ones alone, keep their place and label
+    odd = rows.where("idx is not null").unionByName(rows.sparkSession.createDataFrame(
+        [(900, "a", "w54", 1), (901, "b", "none such", 2), (902, None, None, 0)], "idx long, label string, text string, token_num long"))
+    key = lambda m: sorted(map(str, m.predict(odd, carry=["label"]).collect()))
+    assert key(plain) == key(split) and len({x for x in key(plain)}) == 2 * odd.select("idx").distinct().count()
     monkeypatch.setattr(L, "COMMON", 0)
     assert key(L.train_classifier(rows, grid)) == key(plain)
 
