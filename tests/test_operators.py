@@ -399,3 +399,33 @@ def test_logistic_regression_option(spark):
     labels = model.stages[3].labels
     out = model.transform(df).select("label", "prediction").collect()
     assert all(labels[int(r["prediction"])] == r["label"] for r in out)
+
+
+def test_classifier_lr_cuts_texts_once(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, StringIndexer, Tokenizer
+
+    from maskloom.operators import learners as L
+    written = []
+    real = L._session.written
+    monkeypatch.setattr(L._session, "written", lambda df, name: (written.append((name, df.columns)), real(df, name))[1])
+    rows = [(i, f"w{i % 3} v{i % 5} u{i % 2} x{i % 7}", "abc"[i % 3]) for i in range(90)] + [(90, "", "a"), (91, "w0", "c")]
+    df = spark.createDataFrame(rows, "idx long, text string, label string")
+    model = L.train_classifier_lr(df, num_features=1 << 10)
+    assert written == [("hashed-tokens", ["_tf", "label"])]
+    plain = Pipeline(stages=[Tokenizer(inputCol="text", outputCol="t"), HashingTF(inputCol="t", outputCol="f", numFeatures=1 << 10),
+                             IDF(inputCol="f", outputCol="g"), StringIndexer(inputCol="label", outputCol="y"),
+                             LogisticRegression(featuresCol="g", labelCol="y", maxIter=20, family="multinomial")]).fit(df)
+    got, want = ({r["idx"]: r["prediction"] for r in m.transform(df).collect()} for m in (model, plain))
+    assert got == want and list(model.stages[3].labels) == list(plain.stages[3].labels)
+
+
+def test_normalize_text_goes_through_the_characters_once(spark):
+    from maskloom.functions.text import normalize_text
+    df = spark.createDataFrame([(1, " a,\tb! @ #  Mask: c 'd' "), (2, " "), (3, None), (4, "?!"), (5, "@ #")], "idx long, text string")
+    out = normalize_text(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert [tuple(r) for r in out.orderBy("idx").collect()] == [(1, "a b c d", 4)]
+    kept = normalize_text(df, keep="@#").orderBy("idx").collect()
+    assert [tuple(r) for r in kept] == [(1, "a b @ # c d", 4)]
