@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.common import (U64, binary_rows, column, drop_saved, mix, save, shingle_hashes, sorted_groups,
-                                 text_slices, word_hashes)
+from maskloom.llm.common import (U64, binary_rows, column, drop_saved, mix, release, save, shingle_hashes,
+                                 sorted_groups, text_slices, word_hashes)
 from maskloom.llm.components import components
 
 #: Texts of one block of a trie node.
@@ -104,6 +104,19 @@ def _prefix_ids(sig: np.ndarray, depth: int) -> np.ndarray:
     return h
 
 
+def _prefixes(trees: int, max_depth: int, depth: int):
+    """Rows (node, prefix): the ids of a text's trie nodes, one for each tree."""
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), ">u4").reshape(n, trees, max_depth)
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), binary_rows(
+                _prefix_ids(sig, depth).reshape(-1), np.arange(n + 1) * trees)], names=["node", "prefix"])
+    return run
+
+
 def _trie_nodes(depth: int):
     """From keys sorted by (tree, key): texts below trie nodes of that depth with two texts or more."""
     def run(batches):
@@ -156,11 +169,9 @@ def _first_shared(prefixes: np.ndarray) -> np.ndarray:
     return first
 
 
-def _wanted(group: pa.Table, trees: int, max_depth: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of a block pair, and which pairs this task decides."""
-    m = group.num_rows
-    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), ">u4").reshape(m, trees, max_depth)
-    first = _first_shared(_prefix_ids(sig, depth))
+def _wanted(group: pa.Table) -> np.ndarray:
+    """Which pairs of the texts of a block pair this task decides."""
+    first = _first_shared(np.frombuffer(b"".join(group.column("prefix").to_pylist()), U64).reshape(group.num_rows, -1))
     mine = first == group.column("tree")[0].as_py()
     np.fill_diagonal(mine, False)
     left, right, own = (group.column(c).to_numpy() for c in ("left", "right", "own"))
@@ -169,17 +180,15 @@ def _wanted(group: pa.Table, trees: int, max_depth: int, depth: int) -> tuple[np
     return mine
 
 
-def _members(trees: int, max_depth: int, depth: int):
+def _members(batches):
     """Texts that take part in at least one pair of their block pair."""
-    def run(batches):
-        for group in sorted_groups(batches, ["gid", "left", "right"]):
-            if group.num_rows < 2:
-                continue
-            pick = np.flatnonzero(_wanted(group, trees, max_depth, depth).any(1))
-            if len(pick):
-                out = group.take(pa.array(pick)).select(["node", "gid", "left", "right", "own", "tree"]).combine_chunks()
-                yield from out.to_batches()
-    return run
+    for group in sorted_groups(batches, ["gid", "left", "right"]):
+        if group.num_rows < 2:
+            continue
+        pick = np.flatnonzero(_wanted(group).any(1))
+        if len(pick):
+            out = group.take(pa.array(pick)).select(["node", "gid", "left", "right", "own", "tree"]).combine_chunks()
+            yield from out.to_batches()
 
 
 def _attach_sets(words: int):
@@ -200,10 +209,10 @@ def _attach_sets(words: int):
                     pick = pa.array(row + at)
                     body = [sets[i] for i in at]
                     yield pa.RecordBatch.from_arrays(
-                        [column(batch, c).take(pick) for c in ("node", "copies", "sig")]
+                        [column(batch, c).take(pick) for c in ("node", "copies", "prefix")]
                         + [flat.slice(a, len(at)).field(k) for k in range(5)]
                         + [binary_rows(np.concatenate(body), np.cumsum([0, *map(len, body)]))],
-                        names=["node", "copies", "sig", "gid", "left", "right", "own", "tree", "set"])
+                        names=["node", "copies", "prefix", "gid", "left", "right", "own", "tree", "set"])
     return run
 
 
@@ -227,7 +236,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _verify(trees: int, max_depth: int, depth: int, similarity: float):
+def _verify(similarity: float):
     """Per text of a block pair: rows linked to it, and the least text of its connected part."""
     def run(batches):
         nodes, counts, roots = [], [], []
@@ -235,7 +244,7 @@ def _verify(trees: int, max_depth: int, depth: int, similarity: float):
             m = group.num_rows
             if m < 2:
                 continue
-            mine = _wanted(group, trees, max_depth, depth)
+            mine = _wanted(group)
             sets = [np.frombuffer(b, U64) for b in group.column("set").to_pylist()]
             size = np.array([len(s) for s in sets], np.float64)
             both = _overlaps(sets)
@@ -272,6 +281,7 @@ def classes(docs: DataFrame, *, text: str = "text", words: int = 5, similarity:
     ``class_id`` is the least id of the connected component; ``n_links`` counts
     the other rows whose similarity reaches the threshold, copies included.
     """
+    spark = docs.sparkSession
     depth = forest_depth(similarity, recall, trees, max_depth)
     source = docs.select("doc_id", F.col(text).alias("_text"), text_node(text).alias("_node"))
     rows = docs.select("doc_id", text_node(text).alias("node"))
@@ -281,6 +291,7 @@ def classes(docs: DataFrame, *, text: str = "text", words: int = 5, similarity:
     texts = save(sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                                               F.max("sig").alias("sig")), "texts")
     drop_saved(sketches)
+    release(spark)
     keys = texts.select("node", "sig").mapInArrow(_forest(trees, max_depth), "tree int, key binary, node binary")
     head = F.substring("key", 1, depth * 4)
     below = keys.withColumn("_head", F.xxhash64("tree", head)).repartition("_head").drop("_head") \
@@ -288,26 +299,32 @@ def classes(docs: DataFrame, *, text: str = "text", words: int = 5, similarity:
     below = save(below, "trie-nodes")
     sizes = below.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("tree").alias("tree"),
                                      F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("least"))
+    release(spark)
     # trie nodes of several trees over the same texts: one is enough
     kept = sizes.groupBy("m", "x", "least").agg(F.min(F.struct("tree", "gid")).alias("g")).select("g.gid", "m")
+    prefixes = texts.select("node", "sig").mapInArrow(_prefixes(trees, max_depth, depth), "node binary, prefix binary")
     member = below.join(kept, "gid").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = member.select("node", "gid", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
-                           "own", "tree").join(texts.select("node", "sig"), "node")
+                           "own", "tree").join(prefixes, "node")
     order = ["gid", "left", "right"]
     tasks = member.repartition(*order).sortWithinPartitions(*order).mapInArrow(
-        _members(trees, max_depth, depth), "node binary, gid long, left int, right int, own int, tree int")
-    tasks = tasks.groupBy("node").agg(F.collect_list(F.struct(*order, "own", "tree")).alias("tasks"))
-    tasks = tasks.join(texts, "node")
+        _members, "node binary, gid long, left int, right int, own int, tree int")
+    # written, so that what led to the tasks is off the disks before texts and sets move
+    tasks = save(tasks.groupBy("node").agg(F.collect_list(F.struct(*order, "own", "tree")).alias("tasks")), "block-tasks")
+    drop_saved(below)
+    release(spark)
+    tasks = tasks.join(texts.select("node", "rep", "copies"), "node").join(prefixes, "node")
     body = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text"), text_node(text).alias("_node"))
     # rows that repeat id and text would give their text twice
     busy = body.join(tasks, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("rep"))) \
-        .dropDuplicates(["node"]).select("node", "copies", "sig", "tasks", "_text")
-    sets = busy.mapInArrow(_attach_sets(words), "node binary, copies long, sig binary, gid long, left int, right int, "
+        .dropDuplicates(["node"]).select("node", "copies", "prefix", "tasks", "_text")
+    sets = busy.mapInArrow(_attach_sets(words), "node binary, copies long, prefix binary, gid long, left int, right int, "
                                                 "own int, tree int, set binary")
     found = save(sets.repartition(*order).sortWithinPartitions(*order).mapInArrow(
-        _verify(trees, max_depth, depth, similarity), "node binary, links long, root binary"), "links")
+        _verify(similarity), "node binary, links long, root binary"), "links")
+    release(spark)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     grouped = texts.select("node", "rep", "copies").join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")),
@@ -325,6 +342,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, the one of least id (null ids last), with the columns of ``docs``."""
     text = options.get("text", "text")
     found = save(classes(docs, **options), "classes")
+    release(docs.sparkSession)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node"))
     first = found.groupBy("root").agg(F.min(rank).alias("r"))
     keep = first.select(F.col("r.doc_id").alias("_keep_id"), F.col("r.node").alias("_keep_node"))

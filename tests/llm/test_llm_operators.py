@@ -677,3 +677,15 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns and docs.dtypes == before.dtypes
         assert docs.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
     assert pipeline.run(spark, SF).select("doc_id").distinct().count() == docs.count()
+
+
+def test_jaccard_join_frees_the_disks_before_texts_move(spark, docs, monkeypatch):
+    # what led to the block tasks is written and given back before texts and sets go through a shuffle
+    log = []
+    real = jaccard_join.save
+    monkeypatch.setattr(jaccard_join, "save", lambda df, name: (log.append((name, df.columns)), real(df, name))[1])
+    monkeypatch.setattr(jaccard_join, "release", lambda s: log.append(("release", [])), raising=False)
+    jaccard_join.classes(docs).count()
+    names = [n for n, _ in log]
+    assert "block-tasks" in names and "release" in names[names.index("block-tasks"):names.index("links")]
+    assert names[names.index("texts") + 1] == names[names.index("trie-nodes") + 1] == names[names.index("links") + 1] == "release"
