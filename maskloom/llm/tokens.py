@@ -70,6 +70,7 @@ class Encoder:
         vocab = self.tokenizer.get_vocab() if mark else {}
         self.edge = np.zeros(max(vocab.values(), default=-1) + 1, bool)
         self.edge[[i for t, i in vocab.items() if mark(t)]] = True
+        self.line_end = (self.tokenizer.encode("\n", add_special_tokens=False).ids or [-1])[-1]
         self.known: dict[str, bytes | None] = {}
         self.plain: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -97,12 +98,22 @@ class Encoder:
         return out
 
     def _lettered(self, words: list[str], before: str, mark: str) -> list[bytes]:
-        """Ids of words of ASCII letters, each after a space or a word's end, many to a text and nothing between them."""
+        """Ids of words of letters (ASCII where case is folded), each after a space, a word's end or a line end, many to a
+        text and no mark between them."""
         out: list[bytes] = []
         groups = [words[a:a + _MARKED_WORDS] for a in range(0, len(words), _MARKED_WORDS)]
-        texts = [before + " ".join(g) for g in groups]
+        lines = self.boundary == "leading" and not before
+        texts = [before + ("\n" if lines else " ").join(g) for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             at = np.array(e.ids, "<u4")
+            if lines:  # a line end between letters is a token of its own
+                ends = 4 * np.flatnonzero(at == self.line_end)
+                if len(ends) != len(group) - 1:
+                    out += self._marked(group, before, mark)
+                    continue
+                raw = at.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]
+                continue
             edges = 4 * np.flatnonzero(self.edge[at])
             if len(edges) != len(group):
                 out += self._marked(group, before, mark)
@@ -121,11 +132,6 @@ class Encoder:
         """
         fold = self.boundary == "dropped"
         letters = [w for w in words if w.isalpha()]  # most words: they are their own stems
-        if fold:
-            folded = [w.lower() if w.isascii() else w for w in letters]
-            fresh = set(folded)
-        else:
-            fresh = set(letters)
         split, odd = [], []
         for w in words.difference(letters):
             if _MARK in w or not w or w.strip() != w:
@@ -135,12 +141,17 @@ class Encoder:
             if not stem or not stem[-1].lower().isalpha():
                 stem = w
             split.append((w, stem.lower() if fold and stem.isascii() else stem, w[len(stem):]))
-        fresh.update(stem for _, stem, _ in split)
-        fresh.difference_update(known)
-        if fold or before:
+        # set.difference looks each word up in the cache; difference_update would go through the whole cache
+        if fold:
+            folded = [w.lower() if w.isascii() else w for w in letters]
+            fresh = {*folded, *(stem for _, stem, _ in split)}.difference(known)
             simple = [w for w in fresh if w.isascii() and w.isalpha()]
-            known.update(zip(simple, self._lettered(simple, before, mark)))
             fresh.difference_update(simple)
+        else:  # words of letters are new as they come
+            fresh = {stem for _, stem, _ in split}.difference(known)
+            simple = letters + [w for w in fresh if w.isalpha() and w not in words]
+            fresh = {w for w in fresh if not w.isalpha()}
+        known.update(zip(simple, self._lettered(simple, before, mark)))
         fresh = list(fresh)
         known.update(zip(fresh, self._marked(fresh, before, mark)))
         tails = list({t for _, _, t in split if t not in self.tails})
@@ -161,7 +172,7 @@ class Encoder:
         single.update(x[0] for x in lines.values() if x[0] not in self.known)
         self._learn(single, self.known, " ", f" {_MARK}")
         rest = {y for x in lines.values() for y in x[1:]}
-        rest.difference_update(self.plain)
+        rest = rest.difference(self.plain)
         self._learn(rest, self.plain, "", f"\n{_MARK}\n")
         end = self._encode(["\n"])[0]
         for w, x in lines.items():
@@ -184,8 +195,7 @@ class Encoder:
         known, leading = self.known, self.boundary == "leading"
         words = [t.split(" ") if leading else t.replace("\n", " ").split(" ") for t in texts]
         heads = [x.pop(0) for x in words] if leading else []
-        new = set().union(*words)
-        new.difference_update(known)
+        new = set().union(*words).difference(known)
         self._resolve(new)
         first = self._encode(heads) if leading else None
         out = []

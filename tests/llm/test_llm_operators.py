@@ -689,3 +689,14 @@ def test_jaccard_join_frees_the_disks_before_texts_move(spark, docs, monkeypatch
     names = [n for n, _ in log]
     assert "block-tasks" in names and "release" in names[names.index("block-tasks"):names.index("links")]
     assert names[names.index("texts") + 1] == names[names.index("trie-nodes") + 1] == names[names.index("links") + 1] == "release"
+
+
+def test_words_of_letters_are_encoded_without_marks(monkeypatch):
+    enc = tokens.Encoder(tokens.BYTE_BPE)
+    marked = []
+    real = tokens.Encoder._marked
+    monkeypatch.setattr(tokens.Encoder, "_marked", lambda self, words, *rest: (marked.extend(words), real(self, words, *rest))[1])
+    texts = ["Èviier éreè oument.\nÉèpa euxelleou,\nmentêé élan", "straße naïve\nßeta\n\nword x2 a_b 三文字\nэто слово", "", "\n", "élań ok\nélań",
+             "one two trois quatre\nsix\tsept", "Ǆ ǅ ʰa ªº\nªº"]
+    assert enc.encode(texts) == enc._encode(texts) and enc.encode(texts) == enc._encode(texts)
+    assert not [w for w in marked if w.isalpha()] and "éreè" in enc.known and "ßeta" in enc.plain
