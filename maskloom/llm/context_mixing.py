@@ -9,8 +9,8 @@ bit place and on the evidence behind the word so far, learnt online by logistic
 Newton steps, with each window's own occurrence left out of the counts; an
 adaptive probability map then refines the mix. A bit's context lies in a window of
 five bytes and a 24-bit hash of the word so far, so the corpus is gathered as counts
-of its different windows (a table that grows with the input), and a worker evaluates
-each different window once.
+of its different windows (a table that grows with the input), and a worker keeps
+the answers for the windows it met, in a table of fixed size.
 
 The unigram base needs the training count of every word of a text: documents are
 dealt into blocks, words counted by block and summed over all, and the counts
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.common import (LOWER, U64, column, drop_saved, held_out, mix, partitions, prefix_hash, range_hash, release,
-                                 save, text_slices, word_spans)
+                                 rest, save, text_slices, word_spans)
 
 ORDERS = (1, 2, 3, 4)
 PREDICTORS = len(ORDERS) + 1  # the orders, then the word so far
@@ -49,7 +49,9 @@ RIDGE = 50.0
 TASK_WINDOWS = 2_000_000
 SPACE, END = 32, 10
 END_WORD = np.array([0x7E57ED], U64)
-STEP = 2 << 20
+#: Bytes of text handled at once, and different words and windows that a task counts before it hands them on.
+STEP = 1 << 19
+HELD = 2_000_000
 
 
 def _streams(data: np.ndarray, offsets: np.ndarray):
@@ -89,29 +91,51 @@ def _windows(body: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counts(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([k for k, _ in pairs]), np.concatenate([n for _, n in pairs])
-    code, names = pd.factorize(keys)
-    return names, np.bincount(code, counts, len(names)).astype(np.int64)
+def _counts(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and the sum of the counts of each (none given: one each)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    if counts is None:
+        return keys[cut], np.diff(np.append(cut, len(keys)))
+    return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
+
+
+class _Tally:
+    """Counts of keys, merged whenever they have doubled."""
+
+    def __init__(self):
+        self.pairs, self.size, self.merged = [], 0, 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.pairs.append((keys, counts.astype(np.int64)))
+        self.size += len(keys)
+        if self.size > HELD // 4 + 2 * self.merged:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.pairs) > 1:
+            self.pairs = [_counts(*(np.concatenate(x) for x in zip(*self.pairs)))]
+        self.size = self.merged = len(self.pairs[0][0])
+        return self.pairs[0]
 
 
 def _gather(batches):
     """(block, word, n) with n the training count, and (null, window, n), for the texts of a task."""
-    words: dict[int, list] = {}
-    windows: list = []
-    size = 0
+    tallies: dict[int | None, _Tally] = {}
 
     def flush():
-        for block, pairs in words.items():
-            names, n = _counts(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block, np.int32)), pa.array(names.view(np.int64)),
-                                              pa.array(n)], names=["block", "key", "n"])
-        if windows:
-            names, n = _counts(windows)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int32()), pa.array(names.view(np.int64)), pa.array(n)],
-                                             names=["block", "key", "n"])
-        words.clear()
-        windows.clear()
+        for block, tally in tallies.items():
+            names, n = tally.merge()
+            blocks = pa.nulls(len(names), pa.int32()) if block is None else pa.array(np.full(len(names), block, np.int32))
+            for a in range(0, len(names), 1 << 17):
+                cut = slice(a, a + (1 << 17))
+                yield pa.RecordBatch.from_arrays([blocks[cut], pa.array(names[cut].view(np.int64)), pa.array(n[cut])],
+                                                 names=["block", "key", "n"])
+        tallies.clear()
 
     for batch in batches:
         held = np.asarray(column(batch, "held_out").to_numpy(zero_copy_only=False), bool)
@@ -119,24 +143,23 @@ def _gather(batches):
         for row, n, data, offsets in text_slices(batch, "_text", STEP):
             body, first, hashes, first_word = _streams(data, offsets)
             train = ~held[row:row + n]
-            blocks = np.repeat(block[row:row + n], np.diff(first_word))
-            weight = np.repeat(train, np.diff(first_word))
-            for b in np.unique(block[row:row + n]):
-                mine = blocks == b
-                code, names = pd.factorize(hashes[mine])
-                words.setdefault(int(b), []).append((names, np.bincount(code, weight[mine], len(names))))
-                ends = int(train[block[row:row + n] == b].sum())
-                words[int(b)].append((END_WORD, np.array([ends])))
+            mine = block[row:row + n]
+            blocks = np.repeat(mine, np.diff(first_word))
+            weight = np.repeat(train, np.diff(first_word)).astype(np.int64)
+            for b in np.unique(mine):
+                tally = tallies.setdefault(int(b), _Tally())
+                here = blocks == b
+                tally.add(*_counts(np.append(hashes[here], END_WORD), np.append(weight[here], train[mine == b].sum())))
             used = _windows(body, first)[np.repeat(train, np.diff(first))]
             if len(used):
-                code, names = pd.factorize(used)
-                windows.append((names, np.bincount(code, minlength=len(names))))
-                size += len(names)
-            size += len(hashes) // 8
-            if size > 2_000_000:
-                yield from flush()
-                size = 0
+                tallies.setdefault(None, _Tally()).add(*_counts(used))
+            if sum(t.size for t in tallies.values()) > HELD:
+                for t in tallies.values():
+                    t.merge()
+                if sum(t.size for t in tallies.values()) > HELD // 2:
+                    yield from flush()
     yield from flush()
+    rest()
 
 
 def _levels() -> np.ndarray:
@@ -180,13 +203,22 @@ class Model:
         return [Model.context(windows, i) for i in range(PREDICTORS)]
 
     @staticmethod
-    def slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        node = node * U64(0x9E3779B97F4A7C15)
-        return (((context ^ node) * U64(0xD6E8FEB86659FD93)) >> U64(64 - TABLE_BITS)).astype(np.int64)
+    def slot(context: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """Places in a predictor's table, of contexts and the salts of nodes."""
+        out = context ^ salt
+        out *= U64(0xD6E8FEB86659FD93)
+        out >>= U64(64 - TABLE_BITS)
+        return out.view(np.int64)
+
+    @staticmethod
+    def salt(node: np.ndarray) -> np.ndarray:
+        return node.astype(U64) * U64(0x9E3779B97F4A7C15)
 
     @staticmethod
     def slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-        return [Model.slot(c, node) + (i << TABLE_BITS) for i, c in enumerate(contexts)]
+        """For each predictor, places in its own table."""
+        salt = Model.salt(node)
+        return [Model.slot(c, salt) for c in contexts]
 
     def inputs(self, slots: list[np.ndarray], bit: np.ndarray, leave: bool) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (and a bias), and the amount of evidence behind the word so far (a place in EVIDENCE).
@@ -195,14 +227,17 @@ class Model:
         """
         x = np.empty((INPUTS, len(bit)), np.float32)
         x[-1] = 0.3
-        case = (1 + bit) << 16 if leave else 0
+        case = (1 + bit) << 16 if leave else np.int64(0)
         for i, s in enumerate(slots):
-            at = self.codes[s] + case
-            x[i] = STRETCH[at]
+            at = self.codes[i << TABLE_BITS:(i + 1) << TABLE_BITS][s] + case
+            np.take(STRETCH, at, out=x[i], mode="clip")
         return x, BACKING[at]
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("kn,nk->n", x, self.weights[gate]), -12, 12)
+        out = self.weights[:, 0].take(gate) * x[0]
+        for k in range(1, INPUTS):
+            out += self.weights[:, k].take(gate) * x[k]
+        return np.clip(out, -12, 12)
 
     def refined(self, stretch: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Probability of a one: the mix averaged, in the logistic domain, with the map's answer."""
@@ -218,7 +253,7 @@ class Model:
         out = np.zeros(len(windows))
         for b in range(8):
             node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-            x, evidence = self.inputs(self.slots(contexts, node.astype(U64)), bit, False)
+            x, evidence = self.inputs(self.slots(contexts, node), bit, False)
             p = self.refined(self.mixed(x, b * (len(EVIDENCE) + 1) + evidence), node)
             out += np.log10(np.where(bit == 1, p, 1 - p))
         return out
@@ -234,20 +269,22 @@ def _count_slots(batches):
     """Zeros and ones of the slots that a task's windows touch, one predictor after the other."""
     held = [(column(batch, "key").to_numpy().view(U64), column(batch, "n").to_numpy()) for batch in batches]
     for i in range(PREDICTORS):
-        zeros, ones = np.zeros(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS)
+        seen = np.zeros(2 << TABLE_BITS)  # of each slot the zeros, then the ones
         for windows, n in held:
-            context, byte = Model.context(windows, i), (windows & U64(255)).astype(np.int64)
+            context, byte, n = Model.context(windows, i), (windows & U64(255)).astype(np.int64), n.astype(np.float64)
             for b in range(8):
-                node, bit = ((1 << b) | (byte >> (8 - b))).astype(U64), ((byte >> (7 - b)) & 1).astype(bool)
-                s = Model.slot(context, node)
-                np.add.at(ones, s[bit], n[bit])
-                np.add.at(zeros, s[~bit], n[~bit])
-        some = np.flatnonzero(zeros + ones)
+                s = Model.slot(context, Model.salt((1 << b) | (byte >> (8 - b))))
+                np.add.at(seen, (s << 1) | ((byte >> (7 - b)) & 1), n)  # fast as long as both sides are doubles
+        seen = seen.reshape(-1, 2)
+        some = np.flatnonzero(seen.any(1))
         for a in range(0, len(some), 1 << 18):
             s = some[a:a + (1 << 18)]
+            zeros, ones = seen[s].astype(np.float32).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array((s + (i << TABLE_BITS)).astype(np.int32)), pa.array(zeros[s].astype(np.float32)),
-                 pa.array(ones[s].astype(np.float32))], names=["slot", "zeros", "ones"])
+                [pa.array((s + (i << TABLE_BITS)).astype(np.int32)), pa.array(zeros.copy()), pa.array(ones.copy())],
+                names=["slot", "zeros", "ones"])
+    del held, seen
+    rest()
 
 
 def _coded(batches):
@@ -273,13 +310,16 @@ def _learn(shared):
                 contexts, byte = model.contexts(w), (w & U64(255)).astype(np.int64)
                 for b in range(8):
                     node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-                    x, evidence = model.inputs(model.slots(contexts, node.astype(U64)), bit, True)
-                    for e in np.unique(evidence):
-                        mine = evidence == e
-                        gate, xs, cs = b * (len(EVIDENCE) + 1) + e, x[:, mine].astype(np.float64), c[mine]
+                    x, evidence = model.inputs(model.slots(contexts, node), bit, True)
+                    order = np.argsort(evidence.astype(np.uint8), kind="stable")
+                    by_gate, counts, bits = x[:, order].astype(np.float64), c[order], bit[order]
+                    cut = np.searchsorted(evidence[order], np.arange(len(EVIDENCE) + 2))
+                    for e in np.flatnonzero(np.diff(cut)):
+                        mine = slice(cut[e], cut[e + 1])
+                        gate, xs, cs = b * (len(EVIDENCE) + 1) + e, by_gate[:, mine], counts[mine]
                         p = 1 / (1 + np.exp(-np.clip(weights[gate] @ xs, -12, 12)))
                         curve[gate] += (xs * (cs * np.maximum(p * (1 - p), 0.01))) @ xs.T
-                        step = np.linalg.solve(curve[gate], xs @ (cs * (bit[mine] - p)))
+                        step = np.linalg.solve(curve[gate], xs @ (cs * (bits[mine] - p)))
                         weights[gate] += step / max(1.0, 4 * np.abs(step).max())
         product = np.einsum("gij,gj->gi", curve, weights)
         gate, i, j = np.indices(curve.shape, np.int32)
@@ -288,6 +328,7 @@ def _learn(shared):
              pa.array(np.concatenate([i.ravel(), i[:, :, 0].ravel()])),
              pa.array(np.concatenate([j.ravel(), np.full(product.size, INPUTS, np.int32)])),
              pa.array(np.concatenate([curve.ravel(), product.ravel()]))], names=["gate", "input", "other", "value"])
+        rest()
     return run
 
 
@@ -301,7 +342,7 @@ def _map_counts(shared):
             contexts, byte = model.contexts(windows), (windows & U64(255)).astype(np.int64)
             for b in range(8):
                 node, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-                x, evidence = model.inputs(model.slots(contexts, node.astype(U64)), bit, True)
+                x, evidence = model.inputs(model.slots(contexts, node), bit, True)
                 at, part = apm_place(model.mixed(x, b * (len(EVIDENCE) + 1) + evidence))
                 row = node * APM_STEPS + at
                 for value in (0, 1):
@@ -311,6 +352,7 @@ def _map_counts(shared):
         some = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[0][some]), pa.array(seen[1][some])],
                                          names=["place", "zeros", "ones"])
+        rest()
     return run
 
 
@@ -350,30 +392,30 @@ def train(windows: DataFrame, *, rounds: int = 2) -> Model:
 
 
 class _Scorer:
-    """Evaluates each different window once for a worker, within a bound."""
+    """Evaluates windows, and keeps the last one of each place of a table of fixed size."""
+
+    BITS = 21
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys, self.values = np.zeros(0, U64), np.zeros(0)
+        self.keys, self.values = np.full(1 << self.BITS, ~U64(0)), np.zeros(1 << self.BITS)  # no text has a byte 255
+
+    def place(self, windows: np.ndarray) -> np.ndarray:
+        return ((windows * U64(0xD6E8FEB86659FD93)) >> U64(64 - self.BITS)).view(np.int64)
 
     def __call__(self, windows: np.ndarray) -> np.ndarray:
-        code, names = pd.factorize(windows)
-        at = np.searchsorted(self.keys, names)
-        found = np.zeros(len(names), bool)
-        inside = at < len(self.keys)
-        found[inside] = self.keys[at[inside]] == names[inside]
-        value = np.empty(len(names))
-        value[found] = self.values[at[found]]
-        new = names[~found]
+        place = self.place(windows)
+        value = self.values[place]
+        new = np.flatnonzero(self.keys[place] != windows)
         if len(new):
-            got = np.concatenate([self.model.log10(new[a:a + 65536]) for a in range(0, len(new), 65536)])
-            value[~found] = got
-            if len(self.keys) > 2_000_000:
-                self.keys, self.values = np.zeros(0, U64), np.zeros(0)
-            order = np.argsort(new)
-            at = np.searchsorted(self.keys, new[order])
-            self.keys, self.values = np.insert(self.keys, at, new[order]), np.insert(self.values, at, got[order])
-        return value[code]
+            code, names = pd.factorize(windows[new])
+            got = np.concatenate([self.model.log10(names[a:a + 16384]) for a in range(0, len(names), 16384)])
+            value[new] = got[code]
+            place = self.place(names)
+            self.keys[place] = names
+            kept = self.keys[place] == names  # of several for a place, one
+            self.values[place[kept]] = got[kept]
+        return value
 
 
 def _score(shared, keep: list[str], n_train: int, n_words: int):
@@ -417,6 +459,7 @@ def _score(shared, keep: list[str], n_train: int, n_words: int):
                                                        pa.array(np.full(len(n), n_train, np.int64)), pa.array(base),
                                                        pa.array(score), pa.array(-score / math.log10(2) / size)],
                     names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        rest()
     return run
 
 
@@ -432,16 +475,16 @@ def score(docs: DataFrame, *, text: str = "text", mod: int = 10) -> DataFrame:
     windows = gathered.where("block is null").groupBy("key").agg(F.sum("n").alias("n"))
     model = train(save(windows, "all-windows"))
     by_word = Window.partitionBy("key")
-    counts = save(gathered.where("block is not null").select(
-        "block", "key", "n", F.sum("n").over(by_word).alias("c"), F.min("block").over(by_word).alias("least"),
-        F.row_number().over(Window.partitionBy("key", "block").orderBy("n")).alias("r")), "word-counts")
-    total = counts.agg(F.sum("n").alias("n"), F.sum(F.when((F.col("c") > 0) & (F.col("block") == F.col("least")) & (
-        F.col("r") == 1), 1)).alias("v")).first()
+    counts = gathered.where("block is not null").repartition("key").groupBy("key", "block").agg(F.sum("n").alias("n"))
+    counts = save(counts.select("block", "key", "n", F.sum("n").over(by_word).alias("c"),
+                                F.min("block").over(by_word).alias("least")), "word-counts")
+    total = counts.agg(F.sum("n").alias("n"), F.sum(F.when(
+        (F.col("c") > 0) & (F.col("block") == F.col("least")), 1)).alias("v")).first()
     drop_saved(gathered)
     release(spark)
     shared = spark.sparkContext.broadcast((model.codes, model.weights, model.apm))
     fields = {f.name: f.dataType.simpleString() for f in source.schema}
-    words = counts.where("r = 1").select(
+    words = counts.select(
         F.lit(0).alias("kind"), "block", "key", "c", F.lit(None).cast(fields["doc_id"]).alias("doc_id"),
         F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("_text"))
     texts = source.select(F.lit(1).alias("kind"), "block", F.lit(None).cast("long").alias("key"),
