@@ -92,16 +92,9 @@ def _windows(body: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _counts(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys, sorted, and the sum of the counts of each (none given: one each)."""
-    if counts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    if counts is None:
-        return keys[cut], np.diff(np.append(cut, len(keys)))
-    return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
+    """Different keys in the order they came, in which the weights are learnt, and the sum of each one's counts (none given: one each)."""
+    code, names = pd.factorize(keys)
+    return names, np.bincount(code, counts, len(names)).astype(np.int64)
 
 
 class _Tally:
@@ -111,7 +104,7 @@ class _Tally:
         self.pairs, self.size, self.merged = [], 0, 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.pairs.append((keys, counts.astype(np.int64)))
+        self.pairs.append((keys, counts))
         self.size += len(keys)
         if self.size > HELD // 4 + 2 * self.merged:
             self.merge()
@@ -145,7 +138,7 @@ def _gather(batches):
             train = ~held[row:row + n]
             mine = block[row:row + n]
             blocks = np.repeat(mine, np.diff(first_word))
-            weight = np.repeat(train, np.diff(first_word)).astype(np.int64)
+            weight = np.repeat(train, np.diff(first_word))
             for b in np.unique(mine):
                 tally = tallies.setdefault(int(b), _Tally())
                 here = blocks == b
