@@ -501,6 +501,88 @@ def test_compact_windows_finds_every_member(spark):
     assert not lost
 
 
+def test_compact_windows_links_every_pair_of_a_group(spark):
+    # each text of a pair is over 0.8 to its partner alone; the group's others, which share half of the passage, are not like it
+    rng = random.Random(8)
+    make = lambda n: [f"w{rng.randrange(10 ** 7)}" for _ in range(n)]
+    rows, partner, at = [], {}, {}
+    for _ in range(30):
+        half, other = make(25), []
+        for k in range(14):
+            rows.append((len(rows), " ".join(make(50) + half + make(60))))
+        passage = half + make(25)
+        changed = list(passage)
+        changed[rng.choice([0, 1, 48, 49])] = "changed"
+        for mine in (passage, changed):
+            at[len(rows)] = 60
+            other.append(len(rows))
+            rows.append((len(rows), " ".join(make(60) + mine + make(60))))
+        partner.update({other[0]: other[1], other[1]: other[0]})
+    got = collections.defaultdict(list)
+    for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append(r)
+    assert set(got) == set(partner)
+    for i, found in got.items():
+        covered = {k for r in found for k in range(r["start_word"], r["end_word"])}
+        assert len(covered & set(range(60, 110))) >= 45 and {r["other_doc_id"] for r in found} == {partner[i]}
+
+
+def test_classes_of_a_group_equal_brute_force(spark):
+    # all pairs of classes, in whole groups and in blocks, against the windows of each pair one by one
+    width, similarity = 12, 0.8
+    reach = compact_windows.reach_of(width, similarity)
+    rng = np.random.default_rng(21)
+    base = rng.integers(1, 1 << 47, 2 * reach + 1)
+    rows = []
+    for k in range(120):
+        key, left = k % 3 + 1, int(rng.integers(5, reach + 1))
+        words = base[reach - left:].copy() if key < 3 else rng.integers(1, 4, reach + left + 1)
+        words = words[:left + 1 + int(rng.integers(6, reach + 1))]
+        for _ in range(rng.integers(0, 5)):
+            i = int(rng.integers(0, len(words)))
+            if i < left:
+                words[i] = rng.integers(1, 1 << 47)
+            elif i > left:
+                words = np.insert(words, i, 7) if rng.random() < 0.5 else np.delete(words, i)
+        words = words[:left + 1 + reach]
+        right = len(words) - left - 1
+        if min(left, width - 1) + min(right, width - 1) + 1 >= width:
+            body = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :compact_windows.HASH_BYTES].tobytes()
+            rows.append((key, k, k, False, 1, k, 40, 40, min(left, width - 1), min(right, width - 1), left, body, words, k % 3))
+    names = [*compact_windows._CLASS, "left", "shingles"]
+    want_low, want_high, links, least = {}, {}, collections.Counter(), {}
+    for a, b in itertools.permutations(rows, 2):
+        if a[0] != b[0]:
+            continue
+        mine = a[12][a[10] - a[8]:a[10] + a[9] + 1].tolist()
+        spans = brute_spans(mine, b[12].tolist(), width, similarity, a[8] - b[10])
+        for s, e, *_ in spans:
+            want_low[a[1]] = min(want_low.get(a[1], 99), s - a[8])
+            want_high[a[1]] = max(want_high.get(a[1], -99), e - a[8])
+            links[a[1], b[1]] += 1
+    total = collections.Counter(a for a, _ in links)
+
+    def run(cells):
+        import pyarrow as pa
+        cells = sorted(cells, key=lambda r: (r[0], r[-2], r[-1], r[1]))
+        table = pa.table({c: [r[i] for r in cells] for i, c in enumerate(names)} | {
+            "block": [r[13] for r in cells], "x": [r[-2] for r in cells], "y": [r[-1] for r in cells]})
+        out = collections.defaultdict(lambda: [99, -99, 0, 10 ** 9])
+        for batch in compact_windows._compare(width, similarity)(iter(table.to_batches(max_chunksize=37))):
+            for r in batch.to_pylist():
+                o = out[r["class"]]
+                o[:] = [min(o[0], r["low"]), max(o[1], r["high"]), o[2] + r["links"], min(o[3], r["other"])]
+        return out
+
+    whole = run([(*r, 0, 0) for r in rows])
+    blocks = run([(*r, min(r[13], t), max(r[13], t)) for r in rows for t in range(3)])
+    assert {k: tuple(v) for k, v in whole.items()} == {k: tuple(v) for k, v in blocks.items()}
+    assert len(total) > 60
+    for k in total:  # at least what its own windows find; the other side's may tell more
+        low, high, n, other = whole[k]
+        assert low <= want_low[k] and high >= want_high[k] and n >= total[k] and other <= min(b for a, b in links if a == k)
+
+
 def sides_of(*parts):
     return compact_windows.Sides(np.concatenate(parts).astype(np.uint64), np.cumsum([0, *map(len, parts)]))
 
