@@ -548,17 +548,18 @@ def test_classes_of_a_group_equal_brute_force(spark):
         right = len(words) - left - 1
         if min(left, width - 1) + min(right, width - 1) + 1 >= width:
             body = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :compact_windows.HASH_BYTES].tobytes()
-            rows.append((key, k, k, False, 1, k, 40, 40, min(left, width - 1), min(right, width - 1), left, body, words, k % 3))
-    names = [*compact_windows._CLASS, "left", "shingles"]
+            rows.append((key, k, k, k, 0, compact_windows.NO_ID, True, 1, 40, 40, left, right, body,
+                         words, k % 3))
+    names = [*compact_windows._CLASS, "shingles"]
     want_low, want_high, links, least = {}, {}, collections.Counter(), {}
     for a, b in itertools.permutations(rows, 2):
         if a[0] != b[0]:
             continue
-        mine = a[12][a[10] - a[8]:a[10] + a[9] + 1].tolist()
-        spans = brute_spans(mine, b[12].tolist(), width, similarity, a[8] - b[10])
+        left, right = (min(k, width - 1) for k in a[10:12])
+        spans = brute_spans(a[13][a[10] - left:a[10] + right + 1].tolist(), b[13].tolist(), width, similarity, left - b[10])
         for s, e, *_ in spans:
-            want_low[a[1]] = min(want_low.get(a[1], 99), s - a[8])
-            want_high[a[1]] = max(want_high.get(a[1], -99), e - a[8])
+            want_low[a[1]] = min(want_low.get(a[1], 99), s - left)
+            want_high[a[1]] = max(want_high.get(a[1], -99), e - left)
             links[a[1], b[1]] += 1
     total = collections.Counter(a for a, _ in links)
 
@@ -566,16 +567,16 @@ def test_classes_of_a_group_equal_brute_force(spark):
         import pyarrow as pa
         cells = sorted(cells, key=lambda r: (r[0], r[-2], r[-1], r[1]))
         table = pa.table({c: [r[i] for r in cells] for i, c in enumerate(names)} | {
-            "block": [r[13] for r in cells], "x": [r[-2] for r in cells], "y": [r[-1] for r in cells]})
+            "block": [r[14] for r in cells], "x": [r[-2] for r in cells], "y": [r[-1] for r in cells]})
         out = collections.defaultdict(lambda: [99, -99, 0, 10 ** 9])
         for batch in compact_windows._compare(width, similarity)(iter(table.to_batches(max_chunksize=37))):
             for r in batch.to_pylist():
                 o = out[r["class"]]
-                o[:] = [min(o[0], r["low"]), max(o[1], r["high"]), o[2] + r["links"], min(o[3], r["other"])]
+                o[:] = [min(o[0], r["low"]), max(o[1], r["high"]), o[2] + r["links"], min(o[3], r["doc"])]
         return out
 
     whole = run([(*r, 0, 0) for r in rows])
-    blocks = run([(*r, min(r[13], t), max(r[13], t)) for r in rows for t in range(3)])
+    blocks = run([(*r, min(r[14], t), max(r[14], t)) for r in rows for t in range(3)])
     assert {k: tuple(v) for k, v in whole.items()} == {k: tuple(v) for k, v in blocks.items()}
     assert len(total) > 60
     for k in total:  # at least what its own windows find; the other side's may tell more
