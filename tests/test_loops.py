@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from maskloom.functions.hashing import hunit, seed_salt
 from maskloom.operators import learners as L
-from maskloom.plans.loops import DualProcessConfig, Step, _final_epoch, dual_process_loop, next_step
+from maskloom.operators import masking as M
+from maskloom.plans.loops import DualProcessConfig, Step, _final_epoch, dual_process_loop, next_step, read_memory
 from maskloom.sources import io as IO
 
 
@@ -118,6 +120,42 @@ def test_loop_resumes_after_every_step(spark, rows):
         dual_process_loop(spark, train, test, DualProcessConfig(**{**cfg, "pct": 0.1}, root=root))
 
 
+def test_loop_keeps_each_text_once(spark, rows):
+    train, test = rows
+    # rows that come twice, one idx with two texts, and a row without a text
+    more = spark.createDataFrame([(5000, 1, "a", "c1 c2 c3 a1 a2", 5), (5000, 1, "b", "c4 c5 b3 b2 b1", 5),
+                                  *((5001 + i, 2, "b", None, 1) for i in range(4))], train.schema)
+    train = train.unionByName(train.where("idx < 9")).unionByName(more).checkpoint()
+    cfg = dict(end_epoch=2, repeat_r=2, patience=1, warmup=0, mask_test=True, pct=0.3)
+    plain = dual_process_loop(spark, train, test, DualProcessConfig(**cfg))
+    root, told = IO.scratch_path(spark, "texts-once"), []
+
+    def look(step):
+        told.append(step)
+        states = spark.read.parquet(f"{root}/state").select("epoch", "step").distinct().collect()
+        assert len(states) == 1 and "masked_sent" not in spark.read.parquet(f"{root}/state").columns
+        assert not any(IO.path_exists(spark, f"{root}/{kind}") for kind in ("remasked", "val"))
+        if step.name == "cycle":
+            IO.drop_path(spark, f"{root}/state")  # as a cycle leaves it that is ended midway
+            raise _Ended
+
+    while True:
+        try:
+            res = dual_process_loop(spark, train, test, DualProcessConfig(**cfg, root=root), look)
+            break
+        except _Ended:
+            assert len(told) < 20
+    assert sorted(map(tuple, res.ledger.collect())) == sorted(map(tuple, plain.ledger.collect()))
+    assert not {"text", "masked_sent"} & set(spark.read.parquet(res.memory_root).columns)
+    fit = train.where(hunit(F.lit("ival"), F.col("idx")) >= 0.2)
+    first = read_memory(spark, res.memory_root, train, 0, "init")
+    masked = M.mask_percent(fit, 0.3, seed_salt(0, 0)).select("idx", "label", "text", "mask_words", "masked_sent")
+    assert sorted(map(str, first.select(masked.columns).collect())) == sorted(map(str, masked.collect()))
+    last = read_memory(spark, res.memory_root, train, 1, "final")
+    assert sorted(r["idx"] for r in last.collect()) == sorted({r["idx"] for r in fit.collect()})
+    assert sorted(map(str, last.collect())) == sorted(map(str, read_memory(spark, plain.memory_root, train, 1, "final").collect()))
+
+
 def plain_val(train):
     from maskloom.functions.hashing import hunit
     return train.filter(hunit(F.lit("ival"), F.col("idx")) < 0.2).count()

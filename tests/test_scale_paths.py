@@ -84,3 +84,25 @@ def test_variants_draw_a_mask_once_for_all_folds(spark):
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert plan.index("fold#") < plan.index("ArrowEvalPython")  # folds are attached above the draws
+
+
+def test_masker_ranks_rare_words_as_it_ranks_common_ones(rows, monkeypatch):
+    masked = draw_masks(rows, "text", "idx", 2, 1)
+    model, scores = L.train_masker(masked), {}
+    for r in model.scores.collect():
+        scores[r["t"]] = r["score"]
+    df = rows.where("idx is not null").dropDuplicates(["idx"])
+    cands = df.select("idx", L.candidate_tokens(F.col("text")).alias("c"), L.mask_budget("token_num", 0.3).alias("k")).collect()
+    for threshold in (0.0, 0.3):
+        want = {}
+        for r in cands:
+            c = [(-scores.get(t, 0.5), p, t) for p, t in enumerate(r["c"] or []) if scores.get(t, 0.5) >= threshold]
+            want[r["idx"]] = [t for _, _, t in sorted(c)[:r["k"] or 0]]
+        assert any(want.values())
+        for most in (1 << 17, 8, 0):
+            monkeypatch.setattr(L, "KNOWN", most)
+            got = {r["idx"]: r["pred_words"] for r in model.predict(df, 0.3, threshold).collect()}
+            assert got == want
+    monkeypatch.setattr(L, "KNOWN", 8)
+    plan = _plan(model.predict(rows, 0.3, carry=["label", "text"]))
+    assert plan.count("Exchange hashpartitioning(idx#") == 1 and plan.count("Generate inline") == 1  # no word of a text but the rare ones
