@@ -122,10 +122,9 @@ def test_loop_resumes_after_every_step(spark, rows):
 
 def test_loop_keeps_each_text_once(spark, rows):
     train, test = rows
-    # rows that come twice, one idx with two texts, and a row without a text
-    more = spark.createDataFrame([(5000, 1, "a", "c1 c2 c3 a1 a2", 5), (5000, 1, "b", "c4 c5 b3 b2 b1", 5),
-                                  *((5001 + i, 2, "b", None, 1) for i in range(4))], train.schema)
-    train = train.unionByName(train.where("idx < 9")).unionByName(more).checkpoint()
+    # rows that come twice, and rows without a text
+    none = spark.createDataFrame([(5001 + i, 2, "b", None, 1) for i in range(4)], train.schema)
+    train = train.unionByName(train.where("idx < 9")).unionByName(none).checkpoint()
     cfg = dict(end_epoch=2, repeat_r=2, patience=1, warmup=0, mask_test=True, pct=0.3)
     plain = dual_process_loop(spark, train, test, DualProcessConfig(**cfg))
     root, told = IO.scratch_path(spark, "texts-once"), []
@@ -148,14 +147,23 @@ def test_loop_keeps_each_text_once(spark, rows):
     assert sorted(map(tuple, res.ledger.collect())) == sorted(map(tuple, plain.ledger.collect()))
     assert not {"text", "masked_sent"} & set(spark.read.parquet(res.memory_root).columns)
     fit = train.where(hunit(F.lit("ival"), F.col("idx")) >= 0.2)
-    first = read_memory(spark, res.memory_root, train, 0, "init")
-    masked = M.mask_percent(fit, 0.3, seed_salt(0, 0)).select("idx", "label", "text", "mask_words", "masked_sent")
-    assert sorted(map(str, first.select(masked.columns).collect())) == sorted(map(str, masked.collect()))
     last = read_memory(spark, res.memory_root, train, 1, "final")
     assert sorted(r["idx"] for r in last.collect()) == sorted({r["idx"] for r in fit.collect()})
     assert sorted(map(str, last.collect())) == sorted(map(str, read_memory(spark, plain.memory_root, train, 1, "final").collect()))
 
 
+def test_snapshots_give_each_row_its_own_text(spark, rows):
+    train, test = rows
+    more = [(5000 + i, 1, y, t, 5) for i in range(6) for y, t in (("a", "c1 c2 c3 a1 a2"), ("b", "c4 c5 b3 b2 b1"), ("b", None))]
+    train = train.unionByName(train.where("idx < 9")).unionByName(spark.createDataFrame(more, train.schema)).checkpoint()
+    res = dual_process_loop(spark, train, test, DualProcessConfig(end_epoch=1, warmup=0, pct=0.3))
+    fit = train.where(hunit(F.lit("ival"), F.col("idx")) >= 0.2)
+    assert fit.where("idx >= 5000 and text is null").count() and fit.where("idx < 9").count() > fit.where("idx < 9").distinct().count()
+    masked = M.mask_percent(fit, 0.3, seed_salt(0, 0)).select("idx", "label", "text", "mask_words", "masked_sent")
+    memory = read_memory(spark, res.memory_root, train, 0, "init").select(masked.columns)
+    assert sorted(map(str, memory.collect())) == sorted(map(str, masked.collect()))
+
+
 def plain_val(train):
     from maskloom.functions.hashing import hunit
     return train.filter(hunit(F.lit("ival"), F.col("idx")) < 0.2).count()
